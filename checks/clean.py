@@ -98,7 +98,7 @@ def strip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.col("text")
     for mark, comment in ((",", " /* "), (".", " */ "), (" e", " // e")):
         marked = F.replace(marked, F.lit(mark), F.lit(comment))
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.working_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(text.strip_comments(marked)).alias("digest"))
 
 
@@ -264,7 +264,7 @@ def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, lang from documents where doc_id not in (select doc_id from labels)""",
 )
 def complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.working_table(spark, sf_dir, "documents")
     labelled = views.table(spark, sf_dir, "labels")
     return splits.complement(docs, labelled, "doc_id").select("doc_id", "lang")
 

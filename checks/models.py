@@ -69,7 +69,7 @@ def vocab_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with vocab as ({sql.vocab('documents', 'text', 5000)}) select word, word_id, n from vocab",
 )
 def vocab_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enc.build_vocab(views.table(spark, sf_dir, "documents"), "text", 5000)
+    return enc.build_vocab(views.working_table(spark, sf_dir, "documents"), "text", 5000)
 
 
 @check(
@@ -97,7 +97,7 @@ ids as ({sql_ids('text', 512)})
 select id, md5({sql_padded('ids')}) as digest, size from ids""",
 )
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = views.working_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     vocab = stage(enc.build_vocab(docs, "text", 5000), "vocab")
     rows = enc.encode(docs, vocab, {"input_ids": "text"}, 512, max_vocab=5000)
     return rows.select(
@@ -157,7 +157,7 @@ where place = 1
     longest("documents", "doc_id"),
 )
 def clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.working_table(spark, sf_dir, "documents")
     return docs.select("doc_id", clean_generated_name(F.col("text")).alias("name"))
 
 
@@ -300,7 +300,7 @@ select id, coalesce(prediction, '<no_prediction>') as prediction from test left
 ) using (id) where place is null or place = 1""",
 )
 def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.table(spark, sf_dir, "documents").select(
+    docs = views.working_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.concat("source", F.lit("_"), "lang").alias("labels"),
         F.col("text").alias("full_code"),

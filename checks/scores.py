@@ -67,7 +67,7 @@ group by all""",
 )
 def bag_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word sequences of all documents, counted per language."""
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.working_table(spark, sf_dir, "documents")
     words = docs.select(
         "lang", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")
     )

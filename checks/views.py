@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ["part", "orders", "lineitem", "documents", "embeddings", "labels", "conversations"]
+from namesmith.functions.names import split_camel_case
+from namesmith.operators.align import number_rows, spread
+
+TABLES = ["part", "lineitem"]
+
+
+# tables whose rows are costly to work on: one small file should still use all cores
+SPREAD = {"part", "documents", "lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def working_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = table(spark, sf_dir, name)
+    return spread(rows) if name in SPREAD else rows
+
+
 # one method per part; modifiers as text joined by "|"
 FX = """
 select p_partkey as id,
@@ -119,7 +131,7 @@ def ctes(*names: str, **more: str) -> str:
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view on Spark."""
     for base in TABLES:
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
+        working_table(spark, sf_dir, base).createOrReplaceTempView(base)
     # an accented letter from its code point; chr() stops at ASCII on Spark
     return spark.sql(f"{ctes(name)} select * from {name}".replace("chr(233)", "decode(X'C3A9', 'UTF-8')"))
 
@@ -157,9 +169,6 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
     """Vectors for the words of the names: the n-th word gets the n-th embedding."""
-    from namesmith.functions.names import split_camel_case
-    from namesmith.operators.align import number_rows
-
     words = (
         names.select(F.explode(F.array("label", "prediction")).alias("name"))
         .select(F.explode(split_camel_case("name")).alias("word"))

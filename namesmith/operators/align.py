@@ -73,15 +73,33 @@ def bounded(df: DataFrame, rank: str, limit: int) -> DataFrame:
 HOT_KEYS = 1_000
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the size Spark knows for ``df`` is within its broadcast threshold."""
+    spark = df.sparkSession
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def lookup_join(
-    df: DataFrame, table: DataFrame, keys: list[str], hot_keys: int = HOT_KEYS
+    df: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    hot_keys: int = HOT_KEYS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a table with one row per key, safe for keys that dominate ``df``.
 
-    The most frequent keys of ``df`` are counted first and looked up by broadcasting
-    just their ``hot_keys`` table rows. Only rows with other keys are shuffled.
+    A table of known small size is left to Spark, which broadcasts it. Beyond that the
+    most frequent keys are counted first (in ``counted`` if that is cheaper than
+    ``df``) and looked up by broadcasting just their ``hot_keys`` table rows; only rows
+    with other keys are shuffled.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    if fits_broadcast(table):
+        return df.join(table, keys, "left")
+    keyed = df if counted is None else counted
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_rows"))
     hot = counts.orderBy(F.desc("_rows"), *keys).limit(hot_keys).select(*keys)
     # a frequent key stays in the list when the table lacks it
     answers = table.join(F.broadcast(hot), keys, "right").withColumn("_hot", F.lit(True))
@@ -91,6 +109,15 @@ def lookup_join(
     return direct.unionByName(rest)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a source with fewer splits than cores out to all cores.
+
+    Large tables have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def multiset_intersect(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows common to both sides with ``copies``, the smaller count of the two.
 

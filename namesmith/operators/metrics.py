@@ -13,6 +13,7 @@ from ..functions.names import (
     char_tokens, levenshtein, multiset_overlap, ngrams, ratio, split_camel_case,
 )
 from ..functions.sequences import lcs_length
+from ..storage import stage
 from .align import lookup_join
 
 METRIC_NAMES = ["accuracy", "accuracy_by_label", "rouge1", "levenshtein", "similarity"]
@@ -90,67 +91,61 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _vector_sum(items: Column, side: int) -> Column:
-    """Sum of the vectors of one side in word order; null when there is none."""
-    mine = F.filter(items, lambda item: item["side"] == side)
-    return F.aggregate(
-        mine,
-        F.lit(None).cast("array<double>"),
-        lambda total, item: F.when(total.isNull(), item["vec"]).otherwise(
-            F.zip_with(total, item["vec"], lambda x, y: x + y)
-        ),
+def name_vectors(names: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(name, vec, norm)`` of distinct names: the sum of their known word vectors.
+
+    The cosine of two sums is that of the two means. Names without a known word are
+    left out.
+    """
+    words = names.select("name", F.posexplode(split_camel_case("name")).alias("pos", "word"))
+    table = vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
+    known = lookup_join(words, table, ["word"]).where(F.col("vec").isNotNull())
+    items = known.groupBy("name").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("items")
     )
+    # summed in word order, so that the result does not depend on the partitioning
+    total = F.aggregate(
+        F.slice("items", 2, F.size("items")),
+        F.get(F.col("items"), F.lit(0))["vec"],
+        lambda s, item: F.zip_with(s, item["vec"], lambda x, y: x + y),
+    )
+    sums = items.select("name", total.alias("vec"))
+    return sums.withColumn("norm", F.sqrt(_dot(F.col("vec"), F.col("vec"))))
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of the mean word vectors of each distinct pair, with its ``copies``.
 
     Equal names score 1, names without any known word 0. Repeated pairs are merged
-    before anything else. The cosine needs no means: it is the same for the sums.
+    first and vectors are made once per distinct name, then looked up for both sides.
     """
-    key = ["run_id", "label", "prediction"]
-    distinct = pairs.groupBy(*key).agg(F.count("*").alias("copies"))
-    sides = distinct.withColumns(
-        {
-            "words_0": split_camel_case("label"),
-            "words_1": split_camel_case("prediction"),
-        }
+    distinct = pairs.groupBy("run_id", "label", "prediction").agg(
+        F.count("*").alias("copies")
     )
-    same = sides.where(F.col("words_0") == F.col("words_1")).select(
-        *key, "copies", F.lit(1.0).alias("similarity")
-    )
-    different = sides.where(F.col("words_0") != F.col("words_1"))
+    names = pairs.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
+    known = stage(name_vectors(names, vectors), "name-vectors")
 
-    def tagged(side: int) -> Column:
-        return F.transform(
-            f"words_{side}",
-            lambda word, pos: F.struct(
-                F.lit(side).alias("side"), pos.alias("pos"), word.alias("word")
-            ),
+    def side(name: str, prefix: str) -> DataFrame:
+        return known.select(
+            F.col("name").alias(name),
+            F.col("vec").alias(f"{prefix}_vec"),
+            F.col("norm").alias(f"{prefix}_norm"),
         )
 
-    words = different.select(
-        *key, "copies", F.explode(F.concat(tagged(0), tagged(1))).alias("w")
-    ).select(*key, "copies", "w.side", "w.pos", "w.word")
-    table = vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
-    found = lookup_join(words, table, ["word"])
-    known = F.when(F.col("vec").isNotNull(), F.struct("side", "pos", "vec"))
-    gathered = found.groupBy(*key, "copies").agg(
-        F.array_sort(F.collect_list(known)).alias("items")
+    with_label = lookup_join(distinct, side("label", "l"), ["label"])
+    both = lookup_join(with_label, side("prediction", "p"), ["prediction"], counted=distinct)
+    norms = F.col("l_norm") * F.col("p_norm")
+    cosine = F.coalesce(ratio(_dot(F.col("l_vec"), F.col("p_vec")), norms), F.lit(0.0))
+    same = F.col("label").eqNullSafe(F.col("prediction")) | (
+        split_camel_case("label") == split_camel_case("prediction")
     )
-    sums = gathered.select(
-        *key,
-        "copies",
-        _vector_sum(F.col("items"), 0).alias("a"),
-        _vector_sum(F.col("items"), 1).alias("b"),
-    )
-    norms = F.sqrt(_dot(F.col("a"), F.col("a"))) * F.sqrt(_dot(F.col("b"), F.col("b")))
-    scored = sums.withColumns({"dot": _dot(F.col("a"), F.col("b")), "norms": norms}).select(
-        *key,
+    return both.select(
+        "run_id",
+        "label",
+        "prediction",
         "copies",
-        F.coalesce(ratio(F.col("dot"), F.col("norms")), F.lit(0.0)).alias("similarity"),
+        F.when(same, F.lit(1.0)).otherwise(cosine).alias("similarity"),
     )
-    return same.unionByName(scored)
 
 
 def mean_semantic_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
