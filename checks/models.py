@@ -89,17 +89,22 @@ def encode_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@check(
-    "encode_documents",
-    f"""with vocab as ({sql.vocab('documents', 'text', 5000)}),
+DOCUMENT_IDS = f"""with vocab as ({sql.vocab('documents', 'text', 5000)}),
 coded as (select doc_id as id, text from documents),
 ids as ({sql_ids('text', 512)})
-select id, md5({sql_padded('ids')}) as digest, size from ids""",
-)
+select id, md5({sql_padded('ids')}) as digest, size from ids"""
+
+
+@check("encode_documents", DOCUMENT_IDS)
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.working_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = views.working_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "text"
+    )
     vocab = stage(enc.build_vocab(docs, "text", 5000), "vocab")
-    rows = enc.encode(docs, vocab, {"input_ids": "text"}, 512, max_vocab=5000)
+    return digests(enc.encode(docs, vocab, {"input_ids": "text"}, 512, max_vocab=5000))
+
+
+def digests(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id",
         F.md5(F.array_join(F.col("input_ids").cast("array<string>"), " ")).alias("digest"),
@@ -107,6 +112,15 @@ def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@check("encode_documents_by_join", DOCUMENT_IDS)
+def encode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.working_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "text"
+    )
+    vocab = stage(enc.build_vocab(docs, "text", 5000), "vocab")
+    return digests(enc.encode_by_join(docs, vocab, {"input_ids": "text"}, 512))
+
+
 DECODED = f"""
 select id, coalesce(string_agg(word, '' order by pos), '') as text
 from (select id, unnest(ids) as word_id, generate_subscripts(ids, 1) as pos from %s)
@@ -122,7 +136,7 @@ select id, text as label from decoded""",
 )
 def decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vocab = encoded(spark, sf_dir)
-    return enc.decode(rows, "labels", vocab, "label")
+    return enc.decode(rows.select("id", "labels"), "labels", vocab, "label").drop("labels")
 
 
 @check(

@@ -37,7 +37,10 @@ def ngrams(words: Column | str, n: int) -> Column:
 
 
 def multiset_overlap(left: Column | str, right: Column | str) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    """Size of the multiset intersection of two arrays.
+
+    Pass columns that already exist: an expression would be evaluated once per item.
+    """
     left, right = _col(left), _col(right)
 
     def times(array: Column, item: Column) -> Column:

@@ -58,17 +58,6 @@ def zip_by_position(
     return numbered_left.join(numbered_right, "position")
 
 
-def bounded(df: DataFrame, rank: str, limit: int) -> DataFrame:
-    """Broadcast ``df``, whose dense 0-based ``rank`` proves its size, or fail.
-
-    A rank at or above ``limit`` stops the query rather than growing the broadcast.
-    """
-    fits = F.when(F.col(rank) < limit, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"more than {limit} rows to broadcast"))
-    )
-    return F.broadcast(df.where(fits))
-
-
 # keys counted as frequent; every other key then holds less than 1 / HOT_KEYS of the rows
 HOT_KEYS = 1_000
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..constants import (
     FIRST_WORD_ID, IGNORE_ID, MASK_ID, MASK_TOKEN, MAX_LENGTH, PAD_ID, UNK_ID, VOCAB_SIZE,
 )
 from ..functions.names import split_camel_case
-from .align import bounded
+from .align import lookup_join
 
 # the hidden name, word pieces, numbers, white space, any other character: together
 # they cover the text, so joined pieces give it back
@@ -47,33 +49,82 @@ def attention_mask(size: Column, length: int) -> Column:
     )
 
 
+class VocabLookup:
+    """A vocabulary as constants of the plan, for lookups inside a projection.
+
+    Reads the (at most ``max_size``) rows once. Words are spread over as many small
+    maps as there are words, so a lookup is one index step and a short scan.
+    """
+
+    def __init__(self, vocab: DataFrame, max_size: int = VOCAB_SIZE):
+        hashed = F.pmod(F.hash("word"), F.lit(max_size))
+        rows = vocab.select(hashed, "word", "word_id").limit(max_size + 1).collect()
+        if len(rows) > max_size:
+            raise ValueError(f"vocabulary has more than {max_size} words")
+        self.buckets = max_size
+        buckets: list[dict[str, int]] = [{} for _ in range(max_size)]
+        words = [""] * len(rows)
+        for bucket, word, word_id in rows:
+            buckets[bucket][word] = word_id
+            words[word_id - FIRST_WORD_ID] = word
+        self._ids = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        self._words = F.from_json(F.lit(json.dumps(words)), "array<string>")
+
+    def word_id(self, word: Column) -> Column:
+        bucket = F.get(self._ids, F.pmod(F.hash(word), F.lit(self.buckets)))
+        known = F.coalesce(F.try_element_at(bucket, word), F.lit(UNK_ID))
+        return F.when(word == MASK_TOKEN, F.lit(MASK_ID)).otherwise(known)
+
+    def word(self, word_id: Column) -> Column:
+        return F.get(self._words, word_id - FIRST_WORD_ID)
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
     columns: dict[str, str],
     max_length: int = MAX_LENGTH,
-    keys: tuple[str, ...] = ("id",),
-    max_vocab: int | None = VOCAB_SIZE,
+    max_vocab: int = VOCAB_SIZE,
 ) -> DataFrame:
-    """Encode text columns; ``columns`` maps each output column to its text column.
+    """Replace text columns by id arrays; ``columns`` maps output to text column.
 
-    Adds ``attention_mask`` for the first of them. Texts are cut to ``max_length``
-    pieces before they are spread out. Rows are partitioned by key while compact, so
-    gathering the ids needs no second shuffle. The vocabulary is broadcast on the
-    strength of its ids, which must stay below ``max_vocab``; pass None to shuffle.
+    Adds ``attention_mask`` for the first of them. A projection: no row moves. For a
+    vocabulary above ``max_vocab`` words use ``encode_by_join``.
     """
-    keyed = df.select(*keys, *columns.values()).repartition(*keys)
-    tokens = F.array(
-        *[F.slice(pieces(text), 1, max_length) for text in columns.values()]
+    lookup = VocabLookup(vocab, max_vocab)
+    ids = {
+        f"_{field}": F.transform(F.slice(pieces(text), 1, max_length), lookup.word_id)
+        for field, text in enumerate(columns.values())
+    }
+    keep = [name for name in df.columns if name not in {*columns, *columns.values()}]
+    return _fixed_length(df.withColumns(ids), keep, list(columns), max_length)
+
+
+def _fixed_length(df: DataFrame, keep: list[str], outputs: list[str], length: int) -> DataFrame:
+    # ids wait in "_0", "_1": inside a lambda an output name would mean the padded array
+    return df.select(
+        *keep,
+        *[pad(F.col(f"_{field}"), length).alias(name) for field, name in enumerate(outputs)],
+        attention_mask(F.size("_0"), length).alias("attention_mask"),
     )
-    rows = keyed.select(*keys, F.posexplode(tokens).alias("_field", "_tokens"))
+
+
+def encode_by_join(
+    df: DataFrame,
+    vocab: DataFrame,
+    columns: dict[str, str],
+    max_length: int = MAX_LENGTH,
+    keys: tuple[str, ...] = ("id",),
+) -> DataFrame:
+    """``encode`` for a vocabulary of any size; keeps the unique ``keys`` only.
+
+    Texts are cut to ``max_length`` pieces before they are spread out, frequent words
+    are looked up by broadcast and only the others are shuffled.
+    """
+    tokens = F.array(*[F.slice(pieces(text), 1, max_length) for text in columns.values()])
+    rows = df.select(*keys, F.posexplode(tokens).alias("_field", "_tokens"))
     rows = rows.select(*keys, "_field", F.posexplode_outer("_tokens").alias("_pos", "word"))
-    table = vocab.select("word", "word_id")
-    if max_vocab is not None:
-        table = bounded(
-            table.withColumn("_rank", F.col("word_id") - FIRST_WORD_ID), "_rank", max_vocab
-        ).drop("_rank")
-    coded = rows.join(table, "word", "left").withColumn(
+    coded = lookup_join(rows, vocab.select("word", "word_id"), ["word"]).withColumn(
         "_id",
         F.when(F.col("word") == MASK_TOKEN, MASK_ID)
         .when(F.col("word").isNotNull(), F.coalesce("word_id", F.lit(UNK_ID)))
@@ -85,51 +136,27 @@ def encode(
         items = F.collect_list(F.when(mine, F.struct("_pos", "_id")))
         return F.transform(F.array_sort(items), lambda item: item["_id"])
 
-    # "_0", "_1": inside a lambda a name would mean the padded column of this select
     lists = coded.groupBy(*keys).agg(
         *[gathered(field).alias(f"_{field}") for field in range(len(columns))]
     )
-    return lists.select(
-        *keys,
-        *[pad(F.col(f"_{field}"), max_length).alias(name) for field, name in enumerate(columns)],
-        attention_mask(F.size("_0"), max_length).alias("attention_mask"),
-    )
+    return _fixed_length(lists, list(keys), list(columns), max_length)
 
 
 def encode_examples(
     examples: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH
 ) -> DataFrame:
     """All splits in one pass: masked code and name, as models read them."""
-    return encode(
-        examples, vocab, {"input_ids": "full_code", "labels": "labels"}, max_length,
-        keys=("id", "split"),
-    )
+    columns = {"input_ids": "full_code", "labels": "labels"}
+    return encode(examples.select("id", "split", "full_code", "labels"), vocab, columns, max_length)
 
 
 def decode(
-    df: DataFrame,
-    ids: str,
-    vocab: DataFrame,
-    output: str = "text",
-    keys: tuple[str, ...] = ("id",),
-    max_vocab: int | None = VOCAB_SIZE,
+    df: DataFrame, ids: str, vocab: DataFrame, output: str = "text", max_vocab: int = VOCAB_SIZE
 ) -> DataFrame:
-    """``(keys, text)`` of id arrays; special ids are skipped, pieces joined."""
-    keyed = df.select(*keys, ids).repartition(*keys)
+    """Add the text of id arrays; special ids are skipped, pieces joined."""
+    lookup = VocabLookup(vocab, max_vocab)
     items = F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID)
-    rows = keyed.select(*keys, F.posexplode_outer(items).alias("_pos", "word_id"))
-    table = vocab.select("word", "word_id")
-    if max_vocab is not None:
-        table = bounded(
-            table.withColumn("_rank", F.col("word_id") - FIRST_WORD_ID), "_rank", max_vocab
-        ).drop("_rank")
-    words = rows.join(table, "word_id", "left")
-    texts = words.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "word"))).alias("_words")
-    )
-    return texts.select(
-        *keys, F.array_join(F.transform("_words", lambda w: w["word"]), "").alias(output)
-    )
+    return df.withColumn(output, F.array_join(F.transform(items, lookup.word), ""))
 
 
 def replace_ignored(ids: Column | str, ignore_id: int = IGNORE_ID) -> Column:

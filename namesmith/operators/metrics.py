@@ -187,12 +187,13 @@ def char_rouge(pairs: DataFrame) -> DataFrame:
         char_tokens("label").alias("a"),
         char_tokens("prediction").alias("b"),
     )
-    counted = tokens.select(
+    grams = tokens.withColumns({"a2": ngrams("a", 2), "b2": ngrams("b", 2)})
+    counted = grams.select(
         "run_id",
         F.size("a").alias("na"),
         F.size("b").alias("nb"),
         multiset_overlap("a", "b").alias("o1"),
-        multiset_overlap(ngrams("a", 2), ngrams("b", 2)).alias("o2"),
+        multiset_overlap("a2", "b2").alias("o2"),
         lcs_length("a", "b").alias("lcs"),
     )
     bigrams = [F.greatest(F.col(c) - 1, F.lit(0)) for c in ("na", "nb")]
