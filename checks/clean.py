@@ -205,14 +205,6 @@ def take_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.take_first(orders(spark, sf_dir), 1000)
 
 
-@check("take_first_large", f"select id, o_custkey from ({ORDER_RANKS}) where place <= 1000")
-def take_first_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The histogram route that replaces the top-k heap for large counts."""
-    rows = orders(spark, sf_dir)
-    bound = splits.nth_key(rows, 1000, top_k_rows=0)
-    return rows.where(splits._ordered(splits.SEED, "id") <= bound.scalar())
-
-
 @check("holdout_rest", f"select id, o_custkey from ({ORDER_RANKS}) where place > 1000")
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest, _ = splits.holdout(orders(spark, sf_dir), 1000)

@@ -57,15 +57,14 @@ class VocabLookup:
     """
 
     def __init__(self, vocab: DataFrame, max_size: int = VOCAB_SIZE):
-        hashed = F.pmod(F.hash("word"), F.lit(max_size))
-        rows = vocab.select(hashed, "word", "word_id").limit(max_size + 1).collect()
+        rows = vocab.select(F.hash("word"), "word", "word_id").limit(max_size + 1).collect()
         if len(rows) > max_size:
             raise ValueError(f"vocabulary has more than {max_size} words")
-        self.buckets = max_size
-        buckets: list[dict[str, int]] = [{} for _ in range(max_size)]
+        self.buckets = max(len(rows), 1)
+        buckets: list[dict[str, int]] = [{} for _ in range(self.buckets)]
         words = [""] * len(rows)
-        for bucket, word, word_id in rows:
-            buckets[bucket][word] = word_id
+        for hashed, word, word_id in rows:
+            buckets[hashed % self.buckets][word] = word_id
             words[word_id - FIRST_WORD_ID] = word
         self._ids = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
         self._words = F.from_json(F.lit(json.dumps(words)), "array<string>")

@@ -11,6 +11,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..constants import EXTRACTED, METHODS
+from ..storage import stage
 from .align import number_rows
 from .java_scan import scan_methods
 
@@ -48,8 +49,12 @@ def extract_methods(files: DataFrame) -> DataFrame:
 
 
 def number_methods(methods: DataFrame) -> DataFrame:
-    """Give extracted methods their gapless ``id``, by file and position in it."""
-    numbered = number_rows(methods, ["file_path", "method_no"], "id")
+    """Give extracted methods their gapless ``id``, by file and position in it.
+
+    The id depends on the data alone, so splits made from it can be repeated on any
+    cluster. Extraction is staged first: a range partitioning reads its input twice.
+    """
+    numbered = number_rows(stage(methods, "extracted"), ["file_path", "method_no"], "id")
     return numbered.select(*METHODS.names)
 
 

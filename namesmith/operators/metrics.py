@@ -156,21 +156,39 @@ def mean_semantic_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def evaluate(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """All metrics per run; ``similarity`` only when word vectors are given."""
-    scored = subword_counts(pairs).withColumn(
-        "distance", levenshtein("label", "prediction")
-    )
-    metrics = scored.groupBy("run_id").agg(
-        F.count("*").alias("n"),
-        _micro("n_prediction").alias("accuracy"),
-        _micro("n_label").alias("accuracy_by_label"),
-        # single words are their own 1-grams
-        _macro_recall(F.col("matches"), F.col("n_label")).alias("rouge1"),
-        F.avg("distance").alias("levenshtein"),
-    )
+    """All metrics per run; ``similarity`` only when word vectors are given.
+
+    Without vectors every pair is scored where it is. With them repeated pairs have
+    been merged for the lookup, and the other metrics are taken on the merged pairs.
+    """
     if vectors is None:
-        return metrics
-    return metrics.join(mean_semantic_similarity(pairs, vectors), "run_id")
+        merged = pairs.withColumn("copies", F.lit(1))
+    else:
+        merged = pair_similarity(pairs, vectors)
+    scored = subword_counts(merged).withColumns(
+        {
+            "distance": levenshtein("label", "prediction"),
+            # single words are their own 1-grams
+            "recall": ratio(F.col("matches"), F.col("n_label")),
+        }
+    )
+
+    def total(name: str) -> Column:
+        return F.sum(F.col(name) * F.col("copies"))
+
+    def mean(name: str) -> Column:
+        return total(name) / F.sum("copies")
+
+    columns = {
+        "n": F.sum("copies"),
+        "accuracy": ratio(total("matches"), total("n_prediction")),
+        "accuracy_by_label": ratio(total("matches"), total("n_label")),
+        "rouge1": mean("recall"),
+        "levenshtein": mean("distance"),
+    }
+    if vectors is not None:
+        columns["similarity"] = mean("similarity")
+    return scored.groupBy("run_id").agg(*[c.alias(name) for name, c in columns.items()])
 
 
 def _f1(overlap: Column, a: Column, b: Column) -> Column:

@@ -72,11 +72,13 @@ def fit_majority_names(train: DataFrame) -> DataFrame:
     return votes.groupBy(*signature).agg(_winner().alias("prediction"))
 
 
-def predict_majority(test: DataFrame, model: DataFrame) -> DataFrame:
-    """``(id, prediction)`` from the signature; the marker where it is new."""
+def predict_majority(
+    test: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("id",)
+) -> DataFrame:
+    """``keep`` and the prediction by signature; the marker where that is new."""
     signature = ["type_identifier", "formal_parameters"]
-    found = lookup_join(test.select("id", *signature), model, signature)
-    return found.select("id", fill_missing_prediction(F.col("prediction")).alias("prediction"))
+    found = lookup_join(test.select(*keep, *signature), model, signature)
+    return found.select(*keep, fill_missing_prediction(F.col("prediction")).alias("prediction"))
 
 
 def code_words(text: Column | str) -> Column:
@@ -103,13 +105,13 @@ def fit_nearest_names(train: DataFrame) -> DataFrame:
     )
 
 
-def predict_nearest(test: DataFrame, model: DataFrame) -> DataFrame:
-    """``(id, prediction)`` by vote of the nearest training methods."""
-    words = test.select("id", F.explode_outer(code_words("full_code")).alias("word"))
-    known = F.when(
-        F.col("holders").isNotNull(), F.struct("holders", "word", "prediction")
-    )
-    best = lookup_join(words, model, ["word"]).groupBy("id").agg(F.min(known).alias("best"))
+def predict_nearest(
+    test: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("id",)
+) -> DataFrame:
+    """``keep``, which must identify a row, and the vote of its nearest methods."""
+    words = test.select(*keep, F.explode_outer(code_words("full_code")).alias("word"))
+    known = F.when(F.col("holders").isNotNull(), F.struct("holders", "word", "prediction"))
+    best = lookup_join(words, model, ["word"]).groupBy(*keep).agg(F.min(known).alias("best"))
     return best.select(
-        "id", fill_missing_prediction(F.col("best.prediction")).alias("prediction")
+        *keep, fill_missing_prediction(F.col("best.prediction")).alias("prediction")
     )

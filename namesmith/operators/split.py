@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 
 from ..constants import HOLDOUT_ROWS, SEED, VALIDATION_ROWS
 
-# up to this many keys one top-k heap finds the bound; beyond it, a histogram first
-TOP_K_ROWS = 1_000_000
-_PREFIX = 5  # hex digits: about a million buckets
+_PREFIX = 4  # hex digits of the key: 65,536 equal buckets
 
 
-def shuffle_key(seed: int = SEED, key: str = "id") -> Column:
+def shuffle_key(seed: int | str = SEED, key: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _ordered(seed: int, key: str) -> Column:
+def _ordered(seed: int | str, key: str) -> Column:
     return F.struct(shuffle_key(seed, key).alias("k"), F.col(key).alias("i"))
 
 
@@ -36,32 +34,24 @@ def head(df: DataFrame, n: int = 5, key: str = "id") -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def nth_key(
-    df: DataFrame, n: int, seed: int = SEED, key: str = "id", top_k_rows: int = TOP_K_ROWS
-) -> DataFrame:
-    """One row: the ``n``-th smallest shuffle key, or an error if there are fewer rows."""
+def nth_key(df: DataFrame, n: int, seed: int | str = SEED, key: str = "id") -> DataFrame:
+    """One row: the ``n``-th smallest shuffle key, or an error if there are fewer rows.
+
+    Keys are uniform, so they are counted by prefix and only the bucket that holds the
+    bound is ranked. A top-k would send up to ``n`` rows of every task to a single one.
+    """
     keys = df.select(_ordered(seed, key).alias("s"))
-    if n <= top_k_rows:
-        bound = keys.orderBy("s").limit(n).agg(
-            F.max("s").alias("bound"), F.count("*").alias("rows")
-        )
-    else:
-        # keys are uniform: count them by prefix, then rank inside one bucket only
-        prefix = F.substring("s.k", 1, _PREFIX)
-        counts = keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("c"))
-        upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("p")))
-        hit = upto.where(F.col("upto") >= n).agg(
-            F.min(F.struct("upto", "c", "p")).alias("h")
-        )
-        inside = keys.where(prefix == hit.select("h.p").scalar())
-        before = hit.select(F.col("h.upto") - F.col("h.c")).scalar()
-        place = F.row_number().over(Window.partitionBy(prefix).orderBy("s"))
-        bound = inside.withColumn("place", place).where(F.col("place") == n - before).agg(
-            F.max("s").alias("bound"), (F.count("*") * n).alias("rows")
-        )
-    enough = F.when(F.col("rows") >= n, F.col("bound"))
-    return bound.select(
-        F.coalesce(enough, F.raise_error(F.lit(f"fewer than {n} rows"))).alias("bound")
+    prefix = F.substring("s.k", 1, _PREFIX)
+    counts = keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("p")))
+    hit = upto.where(F.col("upto") >= n).agg(F.min(F.struct("p", "upto", "c"))).scalar()
+    inside = keys.where(prefix == hit["p"])
+    place = F.row_number().over(Window.partitionBy(prefix).orderBy("s"))
+    bound = inside.withColumn("place", place).where(
+        F.col("place") == n - (hit["upto"] - hit["c"])
+    )
+    return bound.agg(F.max("s").alias("s")).select(
+        F.coalesce("s", F.raise_error(F.lit(f"fewer than {n} rows"))).alias("bound")
     )
 
 
@@ -73,7 +63,7 @@ def take_first(df: DataFrame, n: int, seed: int = SEED, key: str = "id") -> Data
 
 
 def holdout(
-    df: DataFrame, n_test: int = HOLDOUT_ROWS, seed: int = SEED, key: str = "id"
+    df: DataFrame, n_test: int = HOLDOUT_ROWS, seed: int | str = SEED, key: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
     """``(rest, held_out)`` with exactly ``n_test`` rows held out."""
     bound = nth_key(df, n_test, seed, key)
@@ -96,7 +86,7 @@ def second_split(
     return holdout(held_out, n_val, _second(seed), key)
 
 
-def _second(seed: int) -> str:
+def _second(seed: int | str) -> str:
     return f"{seed}:2"
 
 
@@ -111,8 +101,9 @@ def tag_splits(
 
     Both bounds are single values, so the tagging itself is a projection.
     """
-    _, held_out = holdout(df.select(key), n_holdout, seed, key)
-    first = nth_key(df, n_holdout, seed, key).scalar()
+    ids = df.select(key)
+    first = nth_key(ids, n_holdout, seed, key).scalar()
+    held_out = ids.where(_ordered(seed, key) <= first)
     second = nth_key(held_out, n_val, _second(seed), key).scalar()
     return df.withColumn(
         "split",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import HOLDOUT_ROWS, SEED, VALIDATION_ROWS
+from ..operators.align import union_all
 from ..operators.clean import clean_methods
 from ..operators.extract import extract_methods, number_methods
 from ..operators.metrics import compare_runs, evaluate
@@ -38,11 +39,13 @@ def score_predictors(examples: DataFrame) -> DataFrame:
     test = examples.where(F.col("split") == "test")
     majority = stage(fit_majority_names(train), "majority")
     nearest = stage(fit_nearest_names(train), "nearest")
-    runs = predict_majority(test, majority).withColumn("run_id", F.lit("base")).unionByName(
-        predict_nearest(test, nearest).withColumn("run_id", F.lit("tuned"))
+    keep = ("id", "labels")
+    runs = union_all(
+        predict_majority(test, majority, keep).withColumn("run_id", F.lit("base")),
+        predict_nearest(test, nearest, keep).withColumn("run_id", F.lit("tuned")),
     )
-    return runs.join(test.select("id", F.col("labels").alias("label")), "id").select(
-        F.col("id").alias("example_id"), "run_id", "label", "prediction"
+    return runs.select(
+        F.col("id").alias("example_id"), "run_id", F.col("labels").alias("label"), "prediction"
     )
 
 
