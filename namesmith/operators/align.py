@@ -64,9 +64,7 @@ HOT_KEYS = 1_000
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the size Spark knows for ``df`` is within its broadcast threshold."""
-    spark = df.sparkSession
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit
 
