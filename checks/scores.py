@@ -224,7 +224,7 @@ SIMILARITY = similarity_ctes("pairs")
 select run_id, label, prediction, copies, round(similarity, 6) as similarity from similarities""",
 )
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = views.pairs(spark, sf_dir)
+    pairs = stage(views.pairs(spark, sf_dir), "pairs")
     scored = metrics.pair_similarity(pairs, views.vectors(spark, sf_dir, pairs))
     return scored.withColumn("similarity", r6("similarity"))
 
@@ -236,7 +236,7 @@ select run_id, round(sum(similarity * copies) / sum(copies), 6) as similarity
 from similarities group by run_id""",
 )
 def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = views.pairs(spark, sf_dir)
+    pairs = stage(views.pairs(spark, sf_dir), "pairs")
     means = metrics.mean_semantic_similarity(pairs, views.vectors(spark, sf_dir, pairs))
     return rounded(means, "run_id")
 
@@ -262,7 +262,7 @@ ROUNDED = ", ".join(f"round({name}, 6) as {name}" for name in metrics.METRIC_NAM
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = views.pairs(spark, sf_dir)
+    pairs = stage(views.pairs(spark, sf_dir), "pairs")
     return metrics.evaluate(pairs, views.vectors(spark, sf_dir, pairs))
 
 
@@ -281,7 +281,7 @@ select run_id, n, {ROUNDED} from metrics""",
 )
 def evaluate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics over one pair per order line, grouped in three runs."""
-    pairs = views.line_pairs(spark, sf_dir)
+    pairs = stage(views.line_pairs(spark, sf_dir), "pairs")
     return rounded(
         metrics.evaluate(pairs, views.vectors(spark, sf_dir, pairs)), "run_id", "n"
     )

@@ -87,12 +87,17 @@ def lookup_join(
         return df.join(table, keys, "left")
     keyed = df if counted is None else counted
     counts = keyed.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = counts.orderBy(F.desc("_rows"), *keys).limit(hot_keys).select(*keys)
-    # a frequent key stays in the list when the table lacks it
-    answers = table.join(F.broadcast(hot), keys, "right").withColumn("_hot", F.lit(True))
-    tried = df.join(F.broadcast(answers), keys, "left")
-    direct = tried.where(F.col("_hot")).drop("_hot")
-    rest = tried.where(F.col("_hot").isNull()).select(*df.columns).join(table, keys, "left")
+    top = counts.orderBy(F.desc("_rows"), *keys).limit(hot_keys)
+    hot = F.broadcast(top.select(*keys, F.lit(True).alias("_hot")))
+    # neither side of these joins moves: the frequent keys go to the rows of both
+    answers = F.broadcast(table.join(hot, keys).drop("_hot"))
+    marked = df.join(hot, keys, "left")
+    # rows with a null key find nothing and need not meet in one partition either
+    settled = F.col("_hot").isNotNull()
+    for key in keys:
+        settled = settled | F.col(key).isNull()
+    direct = marked.where(settled).drop("_hot").join(answers, keys, "left")
+    rest = marked.where(~settled).drop("_hot").join(table, keys, "left")
     return direct.unionByName(rest)
 
 
