@@ -42,9 +42,8 @@ _BRACKET = re.compile(r"[{}();]|(?<![\w$])new(?![\w$])")
 _CREATED = re.compile(r"\s*(?:@[\w$.]+\s*)*[\w$]+(?:\s*\.\s*[\w$]+)*\s*")
 _KEYWORD = re.compile(r"\s*((?:%s)(?![\w$-]))" % "|".join(_MODIFIERS))
 _ANNOTATION = re.compile(r"\s*(@(?!\s*interface\b)\s*[\w$]+(?:\s*\.\s*[\w$]+)*)(\s*\()?")
-_TYPE_WORD = re.compile(r"(?<![\w$.])(?:class|interface|enum|record)(?![\w$])")
 _TYPE_DECL = re.compile(
-    r"\s*(class\b|interface\b|enum\b|@\s*interface\b|record(?=\s+[\w$]+\s*[<(]))\s*[\w$]+"
+    r"(?<![\w$.])(@\s*)?(class|interface|enum|record(?=\s+[\w$]+\s*[<(]))\s+[\w$]+"
 )
 _WORD = re.compile(r"\s*([\w$]+)")
 _SPACE = re.compile(r"\s*")
@@ -63,7 +62,8 @@ def _blank(text: str) -> tuple[str, list[tuple[int, int]]]:
         if text[start] == "/":
             comments.append((start, end))
     pieces.append(text[last:])
-    return "".join(pieces), comments
+    # a byte order mark is white space
+    return "".join(pieces).replace("\ufeff", " "), comments
 
 
 class _Source:
@@ -155,15 +155,10 @@ class _Source:
 
     def declares_type(self, start: int, stop: int) -> str | None:
         """Scope a ``{`` at ``stop`` opens if a type declaration leads up to it."""
-        word = _TYPE_WORD.search(self.code, start, stop)
-        if not word:
+        m = _TYPE_DECL.search(self.code, start, stop)
+        if not m:
             return None
-        for at in (start, self.code.rfind(":", start, word.start()) + 1):
-            m = _TYPE_DECL.match(self.code, self.modifiers(max(at, start))[1], stop)
-            if m:
-                head = m.group(1)
-                return "note" if head[0] == "@" else "enum" if head == "enum" else "type"
-        return None
+        return "note" if m.group(1) else "enum" if m.group(2) == "enum" else "type"
 
     def method(self, start: int, stop: int) -> dict | None:
         """Fields of the method whose header is exactly ``start..stop``."""

@@ -78,6 +78,17 @@ def test_declarations_in_order():
         ("class A { @B(x = {1, 2}) void f() {} }", ["f"]),
         ("class A { void f() {} }}} class B { void g() {} }", ["f", "g"]),
         ("class A { void f() { if (a) { ", ["f"]),
+        ("\ufeffclass A { void f() { } }", ["f"]),
+        ("@ interface N { int v(); class B { int w() { } } }", ["w"]),
+        ("class A { @B(C.class) @D void f(E<F.class> x) { g(C.class, () -> { }); } }", ["f"]),
+        ("sealed interface S permits T { void f(); } non-sealed class T { public void f() { } }", ["f", "f"]),
+        ("class A { <T> A(T t) { } public A() throws X { } A.B c() { } }", ["c"]),
+        ("class A { void f() { label: for (;;) { class L { void g() { } } } } }", ["f", "g"]),
+        ("class A { int a = x < y ? b(1) : c(2); int f() { return a < b ? 1 : 2; } }", ["f"]),
+        ("class A { java.util.@B List<String> f() { } int @B [] g() { } }", ["f", "g"]),
+        ("class A { Runnable r = () -> { new Object() { void f() { } }; }; void g() { } }", ["f", "g"]),
+        ("class A { void f() throws @B(1) C, D { } synchronized void g() { synchronized (x) { } } }", ["f", "g"]),
+        ("interface I { static <T> void f() { } private int g() { return 1; } int h() ; }", ["f", "g", "h"]),
         ("class A { Object o = new B(new C() { int in() { return 1; } }) { int out() { } }; }", ["in", "out"]),
     ],
 )
