@@ -282,13 +282,19 @@ def fit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred.fit_nearest_names(train)
 
 
+# per test row the vote held by its rarest known word
+NEAREST_NAMES = f"""
+select id, coalesce(prediction, '<no_prediction>') as prediction from test left join (
+ select id, prediction, row_number() over (partition by id order by holders, word) as place
+ from (select id, unnest({sql_words('full_code')}) as word from test) join %s using (word)
+) using (id) where place is null or place = 1
+"""
+
+
 @check(
     "predict_nearest",
     f"""{views.ctes('fx', **HALVES, model=NEAREST)}
-select id, coalesce(prediction, '<no_prediction>') as prediction from test left join (
- select id, prediction, row_number() over (partition by id order by holders, word) as place
- from (select id, unnest({sql_words('full_code')}) as word from test) join model using (word)
-) using (id) where place is null or place = 1""",
+{NEAREST_NAMES % 'model'}""",
 )
 def predict_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = halves(spark, sf_dir)
@@ -308,10 +314,7 @@ select doc_id as id, source || '_' || lang as labels, text as full_code,
 train as (select * from parts where split = 'train'),
 test as (select * from parts where split = 'test'),
 model as ({NEAREST})
-select id, coalesce(prediction, '<no_prediction>') as prediction from test left join (
- select id, prediction, row_number() over (partition by id order by holders, word) as place
- from (select id, unnest({sql_words('full_code')}) as word from test) join model using (word)
-) using (id) where place is null or place = 1""",
+{NEAREST_NAMES % 'model'}""",
 )
 def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.working_table(spark, sf_dir, "documents").select(

@@ -12,7 +12,7 @@ from namesmith.sources.files import decode_files
 from namesmith.sources.tables import report
 from namesmith.storage import stage
 
-from . import sql, views
+from . import models, sql, views
 from .registry import check
 
 
@@ -54,9 +54,6 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.fx(spark, sf_dir).select("id", joined.alias("grams"))
 
 
-WORD = "[A-Za-z]+"
-
-
 @check(
     "bag_count",
     f"""
@@ -241,15 +238,19 @@ def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means, "run_id")
 
 
-def evaluated(relation: str) -> dict[str, str]:
-    return {
-        "counted": counted(relation),
-        "basic": """
+BASIC = """
 select run_id, count(*) as n, sum(common) / sum(np) as accuracy,
  sum(common) / sum(nl) as accuracy_by_label,
  avg(case when nl = 0 then 0 else common / nl end) as rouge1,
  avg(levenshtein(label, prediction)) as levenshtein
-from counted group by run_id""",
+from counted group by run_id
+"""
+
+
+def evaluated(relation: str) -> dict[str, str]:
+    return {
+        "counted": counted(relation),
+        "basic": BASIC,
         **similarity_ctes(relation),
         "metrics": """
 select * from basic join (select run_id, sum(similarity * copies) / sum(copies) as similarity
@@ -310,20 +311,18 @@ def f1(common: str, a: str, b: str) -> str:
     return f"case when {a} + {b} = 0 then 0 else 2.0 * {common} / ({a} + {b}) end"
 
 
-# longest common subsequence of the distinct pairs, one label character per step; the
-# row of the table is a list with a leading zero
+# longest common subsequence, one label character per step; a row of its table has a
+# leading zero and grows by the best of: a hit after the cell before, above, left
 LCS = """
-select a, b, row[len(row)] as lcs from (
- select a, b, list_reduce(list_prepend(list_transform(generate_series(0, len(b)), lambda j: 0),
-   list_transform(a, lambda c: list_transform(list_prepend('', b), lambda d: cast(c = d as integer)))),
-   lambda prev, hits: list_reduce(
-     list_transform(generate_series(1, len(prev)), lambda j: [prev[j],
-       case when j = 1 then 0 else prev[j - 1] + hits[j] end]),
-     lambda done, cell: list_append(done, greatest(cell[1], cell[2], done[len(done)])))) as row
- from (select distinct a, b from tokens))
+select a, b, list_reduce(
+  list_transform(a, lambda c: list_transform(b, lambda d: cast(c = d as bigint))),
+  lambda above, hits: list_reduce(
+    list_transform(generate_series(1, len(b)), lambda j: [above[j] + hits[j], above[j + 1]]),
+    lambda row, cell: list_append(row, greatest(cell[1], cell[2], row[len(row)])), [0::bigint]),
+  list_transform(generate_series(0, len(b)), lambda j: 0::bigint))[len(b) + 1] as lcs
+from (select distinct a, b from tokens)
 """
 
-
 CHAR_TOKENS = {
     "tokens": f"select run_id, {chars('label')} as a, {chars('prediction')} as b from pairs"
 }
@@ -331,25 +330,20 @@ CHAR_TOKENS = {
 
 @check(
     "char_rouge",
-    f"""{views.ctes('pairs', **CHAR_TOKENS,
-        counts=f'''select run_id, len(a) as na, len(b) as nb, {sql.overlap('a', 'b')} as o1,
+    f"""{views.ctes('pairs', **CHAR_TOKENS, lcs=LCS,
+        counts=f"""select run_id, len(a) as na, len(b) as nb, lcs, {sql.overlap('a', 'b')} as o1,
   greatest(len(a) - 1, 0) as na2, greatest(len(b) - 1, 0) as nb2,
   {sql.overlap('ga', 'gb')} as o2
-  from (select *, {sql.ngrams('a', 2)} as ga, {sql.ngrams('b', 2)} as gb from tokens)''')}
+  from (select *, {sql.ngrams('a', 2)} as ga, {sql.ngrams('b', 2)} as gb
+        from tokens join lcs using (a, b))""")}
 select run_id, round(avg({f1('o1', 'na', 'nb')}), 6) as rouge1,
  round(avg({f1('o2', 'na2', 'nb2')}), 6) as rouge2,
+ round(avg({f1('lcs', 'na', 'nb')}), 6) as "rougeL",
  round(avg({f1('o1', 'na', 'nb')}), 6) as "rougeLsum"
 from counts group by run_id""",
 )
 def char_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = metrics.char_rouge(views.pairs(spark, sf_dir))
-    return rounded(scores.select("run_id", "rouge1", "rouge2", "rougeLsum"), "run_id")
-
-
-@check("char_rouge_lcs")
-def char_rouge_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subsequence score; checked against brute force in the tests."""
-    return rounded(metrics.char_rouge(views.pairs(spark, sf_dir)).select("run_id", "rougeL"), "run_id")
+    return rounded(metrics.char_rouge(views.pairs(spark, sf_dir)), "run_id")
 
 
 @check(
@@ -438,8 +432,37 @@ def multiset_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@check("compare_predictors")
+# the flow in SQL: extracted methods numbered, cleaned, split, both predictors scored
+FLOW = {
+    "extracted": sql.EXTRACTED,
+    "numbered": "select *, row_number() over (order by file_path, method_no) - 1 as id from extracted",
+    "clean": sql.CLEAN.replace("from fx", "from numbered"),
+    "tagged": sql.TAGGED,
+    "train": "select * from tagged where split = 'train'",
+    "test": "select * from tagged where split = 'test'",
+    "majority": models.MAJORITY,
+    "nearest": models.NEAREST,
+    "flow_pairs": f"""
+select 'base' as run_id, labels as label, coalesce(prediction, '<no_prediction>') as prediction
+from test left join majority using (type_identifier, formal_parameters)
+union all
+select 'tuned', labels, prediction from test join ({models.NEAREST_NAMES % 'nearest'}) using (id)""",
+    "counted": counted("flow_pairs"),
+    "metrics": BASIC,
+}
+FLOW_METRICS = ["accuracy", "accuracy_by_label", "rouge1", "levenshtein"]
+
+
+@check(
+    "compare_predictors",
+    f"""{views.ctes('sources', **FLOW)},
+tall as (unpivot (select run_id, {', '.join(FLOW_METRICS)} from metrics)
+ on {', '.join(FLOW_METRICS)} into name metric value value)
+select a.metric, round(a.value, 6) as base, round(b.value, 6) as candidate,
+ round(b.value - a.value, 6) as delta, round(b.value / a.value, 6) as ratio
+from tall a join tall b using (metric) where a.run_id = 'base' and b.run_id = 'tuned'""",
+)
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files through extraction, splits and two predictors to compared scores."""
     files = decode_files(views.source_files(spark, sf_dir))
-    return compare_predictors(files, n_holdout=60, n_val=30)
+    return rounded(compare_predictors(files, n_holdout=60, n_val=30), "metric")

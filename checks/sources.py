@@ -17,18 +17,7 @@ from . import sql, views
 from .clean import clean, tagged
 from .registry import check
 
-KINDS = sql.KINDS
-FIELDS = ["identifier", "formal_parameters", "mods", "block", *KINDS]
-
-# what the scanner must find in the templated files: the method, then the nested one
-EXTRACTED = f"""
-select file_path, 0 as method_no, {', '.join(FIELDS)} from sources
-union all
-select file_path, 1, 'run', '()', '@Override|public', '{{ go("}}"); }}',
- null, null, null, null, null, null, 'void'
-from sources where id % 5 = 0 and block is not null
-"""
-
+FIELDS = sql.FIELDS
 
 def flat(methods: DataFrame, *first: str) -> DataFrame:
     return methods.select(
@@ -51,7 +40,7 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "extract_methods",
-    f"""{views.ctes('sources', extracted=EXTRACTED)}
+    f"""{views.ctes('sources', extracted=sql.EXTRACTED)}
 select * from extracted""",
 )
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +50,7 @@ def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "extract_methods_lateral",
-    f"""{views.ctes('sources', extracted=EXTRACTED)}
+    f"""{views.ctes('sources', extracted=sql.EXTRACTED)}
 select * from extracted""",
 )
 def extract_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +64,7 @@ def extract_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "number_methods",
-    f"""{views.ctes('sources', extracted=EXTRACTED)}
+    f"""{views.ctes('sources', extracted=sql.EXTRACTED)}
 select row_number() over (order by file_path, method_no) - 1 as id, file_path, identifier, block
 from extracted""",
 )
@@ -86,7 +75,7 @@ def number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "scan_source_files",
-    f"""{views.ctes('sources', extracted=EXTRACTED)}
+    f"""{views.ctes('sources', extracted=sql.EXTRACTED)}
 select {', '.join(FIELDS)} from extracted""",
 )
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:

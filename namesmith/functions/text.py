@@ -27,6 +27,8 @@ def decode_text(content: Column) -> Column:
 
 def null_tokens(df: DataFrame, cols: list[str], tokens: list[str] = NULL_TOKENS) -> DataFrame:
     """Replace the tokens that stand for a missing value by null."""
+    if not tokens:
+        return df
     return df.withColumns(
         {name: F.when(~F.col(name).isin(tokens), F.col(name)) for name in cols}
     )

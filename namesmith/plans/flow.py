@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import HOLDOUT_ROWS, SEED, VALIDATION_ROWS
+from ..constants import HOLDOUT_ROWS, METHODS, NULL_TOKENS, SEED, VALIDATION_ROWS
+from ..functions.text import null_tokens
 from ..operators.align import union_all
 from ..operators.clean import clean_methods
 from ..operators.extract import extract_methods, number_methods
@@ -27,9 +28,15 @@ def build_examples(
     n_holdout: int = HOLDOUT_ROWS,
     n_val: int = VALIDATION_ROWS,
     seed: int = SEED,
+    tokens: list[str] = NULL_TOKENS,
 ) -> DataFrame:
-    """Method table to cleaned examples tagged train, validation or test."""
-    cleaned = stage(clean_methods(methods), "cleaned")
+    """Method table to cleaned examples tagged train, validation or test.
+
+    Texts that the CSV form takes for missing are missing here too; pass no ``tokens``
+    to keep them.
+    """
+    texts = [name for name in METHODS.names if name not in ("id", "modifiers")]
+    cleaned = stage(clean_methods(null_tokens(methods, texts, tokens)), "cleaned")
     return tag_splits(cleaned, n_holdout, n_val, seed)
 
 
