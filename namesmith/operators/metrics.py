@@ -119,10 +119,12 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     Equal names score 1, names without any known word 0. Repeated pairs are merged
     first and vectors are made once per distinct name, then looked up for both sides.
     """
-    distinct = pairs.groupBy("run_id", "label", "prediction").agg(
-        F.count("*").alias("copies")
+    # staged, as every lookup passes over it several times
+    distinct = stage(
+        pairs.groupBy("run_id", "label", "prediction").agg(F.count("*").alias("copies")),
+        "distinct-pairs",
     )
-    names = pairs.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
+    names = distinct.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
     known = stage(name_vectors(names, vectors), "name-vectors")
 
     def side(name: str, prefix: str) -> DataFrame:
