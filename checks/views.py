@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namesmith.functions.names import split_camel_case
 from namesmith.operators.align import number_rows, spread
+from namesmith.storage import stage
 
 TABLES = ["part", "lineitem"]
 
@@ -176,4 +177,5 @@ def vectors(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
     )
     numbered = number_rows(words, ["word"], "vec_id")
     embeddings = table(spark, sf_dir, "embeddings")
-    return numbered.join(embeddings, "vec_id").select("word", F.col("embedding").alias("vec"))
+    found = numbered.join(embeddings, "vec_id").select("word", F.col("embedding").alias("vec"))
+    return stage(found, "vectors")
