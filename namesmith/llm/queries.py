@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan, preference_format
 from .histogram_shards import histogram_shards
+from .hyperminhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +43,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_histogram_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op7_hyperminhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), n=2, num=80, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
