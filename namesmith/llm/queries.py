@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan, preference_format
 from .histogram_shards import histogram_shards
 from .hyperminhash import near_duplicates
+from .suffix_dedup import repeat_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +50,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), n=2, num=80, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
