@@ -89,13 +89,34 @@ def registers(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> list[int]:
-    """A key for each run of registers that is not empty throughout."""
-    rows = sketch[: BANDS * BAND_REGISTERS].reshape(BANDS, BAND_REGISTERS)
-    return [
-        _signed(xxhash.xxh64_intdigest(rows[i].tobytes(), seed=i + 1))
-        for i in np.flatnonzero(rows.any(axis=1)).tolist()
-    ]
+def lenders() -> np.ndarray:
+    """For each register an order in which it borrows from the others; fixed by a seed."""
+    return np.array([np.random.RandomState(i).permutation(REGISTERS) for i in range(REGISTERS)])
+
+
+def filled(sketch: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The sketch of a set that is not empty, each empty register filled with a borrowed one.
+
+    Two sets then agree in a register with the chance of their similarity however small they
+    are; runs of empty registers would make keys of one or two common shingles.
+    """
+    empty = np.flatnonzero(sketch == 0)
+    out = sketch.copy()
+    for width in (16, REGISTERS):
+        if not len(empty):
+            break
+        lent = sketch[orders[empty, :width]]
+        first = (lent > 0).argmax(axis=1)
+        value = lent[np.arange(len(empty)), first]
+        out[empty] = value
+        empty = empty[value == 0]
+    return out
+
+
+def band_keys(sketch: np.ndarray, orders: np.ndarray) -> list[int]:
+    """A key for each run of registers."""
+    rows = filled(sketch, orders)[: BANDS * BAND_REGISTERS].reshape(BANDS, BAND_REGISTERS)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), seed=i)) for i, row in enumerate(rows)]
 
 
 def _signed(x: int) -> int:
@@ -152,12 +173,13 @@ def _sketcher(n: int):
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    orders = lenders()
     for batch in batches:
         for part in range(0, batch.num_rows, _BATCH):
             cut = batch.slice(part, _BATCH)
             keys, nodes = [], []
             for node, sketch in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist()):
-                own = band_keys(np.frombuffer(sketch, np.uint16))
+                own = band_keys(np.frombuffer(sketch, np.uint16), orders)
                 keys += own
                 nodes += [node] * len(own)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], schema)
