@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, preference_format
+from . import license_scan, preference_format, toxic_grammar
 from .histogram_shards import histogram_shards
 from .hyperminhash import near_duplicates
 from .suffix_dedup import repeat_digest
@@ -55,3 +55,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxic_grammar")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = toxic_grammar.learn(docs, table(spark, sf_dir, "labels"))
+    return toxic_grammar.score_documents(docs, learned)
