@@ -182,11 +182,12 @@ def fit_logistic(sums: np.ndarray, toxic: np.ndarray) -> list[float]:
         return prior.tolist()
     x = np.column_stack([np.ones(len(sums)), np.log1p(sums)])
     w = prior.copy()
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - toxic) + pull * (w - prior)
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
         step = np.linalg.solve(curve, slope)
+        step /= max(1.0, np.abs(step).max() / 0.5)  # far from the optimum the curve misleads
         w -= step
         if np.abs(step).max() < 1e-8:
             break
