@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan, preference_format, toxic_grammar
+from .chunk_bpe import token_digest
 from .histogram_shards import histogram_shards
 from .hyperminhash import near_duplicates
 from .suffix_dedup import repeat_digest
@@ -62,3 +64,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = toxic_grammar.learn(docs, table(spark, sf_dir, "labels"))
     return toxic_grammar.score_documents(docs, learned)
+
+
+@query("op10_chunk_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
