@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: bytes that decide a cut, and one cut in so many places
 WINDOW, EVERY = 16, 1024
@@ -247,9 +248,9 @@ def with_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     [*cut.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                      pa.array(decoded, pa.string())], [*cut.schema.names, *made])
 
-    schema = source.schema.add("n_tokens", "long").add("ids_sha256", "string").add(
-        "decoded_sha256", "string")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, StructType([
+        *source.schema.fields, StructField("n_tokens", LongType()),
+        StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
 
 
 def token_digest(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import license_scan, preference_format, toxic_grammar
+from .benchmark_leaks import find_leaks
 from .chunk_bpe import token_digest
 from .histogram_shards import histogram_shards
 from .hyperminhash import near_duplicates
+from .pruned_graph import nearest
 from .suffix_dedup import repeat_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +73,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_benchmark_leaks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_pruned_graph")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
