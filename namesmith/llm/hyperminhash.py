@@ -7,10 +7,11 @@ that share a band key are candidates; their similarity is estimated from the reg
 less the matches that shortened registers make by chance, and what may reach the threshold
 is confirmed on the whole shingle sets.
 
-Equal sets are merged first. In a bucket of a band only a few pivots are compared with the
-others, twice as many each round, until all its documents are in one component or every
-pair in different ones has been compared: no pair is lost and none is formed within a
-component that is already known.
+Equal sets are merged first. In a bucket of a band one pivot is compared with the others, for
+a few rounds, which settles large groups of near copies. Of the pairs that are left only those
+in different components are formed, and of them those that the sets' sizes and the
+shingles that no other set holds do not rule out: no link is lost that could join
+components.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
@@ -32,6 +33,8 @@ BANDS, BAND_REGISTERS = 42, 6
 COLLISIONS = 0.169919
 #: standard errors below the threshold at which an estimate still goes to verification
 DOUBT = 8
+#: rounds in which a bucket's pivot meets the others
+PIVOT_ROUNDS = 2
 #: words whose hashes a task keeps
 KNOWN_WORDS = 1 << 18
 
@@ -204,6 +207,16 @@ def _set_maker(n: int):
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, 200):
+            for node, grams in zip(*(c.to_pylist() for c in batch.slice(part, 200).columns)):
+                own = np.frombuffer(grams, np.int64)
+                yield pa.record_batch(
+                    [pa.array(np.full(len(own), node)), pa.array(own)], ["node", "gram"])
+
+
 def _verifier(num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -237,47 +250,74 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
         "node", "text", "_k1", "_k2")
     sets = stage(
         found.mapInArrow(_set_maker(n), "node long, grams binary, sketch binary"), "sets")
-    links = None
-    n_pivots = 1
     current = buckets.withColumn("label", F.col("node"))
-    while True:
-        if n_pivots == 1:
-            heads = current.groupBy("key").agg(F.min("node").alias("pivot"))
-            heads = heads.withColumn("pivot_label", F.col("pivot"))
-        else:
-            first = Window.partitionBy("key").orderBy("node")
-            heads = (
-                current.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n_pivots)
-                .select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-            )
-        pairs = (
-            current.join(heads, "key")
-            .where("label <> pivot_label and node <> pivot")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            .distinct()
-        )
-        one = sets.select(F.col("node").alias("a"), F.col("grams").alias("_x"),
-                          F.col("sketch").alias("_s"))
-        other = sets.select(F.col("node").alias("b"), F.col("grams").alias("_y"),
-                            F.col("sketch").alias("_t"))
-        confirmed = stage(
-            pairs.join(one, "a").join(other, "b").select("a", "b", "_x", "_y", "_s", "_t")
-            .mapInArrow(_verifier(num, den), "a long, b long"), "confirmed")
+    links = None
+    for _ in range(PIVOT_ROUNDS):
+        pivots = current.groupBy("key").agg(F.min(F.struct("node", "label")).alias("p")).select(
+            "key", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        pairs = current.join(pivots, "key").where("label <> pivot_label").select(
+            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        confirmed = confirm(pairs, sets, num, den)
         links = confirmed if links is None else links.union(confirmed)
-        labels = components(links)
-        # what is left: buckets of several components, without the pivots already compared
-        labelled = current.drop("label").join(labels, "node", "left").withColumn(
-            "label", F.coalesce("label", "node"))
-        split = labelled.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        rest = labelled.join(split.select("key"), "key").join(
-            heads.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        current = stage(rest.select("key", "node", "label"), "buckets")
-        # one node alone has no partner left
-        if not current.groupBy("key").agg(
-            (F.min("label") < F.max("label")).alias("open")).where("open").limit(1).count():
-            return links
-        n_pivots *= 2
+        # a pivot has met its whole bucket
+        rest = current.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"],
+                            "left_anti")
+        current = open_buckets(rest.select("key", "node"), components(links))
+    return links.union(confirm(remaining_pairs(current, sets, num, den), sets, num, den))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that are linked, each once."""
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("_x"),
+                      F.col("sketch").alias("_s"))
+    other = sets.select(F.col("node").alias("b"), F.col("grams").alias("_y"),
+                        F.col("sketch").alias("_t"))
+    return stage(
+        pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "_x", "_y", "_s", "_t")
+        .mapInArrow(_verifier(num, den), "a long, b long"), "confirmed")
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, label`` of the buckets whose nodes are in more than one component."""
+    labelled = buckets.join(labels, "node", "left").withColumn(
+        "label", F.coalesce("label", "node"))
+    split = labelled.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return stage(labelled.join(split.select("key"), "key").select("key", "node", "label"),
+                 "buckets")
+
+
+def remaining_pairs(current: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of open buckets that can still be linked and are not in one component.
+
+    A shingle that no other set holds cannot be shared. What a set can share at most bounds
+    the size of its partners, so most sets that are in no component meet no other set at
+    all. Sets outside their bucket's largest component look up each size within the bounds.
+    """
+    nodes = current.select("node").distinct()
+    own = sets.join(nodes, "node").select("node", "grams").dropDuplicates(["node"])
+    singles = (
+        own.mapInArrow(_grams, "node long, gram long").groupBy("gram")
+        .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    )
+    sized = own.select("node", F.expr("octet_length(grams) div 8").alias("size")).join(
+        singles, "node", "left")
+    # shared / (size + other - shared) >= num / den, with shared <= size - alone
+    can_share = F.col("size") - F.coalesce("alone", F.lit(0))
+    bounded = sized.select(
+        "node", "size", F.ceil(F.col("size") * num / den - 1e-9).cast("long").alias("least"),
+        F.floor(can_share * (den + num) / num - F.col("size") + 1e-9).cast("long").alias("most"))
+    rows = stage(current.join(bounded, "node"), "sized")
+    largest = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"))
+    top = F.least(F.col("most"), F.ceil(F.col("size") * den / num).cast("long"))
+    probes = rows.join(largest, "key").where("label <> main").where(F.col("least") <= top).select(
+        "key", F.col("node").alias("probe"), F.col("label").alias("probe_label"),
+        F.col("size").alias("probe_size"), F.explode(F.sequence("least", top)).alias("size"))
+    return rows.join(probes, ["key", "size"]).where(
+        "label <> probe_label and probe_size between least and most"
+    ).select(F.least("node", "probe").alias("a"), F.greatest("node", "probe").alias("b"))
 
 
 def near_duplicates(
