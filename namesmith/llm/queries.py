@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import license_scan, preference_format, toxic_grammar
 from .benchmark_leaks import find_leaks
+from .block_labeller import extract_text
 from .chunk_bpe import token_digest
 from .histogram_shards import histogram_shards
 from .hyperminhash import near_duplicates
@@ -83,3 +84,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pruned_graph")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_block_labeller")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
