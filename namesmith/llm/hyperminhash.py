@@ -156,18 +156,19 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _sketcher(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("_k1", pa.int64()),
-                        ("_k2", pa.int64()), ("_sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()),
+                        ("n_shingles", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()),
+                        ("_sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in range(0, batch.num_rows, _BATCH):
                 cut, rows = batch.slice(part, _BATCH), []
-                for doc_id, text in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist()):
+                for doc_id, key, text in zip(*(c.to_pylist() for c in cut.columns)):
                     grams = shingle_hashes(text, n, hashes)
                     k = xxhash.xxh3_128_intdigest(grams.tobytes())
-                    rows.append((doc_id, len(grams), _signed(k >> 64),
+                    rows.append((doc_id, key, len(grams), _signed(k >> 64),
                                  _signed(k & ((1 << 64) - 1)), registers(grams).tobytes()))
                 yield _arrow(rows, schema)
 
@@ -231,8 +232,10 @@ def _verifier(num: int, den: int):
 
 def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
     """A narrow row for each document, written once so that ``_row`` is fixed."""
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(
-        _sketcher(n), "doc_id long, n_shingles long, _k1 long, _k2 long, _sketch binary")
+    made = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text",
+    ).mapInArrow(_sketcher(n), "doc_id long, text_key long, n_shingles long, _k1 long, _k2 long, "
+                               "_sketch binary")
     return stage(made.withColumn("_row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -323,7 +326,7 @@ def remaining_pairs(current: DataFrame, sets: DataFrame, num: int, den: int) ->
 def near_duplicates(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` and ``first_kept`` of every document.
+    """``doc_id, text_key, n_shingles, component_id, kept, first_kept`` of every document.
 
     Documents whose sets of n-word shingles have a Jaccard similarity of ``num / den`` or
     more are linked; ``component_id`` is the smallest doc_id that links reach and ``kept``
@@ -345,16 +348,37 @@ def near_duplicates(
     named = keys.join(labels, "node", "left").select(
         "_k1", "_k2", F.coalesce("label", "node").alias("_component"))
     placed = stage(
-        rows.select("doc_id", "n_shingles", "_k1", "_k2", "_row").where("n_shingles > 0")
-        .join(named, ["_k1", "_k2"]).select("doc_id", "n_shingles", "_row", "_component")
-        .union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "_row", "_row")),
+        rows.select("doc_id", "text_key", "n_shingles", "_k1", "_k2", "_row").where("n_shingles > 0")
+        .join(named, ["_k1", "_k2"]).select("doc_id", "text_key", "n_shingles", "_row", "_component")
+        .union(rows.where("n_shingles = 0").select(
+            "doc_id", "text_key", "n_shingles", "_row", "_row")),
         "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
     heads = placed.groupBy("_component").agg(F.min(order).alias("_head")).select(
         "_component", F.col("_head.doc_id").alias("component_id"),
         F.col("_head._row").alias("_first"))
     return placed.join(heads, "_component").select(
-        "doc_id", "n_shingles", "component_id",
+        "doc_id", "text_key", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
         (F.col("_row") == F.col("_first")).alias("first_kept"),
     )
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one document of each component.
+
+    Rows of equal id and text cannot be told apart, so any one of them stays; documents
+    without words all stay.
+    """
+    status = near_duplicates(docs, n, num, den).groupBy(
+        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")
+    ).agg(F.count("*").alias("__all"), F.sum(F.col("first_kept").cast("int")).alias("__stay"))
+    # the row as one column, whatever its columns are called
+    marked = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"),
+                         F.xxhash64("text").alias("__text"))
+    stays = stage(status.where("__stay > 0"), "stays")
+    on = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key"))
+    whole = marked.join(stays.where("__stay = __all"), on, "left_semi")
+    one_of = marked.join(stays.where("__stay < __all"), on, "left_semi").dropDuplicates(
+        ["__id", "__text"])
+    return whole.union(one_of).select("__row.*")

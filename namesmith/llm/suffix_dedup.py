@@ -415,3 +415,48 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("_sha", "sha").alias("kept_sha256"),
     )
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
+    """``docs``, all rows and columns, with repeated strings taken out of ``text``.
+
+    What is left of a cut character goes too. ``n_chars``, where there is such a column,
+    counts the new text. A null text stays null.
+    """
+    rows = text_rows(docs, length)
+    spans = repeated_spans(docs, rows, length, bucket)
+    ids = rows.select("uid", F.col("doc_id").alias("__doc"), F.col("_key").alias("__key"))
+    # rows of equal id and text have equal spans
+    cuts = stage(spans.join(ids, "uid").groupBy("__doc", "__key").agg(
+        F.first("spans").alias("__spans")), "cuts")
+    # the row as one column, whatever its columns are called
+    marked = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"),
+                         F.xxhash64("text").alias("__text"))
+    on = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key"))
+    joined = marked.join(cuts, on, "left").select("__row.*", F.col("__spans").alias("__spans"))
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, _BATCH):
+                cut = batch.slice(part, _BATCH)
+                texts = []
+                for text, own in zip(cut.column(at).to_pylist(), cut.column(-1).to_pylist()):
+                    if own:
+                        data, start, kept = text.encode(), 0, []
+                        for lo, hi in merged([(s["lo"], s["hi"]) for s in own]):
+                            kept.append(data[start:lo].decode(errors="ignore"))
+                            start = hi
+                        text = "".join([*kept, data[start:].decode(errors="ignore")])
+                    texts.append(text)
+                columns = list(cut.columns[:-1])
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = joined.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(
+            F.length("text").cast(kind), F.col("n_chars")))
+    return out
