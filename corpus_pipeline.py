@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from namesmith.llm import benchmark_leaks, chunk_bpe, hyperminhash, suffix_dedup, toxic_grammar
 from namesmith.storage import stage
 
-STAGES: list = []
+#: bytes from which a repeated string is taken out: fewer than fifty words of any language have
+PASSAGE = 200
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar, learned from ``labels``, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxic_grammar.keep_clean(docs, toxic_grammar.learn(docs, labels))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, 0.8 or more."""
+    return hyperminhash.keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that stand elsewhere too."""
+    return suffix_dedup.remove_repeats(docs, PASSAGE)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a text of ``benchmark``."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return benchmark_leaks.without_leaks(docs, benchmark)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the number of tokens and digests of the ids and the decoded text."""
+    return chunk_bpe.with_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", repeats),
+    ("decontamination", decontamination),
+    ("bpe", encoding),
+]
+
+# a learned grammar and suffix order have no SQL; tests/llm holds brute-force versions
 ORACLE_SQL = None
 
 
