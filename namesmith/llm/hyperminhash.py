@@ -9,9 +9,8 @@ is confirmed on the whole shingle sets.
 
 Equal sets are merged first. In a bucket of a band one pivot is compared with the others, for
 a few rounds, which settles large groups of near copies. Of the pairs that are left only those
-in different components are formed, and of them those that the sets' sizes and the
-shingles that no other set holds do not rule out: no link is lost that could join
-components.
+in different components are formed, and of them those that sizes and bitmaps of the sets do
+not rule out: no link is lost that could join components.
 """
 
 from __future__ import annotations
@@ -35,6 +34,10 @@ COLLISIONS = 0.169919
 DOUBT = 8
 #: rounds in which a bucket's pivot meets the others
 PIVOT_ROUNDS = 2
+#: 64-bit words of a set's bitmap
+BITMAP_WORDS = 32
+#: sets of a bucket that a task holds at once; larger buckets are dealt to several groups
+GROUP = 20_000
 #: words whose hashes a task keeps
 KNOWN_WORDS = 1 << 18
 
@@ -92,6 +95,13 @@ def registers(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each shingle, by its hash."""
+    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    bits[(grams % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def lenders() -> np.ndarray:
     """For each register an order in which it borrows from the others; fixed by a seed."""
     return np.array([np.random.RandomState(i).permutation(REGISTERS) for i in range(REGISTERS)])
@@ -190,7 +200,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_maker(n: int):
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()),
+                        ("sketch", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -202,20 +213,54 @@ def _set_maker(n: int):
                     k = xxhash.xxh3_128_intdigest(grams.tobytes())
                     # rows that share an id may hold another text
                     if (_signed(k >> 64), _signed(k & ((1 << 64) - 1))) == (r["_k1"], r["_k2"]):
-                        rows.append((r["node"], grams.tobytes(), registers(grams).tobytes()))
+                        rows.append((r["node"], len(grams), grams.tobytes(),
+                                     registers(grams).tobytes(), bitmap(grams)))
                 yield _arrow(rows, schema)
 
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each set."""
-    for batch in batches:
-        for part in range(0, batch.num_rows, 200):
-            for node, grams in zip(*(c.to_pylist() for c in batch.slice(part, 200).columns)):
-                own = np.frombuffer(grams, np.int64)
-                yield pa.record_batch(
-                    [pa.array(np.full(len(own), node)), pa.array(own)], ["node", "gram"])
+def _possible(num: int, den: int):
+    """Pairs of different components that sizes and bitmaps allow to be linked.
+
+    A bit that only one of two sets has stands for at least one shingle that the other has
+    not, which bounds what they share.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(r: dict, nodes, labels, sizes, bits, keys) -> list[tuple[int, int]]:
+        mine = np.frombuffer(r["bits"], np.uint64)
+        shared = np.minimum(
+            r["size"] - np.bitwise_count(mine & ~bits).sum(axis=1, dtype=np.int64),
+            sizes - np.bitwise_count(bits & ~mine).sum(axis=1, dtype=np.int64))
+        fits = (labels != r["label"]) & (shared * (den + num) >= (sizes + r["size"]) * num)
+        found = []
+        for i in np.flatnonzero(fits).tolist():
+            common = set(r["keys"]).intersection(keys[i])
+            if min(common) == r["key"]:
+                found.append((min(r["node"], int(nodes[i])), max(r["node"], int(nodes[i]))))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, arrays, out = None, [], None, []
+        for batch in batches:
+            for part in range(0, batch.num_rows, _BATCH):
+                for r in batch.slice(part, _BATCH).to_pylist():
+                    if (r["key"], r["group"]) != group:
+                        group, held, arrays = (r["key"], r["group"]), [], None
+                    if not r["outside"]:
+                        held.append((r["node"], r["label"], r["size"], r["bits"], r["keys"]))
+                        continue
+                    if arrays is None:
+                        nodes, labels, sizes, bits, keys = zip(*held) if held else [()] * 5
+                        arrays = (
+                            *(np.array(x, np.int64) for x in (nodes, labels, sizes)),
+                            np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS), keys)
+                    out += meet(r, *arrays)
+                yield _arrow(out, schema)
+                out = []
+
+    return run
 
 
 def _verifier(num: int, den: int):
@@ -252,7 +297,8 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     found = wanted.join(texts, wanted["_id"].eqNullSafe(texts["_doc"])).select(
         "node", "text", "_k1", "_k2")
     sets = stage(
-        found.mapInArrow(_set_maker(n), "node long, grams binary, sketch binary"), "sets")
+        found.mapInArrow(_set_maker(n), "node long, size long, grams binary, sketch binary, "
+                                        "bits binary"), "sets")
     current = buckets.withColumn("label", F.col("node"))
     links = None
     for _ in range(PIVOT_ROUNDS):
@@ -266,7 +312,8 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
         rest = current.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"],
                             "left_anti")
         current = open_buckets(rest.select("key", "node"), components(links))
-    return links.union(confirm(remaining_pairs(current, sets, num, den), sets, num, den))
+    rest = remaining_pairs(current, buckets, sets, num, den)
+    return links.union(confirm(rest, sets, num, den))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -290,37 +337,35 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
                  "buckets")
 
 
-def remaining_pairs(current: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def remaining_pairs(
+    current: DataFrame, buckets: DataFrame, sets: DataFrame, num: int, den: int
+) -> DataFrame:
     """All pairs of open buckets that can still be linked and are not in one component.
 
-    A shingle that no other set holds cannot be shared. What a set can share at most bounds
-    the size of its partners, so most sets that are in no component meet no other set at
-    all. Sets outside their bucket's largest component look up each size within the bounds.
+    Sets outside their bucket's largest component meet all others of the bucket, whose
+    members are dealt to several groups where they are many. A task holds a group's sizes
+    and bitmaps and lets the outsiders pass by. A pair comes out of the bucket of its least
+    common key only: if that is not open, one of the two was its pivot and has met the other.
     """
-    nodes = current.select("node").distinct()
-    own = sets.join(nodes, "node").select("node", "grams").dropDuplicates(["node"])
-    singles = (
-        own.mapInArrow(_grams, "node long, gram long").groupBy("gram")
-        .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-        .groupBy("node").agg(F.count("*").alias("alone"))
+    own = sets.select("node", "size", "bits").dropDuplicates(["node"])
+    keys = buckets.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    open_nodes = current.select("node").distinct()
+    traits = open_nodes.join(own, "node").join(keys, "node")
+    labels = current.groupBy("key", "label").agg(F.count("*").alias("n"))
+    per_bucket = labels.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"),
+        F.ceil(F.sum("n") / GROUP).cast("int").alias("groups"))
+    rows = stage(current.join(per_bucket, "key").join(traits, "node"), "open")
+    members = rows.withColumn("group", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    outsiders = rows.where("label <> main").withColumn(
+        "group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    columns = ["key", "group", "outside", "node", "label", "size", "bits", "keys"]
+    dealt = members.withColumn("outside", F.lit(False)).select(columns).union(
+        outsiders.withColumn("outside", F.lit(True)).select(columns))
+    return (
+        dealt.repartition("key", "group").sortWithinPartitions("key", "group", "outside", "node")
+        .mapInArrow(_possible(num, den), "a long, b long")
     )
-    sized = own.select("node", F.expr("octet_length(grams) div 8").alias("size")).join(
-        singles, "node", "left")
-    # shared / (size + other - shared) >= num / den, with shared <= size - alone
-    can_share = F.col("size") - F.coalesce("alone", F.lit(0))
-    bounded = sized.select(
-        "node", "size", F.ceil(F.col("size") * num / den - 1e-9).cast("long").alias("least"),
-        F.floor(can_share * (den + num) / num - F.col("size") + 1e-9).cast("long").alias("most"))
-    rows = stage(current.join(bounded, "node"), "sized")
-    largest = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"))
-    top = F.least(F.col("most"), F.ceil(F.col("size") * den / num).cast("long"))
-    probes = rows.join(largest, "key").where("label <> main").where(F.col("least") <= top).select(
-        "key", F.col("node").alias("probe"), F.col("label").alias("probe_label"),
-        F.col("size").alias("probe_size"), F.explode(F.sequence("least", top)).alias("size"))
-    return rows.join(probes, ["key", "size"]).where(
-        "label <> probe_label and probe_size between least and most"
-    ).select(F.least("node", "probe").alias("a"), F.greatest("node", "probe").alias("b"))
 
 
 def near_duplicates(
