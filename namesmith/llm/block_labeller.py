@@ -391,12 +391,17 @@ def disguised(blocks: list[Block], labels: list[int], pool: list[str], rng: rand
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A network fitted to the ``sample`` pages of least hash; None if none can be taught.
+    """A network fitted to about ``sample`` pages; None if none can be taught.
 
-    Each page is learned as it is and in two disguises.
+    They are the pages whose hash is below a bound. Each is learned as it is and in two
+    disguises.
     """
-    drawn = pages.select("html").where("html is not null").withColumn(
-        "_h", F.xxhash64("html")).orderBy("_h").limit(sample)
+    known = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
+    bound = round(min(1.0, sample / max(1, known.count())) * (1 << 40))
+    hashed = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
+    # one of each text, and the limit for the case that chance puts far more below the bound
+    drawn = known.where(hashed < bound).dropDuplicates(["html"]).limit(2 * sample).orderBy(
+        F.xxhash64("html"))
     rng, vectors, examples, taught = random.Random(0), Vectors(), [], []
     for r in drawn.collect():  # at most `sample` pages
         blocks = leaf_blocks(r["html"])

@@ -1,14 +1,14 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash of the last bytes cuts texts into chunks, so texts that share a passage share
-its chunks whatever stands before. A task encodes a chunk once and keeps the result for
-all its documents, within a bound of bytes. A chunk's own encoding is exact from its first to
+its chunks whatever stands before. A worker process encodes a chunk once and keeps the result
+for all documents of all its tasks, within a bound of bytes. A chunk's own encoding is exact from its first to
 its last white space, because no token reaches over white space; at a join the rest of the
 left chunk and the head of the right one are encoded again as one run, which grows over
 further chunks until it ends in white space on both sides and so agrees with what surrounds
 it. The tokens of equal words are kept in the same way.
 
-The encodings stay with the task that made them: a table of them that tasks share would
+The encodings stay with the process that made them: a table of them that all share would
 have several times the bytes of the texts.
 """
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: bytes that decide a cut, and one cut in so many places
-WINDOW, EVERY = 16, 1024
-#: what a task keeps: characters of encoded chunks, and words
-KEPT_CHARACTERS, KEPT_WORDS = 24_000_000, 1 << 17
+WINDOW, EVERY = 8, 1024
+#: what a worker process keeps: characters of encoded chunks, and words
+KEPT_CHARACTERS, KEPT_WORDS = 24_000_000, 400_000
 
 # white space of the tokenizer's patterns; fixed values
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -107,9 +109,11 @@ class WordEncoder(dict):
                 found = [(1, str(self.special[part]), part)]
             else:
                 found = list(map(self.__getitem__, self.pieces.findall(_normal(part))))
-            n += sum(f[0] for f in found)
-            ids += [f[1] for f in found]
-            tokens += [f[2] for f in found]
+            if found:
+                counts, own_ids, own_tokens = zip(*found)
+                n += sum(counts)
+                ids += own_ids
+                tokens += own_tokens
         return n, ids, tokens
 
 
@@ -206,6 +210,19 @@ class ChunkEncoder:
         return n, " ".join(ids), " ".join(tokens)
 
 
+def kept_encoder(path: str) -> ChunkEncoder:
+    """The encoder that this worker process keeps from task to task.
+
+    Code that travels with a task has module variables of its own, so a module that
+    only holds the encoders stands in for them.
+    """
+    home = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
+    encoders = home.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = ChunkEncoder(path)
+    return encoders[path]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every document.
 
@@ -213,7 +230,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     empty and has no ids; repeated rows are encoded one by one; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(vocabulary)
+        coder = kept_encoder(vocabulary)
         for batch in batches:
             for part in range(0, batch.num_rows, 50):
                 cut = batch.slice(part, 50)
@@ -234,7 +251,7 @@ def with_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     at = source.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(vocabulary)
+        coder = kept_encoder(vocabulary)
         for batch in batches:
             for part in range(0, batch.num_rows, _BATCH):
                 cut = batch.slice(part, _BATCH)
