@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesmith.constants import MAX_LENGTH, VOCAB_SIZE
 from namesmith.functions.text import clean_generated_name, fill_missing_prediction
 from namesmith.operators import encode as enc
 from namesmith.operators import predict as pred
@@ -15,7 +16,7 @@ from . import sql, views
 from .clean import clean, tagged
 from .registry import check
 
-LENGTH, WORDS = 32, 200
+LENGTH, WORDS = MAX_LENGTH, VOCAB_SIZE
 
 
 def shown(ids: str) -> Column:
@@ -89,19 +90,26 @@ def encode_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOCUMENT_IDS = f"""with vocab as ({sql.vocab('documents', 'text', 5000)}),
+DOCUMENT_IDS = """with vocab as ({vocab}),
 coded as (select doc_id as id, text from documents),
-ids as ({sql_ids('text', 512)})
-select id, md5({sql_padded('ids')}) as digest, size from ids"""
+ids as ({ids})
+select id, md5({padded}) as digest, size from ids"""
+ALL_WORDS = 1 << 40
 
 
-@check("encode_documents", DOCUMENT_IDS)
+def document_ids(words: int) -> str:
+    return DOCUMENT_IDS.format(
+        vocab=sql.vocab("documents", "text", words), ids=sql_ids("text", 512),
+        padded=sql_padded("ids"))
+
+
+@check("encode_documents", document_ids(ALL_WORDS))
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.working_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), "text"
     )
-    vocab = stage(enc.build_vocab(docs, "text", 5000), "vocab")
-    return digests(enc.encode(docs, vocab, {"input_ids": "text"}, 512, max_vocab=5000))
+    vocab = stage(enc.build_vocab(docs, "text", None), "vocab")
+    return digests(enc.encode(docs, vocab, {"input_ids": "text"}, 512))
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -112,13 +120,13 @@ def digests(rows: DataFrame) -> DataFrame:
     )
 
 
-@check("encode_documents_by_join", DOCUMENT_IDS)
+@check("encode_documents_by_join", document_ids(5000))
 def encode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.working_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), "text"
     )
     vocab = stage(enc.build_vocab(docs, "text", 5000), "vocab")
-    return digests(enc.encode_by_join(docs, vocab, {"input_ids": "text"}, 512))
+    return digests(enc.encode(docs, vocab, {"input_ids": "text"}, 512))
 
 
 DECODED = f"""
@@ -136,7 +144,7 @@ select id, text as label from decoded""",
 )
 def decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vocab = encoded(spark, sf_dir)
-    return enc.decode(rows.select("id", "labels"), "labels", vocab, "label").drop("labels")
+    return enc.decode(rows.select("id", "labels"), "labels", vocab, "label")
 
 
 @check(
@@ -188,10 +196,10 @@ def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def echo_model():
-    """A model that repeats the first eight ids of its input."""
+    """A model that repeats its input."""
 
     def predict(input_ids, attention_mask):
-        return (input_ids * attention_mask)[:, :8]
+        return input_ids * attention_mask
 
     return predict
 
@@ -200,7 +208,7 @@ def echo_model():
     "predict_batches",
     f"""{views.ctes('fx', **TAGGED, **VOCAB, coded="select id, full_code from tagged",
         code_ids=sql_ids('full_code', LENGTH),
-        outputs="select id, list_slice(ids, 1, 8) as ids from code_ids",
+        outputs="select id, ids from code_ids",
         decoded=DECODED % 'outputs')}
 select id, case when name = '' then '<no_prediction>' else name end as prediction
 from ({longest('decoded', 'id')})""",

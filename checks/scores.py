@@ -290,17 +290,47 @@ def evaluate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "report",
-    f"""{views.ctes('pairs', counted=COUNTED)}
-select run_id, line_no, line from (
- select run_id, 0 as line_no, 'Accuracy: ' || format('{{:.2f}}', sum(common) / sum(np)) as line
- from counted group by run_id
- union all
- select run_id, 1, 'ROUGE: ' || format('{{:.2f}}', avg(case when nl = 0 then 0 else common / nl end))
- from counted group by run_id)""",
+    f"""{views.ctes('pairs', **EVALUATED)}
+select run_id, line_no, caption, round(value, 6) as value from (
+ select run_id, 0 as line_no, 'Accuracy: ' as caption, format('{{:.2f}}', accuracy)::double as value
+ from metrics
+ union all select run_id, 1, 'ROUGE: ', format('{{:.2f}}', rouge1)::double from metrics
+ union all select run_id, 2, 'Levenshtein Distance: ', levenshtein from metrics
+ union all select run_id, 3, 'Semantic Similarity: ', format('{{:.2f}}', similarity)::double
+ from metrics)""",
 )
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines with fixed decimals; the third is an unrounded float."""
-    return report(metrics.evaluate(views.pairs(spark, sf_dir))).where("line_no < 2")
+    """All lines; their numbers are read back, as the third is an unrounded float."""
+    lines = report(scored(spark, sf_dir))
+    number = F.regexp_extract("line", "[-0-9.E]+$", 0)
+    return lines.select(
+        "run_id", "line_no", F.expr("substring(line, 1, length(line) - length(regexp_extract(line, "
+                                    "'[-0-9.E]+$', 0)))").alias("caption"),
+        F.round(number.cast("double"), 6).alias("value"),
+    )
+
+
+MISSING_PAIRS = """
+select run_id, case when label_id % 5 = 0 then '' else label end as label,
+ case when label_id % 3 = 0 then '<no_prediction>' else prediction end as prediction
+from (select *, length(label) + length(prediction) as label_id from pairs)
+"""
+
+
+@check(
+    "evaluate_missing",
+    f"""{views.ctes('pairs', gappy=MISSING_PAIRS, counted=counted('gappy'), basic=BASIC)}
+select run_id, n, {', '.join(f'round({m}, 6) as {m}' for m in metrics.METRIC_NAMES[:4])} from basic
+union all select 'empty', 0, 0.0, 0.0, 0.0, null""",
+)
+def evaluate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing labels and predictions, and a run without pairs."""
+    size = F.length("label") + F.length("prediction")
+    some = views.pairs(spark, sf_dir).withColumns({
+        "label": F.when(size % 5 == 0, None).otherwise(F.col("label")),
+        "prediction": F.when(size % 3 == 0, None).otherwise(F.col("prediction")),
+    })
+    return rounded(metrics.evaluate(some, runs=["base", "tuned", "empty"]), "run_id", "n")
 
 
 def chars(name: str) -> str:
@@ -394,7 +424,7 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = views.fx(spark, sf_dir).where("id % 3 > 0").select(
         F.col("id").alias("l_partkey"), "identifier"
     )
-    return align.lookup_join(lines, methods, ["l_partkey"], hot_keys=100).select(
+    return align.lookup_join(lines, methods, ["l_partkey"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "identifier"
     )
 

@@ -166,11 +166,11 @@ BASE_PAIRS = "select example_id, label, prediction from pairs where run_id = 'ba
 @check(
     "read_predictions",
     f"""{views.ctes('pairs')}
-select example_id, prediction from ({BASE_PAIRS})""",
+select example_id, run_id, prediction from pairs""",
 )
 def read_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "predictions")
-    tables.write_predictions(views.pairs(spark, sf_dir).where("run_id = 'base'"), path)
+    tables.write_predictions(views.pairs(spark, sf_dir), path)
     return tables.read_predictions(spark, path)
 
 

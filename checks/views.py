@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.names import split_camel_case
-from namesmith.operators.align import number_rows, spread
+from namesmith.operators.align import number_rows
 from namesmith.storage import stage
 
 TABLES = ["part", "lineitem"]
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def working_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = table(spark, sf_dir, name)
-    return spread(rows) if name in SPREAD else rows
+    return rows.repartition(spark.sparkContext.defaultParallelism) if name in SPREAD else rows
 
 
 # one method per part; modifiers as text joined by "|"

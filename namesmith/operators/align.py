@@ -1,4 +1,4 @@
-"""Row positions, positional alignment and size-checked broadcasts."""
+"""Row positions, positional alignment, lookups and multisets."""
 
 from __future__ import annotations
 
@@ -58,56 +58,25 @@ def zip_by_position(
     return numbered_left.join(numbered_right, "position")
 
 
-# keys counted as frequent; every other key then holds less than 1 / HOT_KEYS of the rows
-HOT_KEYS = 1_000
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the size Spark knows for ``df`` is within its broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
 def lookup_join(
-    df: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    hot_keys: int = HOT_KEYS,
-    counted: DataFrame | None = None,
+    df: DataFrame, table: DataFrame, keys: list[str], unique: bool = False
 ) -> DataFrame:
-    """Left join to a table with one row per key, safe for keys that dominate ``df``.
+    """Left join to a table with one row per key; a repeated key is an error.
 
-    A table of known small size is left to Spark, which broadcasts it. Beyond that the
-    most frequent keys are counted first (in ``counted`` if that is cheaper than
-    ``df``) and looked up by broadcasting just their ``hot_keys`` table rows; only rows
-    with other keys are shuffled.
-    """
-    if fits_broadcast(table):
-        return df.join(table, keys, "left")
-    keyed = df if counted is None else counted
-    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    top = counts.orderBy(F.desc("_rows"), *keys).limit(hot_keys)
-    hot = F.broadcast(top.select(*keys, F.lit(True).alias("_hot")))
-    # neither side of these joins moves: the frequent keys go to the rows of both
-    answers = F.broadcast(table.join(hot, keys).drop("_hot"))
-    marked = df.join(hot, keys, "left")
-    # rows with a null key find nothing and need not meet in one partition either
-    settled = F.col("_hot").isNotNull()
-    for key in keys:
-        settled = settled | F.col(key).isNull()
-    direct = marked.where(settled).drop("_hot").join(answers, keys, "left")
-    rest = marked.where(~settled).drop("_hot").join(table, keys, "left")
-    return direct.unionByName(rest)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a source with fewer splits than cores out to all cores.
-
-    Large tables have more splits than cores and pass through without a shuffle.
+    One pass over ``df``: Spark broadcasts the table where its own size limit allows that,
+    and else shuffles both sides and splits the partitions of keys that dominate ``df``.
+    ``unique`` says that the table is known to repeat no key, which saves the check.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if not unique:
+        table = table.dropna(subset=keys)  # a null key matches nothing
+        most = table.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+        stop = F.raise_error(F.lit(f"a key of {', '.join(keys)} is repeated"))
+        fine = F.coalesce(most, F.lit(0)) <= 1
+        values = [c for c in table.columns if c not in keys]
+        table = table.select(
+            *keys, *[F.when(fine, F.col(c)).otherwise(stop).alias(c) for c in values]
+        )
+    return df.join(table, keys, "left")
 
 
 def multiset_intersect(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..constants import (
     FIRST_WORD_ID, IGNORE_ID, MASK_ID, MASK_TOKEN, MAX_LENGTH, PAD_ID, UNK_ID, VOCAB_SIZE,
 )
 from ..functions.names import split_camel_case
-from .align import lookup_join
+from .align import lookup_join, number_rows
 
 # the hidden name, word pieces, numbers, white space, any other character: together
 # they cover the text, so joined pieces give it back
@@ -23,15 +21,22 @@ def pieces(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def build_vocab(texts: DataFrame, column: str, max_size: int = VOCAB_SIZE) -> DataFrame:
+def build_vocab(
+    texts: DataFrame, column: str, max_size: int | None = VOCAB_SIZE
+) -> DataFrame:
     """``(word, word_id, n)`` of the most frequent pieces, ties in word order.
 
-    Counting combines before the shuffle; ranking sees at most ``max_size`` rows.
+    Counting combines before the shuffle; ranking sees at most ``max_size`` rows. Without
+    a ``max_size`` all pieces are ranked, in ranges.
     """
     words = texts.select(F.explode(pieces(column)).alias("word"))
     counts = words.where(F.col("word") != MASK_TOKEN).groupBy("word").agg(
         F.count("*").alias("n")
     )
+    if max_size is None:
+        ranked = number_rows(counts.withColumn("_less", -F.col("n")), ["_less", "word"], "_rank")
+        ids = (F.col("_rank") + FIRST_WORD_ID).cast("int").alias("word_id")
+        return ranked.select("word", ids, "n")
     top = counts.orderBy(F.desc("n"), "word").limit(max_size)
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return top.select("word", (rank + (FIRST_WORD_ID - 1)).alias("word_id"), "n")
@@ -49,56 +54,6 @@ def attention_mask(size: Column, length: int) -> Column:
     )
 
 
-class VocabLookup:
-    """A vocabulary as constants of the plan, for lookups inside a projection.
-
-    Reads the (at most ``max_size``) rows once. Words are spread over as many small
-    maps as there are words, so a lookup is one index step and a short scan.
-    """
-
-    def __init__(self, vocab: DataFrame, max_size: int = VOCAB_SIZE):
-        rows = vocab.select(F.hash("word"), "word", "word_id").limit(max_size + 1).collect()
-        if len(rows) > max_size:
-            raise ValueError(f"vocabulary has more than {max_size} words")
-        self.buckets = max(len(rows), 1)
-        buckets: list[dict[str, int]] = [{} for _ in range(self.buckets)]
-        words = [""] * len(rows)
-        for hashed, word, word_id in rows:
-            buckets[hashed % self.buckets][word] = word_id
-            words[word_id - FIRST_WORD_ID] = word
-        self._ids = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-        self._words = F.from_json(F.lit(json.dumps(words)), "array<string>")
-
-    def word_id(self, word: Column) -> Column:
-        bucket = F.get(self._ids, F.pmod(F.hash(word), F.lit(self.buckets)))
-        known = F.coalesce(F.try_element_at(bucket, word), F.lit(UNK_ID))
-        return F.when(word == MASK_TOKEN, F.lit(MASK_ID)).otherwise(known)
-
-    def word(self, word_id: Column) -> Column:
-        return F.get(self._words, word_id - FIRST_WORD_ID)
-
-
-def encode(
-    df: DataFrame,
-    vocab: DataFrame,
-    columns: dict[str, str],
-    max_length: int = MAX_LENGTH,
-    max_vocab: int = VOCAB_SIZE,
-) -> DataFrame:
-    """Replace text columns by id arrays; ``columns`` maps output to text column.
-
-    Adds ``attention_mask`` for the first of them. A projection: no row moves. For a
-    vocabulary above ``max_vocab`` words use ``encode_by_join``.
-    """
-    lookup = VocabLookup(vocab, max_vocab)
-    ids = {
-        f"_{field}": F.transform(F.slice(pieces(text), 1, max_length), lookup.word_id)
-        for field, text in enumerate(columns.values())
-    }
-    keep = [name for name in df.columns if name not in {*columns, *columns.values()}]
-    return _fixed_length(df.withColumns(ids), keep, list(columns), max_length)
-
-
 def _fixed_length(df: DataFrame, keep: list[str], outputs: list[str], length: int) -> DataFrame:
     # ids wait in "_0", "_1": inside a lambda an output name would mean the padded array
     return df.select(
@@ -108,17 +63,17 @@ def _fixed_length(df: DataFrame, keep: list[str], outputs: list[str], length: in
     )
 
 
-def encode_by_join(
+def encode(
     df: DataFrame,
     vocab: DataFrame,
     columns: dict[str, str],
     max_length: int = MAX_LENGTH,
     keys: tuple[str, ...] = ("id",),
 ) -> DataFrame:
-    """``encode`` for a vocabulary of any size; keeps the unique ``keys`` only.
+    """``keys``, which must identify a row, and id arrays; ``columns`` maps output to text.
 
-    Texts are cut to ``max_length`` pieces before they are spread out, frequent words
-    are looked up by broadcast and only the others are shuffled.
+    Adds ``attention_mask`` for the first of them. The vocabulary may have any size: texts
+    are cut to ``max_length`` pieces, spread out to a row a piece, looked up and gathered.
     """
     tokens = F.array(*[F.slice(pieces(text), 1, max_length) for text in columns.values()])
     rows = df.select(*keys, F.posexplode(tokens).alias("_field", "_tokens"))
@@ -146,16 +101,29 @@ def encode_examples(
 ) -> DataFrame:
     """All splits in one pass: masked code and name, as models read them."""
     columns = {"input_ids": "full_code", "labels": "labels"}
-    return encode(examples.select("id", "split", "full_code", "labels"), vocab, columns, max_length)
+    rows = examples.select("id", "split", "full_code", "labels")
+    return encode(rows, vocab, columns, max_length, ("id", "split"))
 
 
 def decode(
-    df: DataFrame, ids: str, vocab: DataFrame, output: str = "text", max_vocab: int = VOCAB_SIZE
+    df: DataFrame,
+    ids: str,
+    vocab: DataFrame,
+    output: str = "text",
+    keys: tuple[str, ...] = ("id",),
 ) -> DataFrame:
-    """Add the text of id arrays; special ids are skipped, pieces joined."""
-    lookup = VocabLookup(vocab, max_vocab)
-    items = F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID)
-    return df.withColumn(output, F.array_join(F.transform(items, lookup.word), ""))
+    """``keys``, which must identify a row, and the text of its ids.
+
+    Special ids are skipped and pieces joined, for a vocabulary of any size.
+    """
+    words = F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID)
+    rows = df.select(*keys, F.posexplode_outer(words).alias("_pos", "word_id"))
+    known = lookup_join(rows, vocab.select("word_id", "word"), ["word_id"])
+    items = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("_pos", "word")))
+    texts = known.groupBy(*keys).agg(F.array_sort(items).alias("_items"))
+    return texts.select(
+        *keys, F.array_join(F.transform("_items", lambda item: item["word"]), "").alias(output)
+    )
 
 
 def replace_ignored(ids: Column | str, ignore_id: int = IGNORE_ID) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import NO_PREDICTION
 from ..functions.names import (
     char_tokens, levenshtein, multiset_overlap, ngrams, ratio, split_camel_case,
 )
@@ -19,9 +20,31 @@ from .align import lookup_join
 METRIC_NAMES = ["accuracy", "accuracy_by_label", "rouge1", "levenshtein", "similarity"]
 
 
+def present(pairs: DataFrame) -> DataFrame:
+    """A missing label is an empty name, a missing prediction the no-prediction marker."""
+    return pairs.withColumns(
+        {
+            "label": F.coalesce("label", F.lit("")),
+            "prediction": F.coalesce("prediction", F.lit(NO_PREDICTION)),
+        }
+    )
+
+
+def for_runs(scores: DataFrame, runs: list[str] | None) -> DataFrame:
+    """A row for each of ``runs``, also for those without pairs.
+
+    Without pairs counts and shares are 0 and there is no mean distance.
+    """
+    if runs is None:
+        return scores
+    asked = scores.sparkSession.createDataFrame([(r,) for r in runs], "run_id string")
+    zeros = {c: 0 for c in scores.columns if c not in ("run_id", "levenshtein")}
+    return asked.join(scores, "run_id", "left").fillna(zeros)
+
+
 def subword_counts(pairs: DataFrame) -> DataFrame:
     """Add subwords of both names, their numbers and the number in common."""
-    words = pairs.withColumns(
+    words = present(pairs).withColumns(
         {
             "label_words": split_camel_case("label"),
             "prediction_words": split_camel_case("prediction"),
@@ -54,20 +77,21 @@ def _macro_recall(overlap: Column, total: Column) -> Column:
     return F.coalesce(F.avg(ratio(overlap, total)), F.lit(0.0))
 
 
-def subword_accuracy(pairs: DataFrame) -> DataFrame:
+def subword_accuracy(pairs: DataFrame, runs: list[str] | None = None) -> DataFrame:
     """Share of matched subwords over all pairs.
 
     ``accuracy`` divides by the subwords of the predictions, which is how the
     published figures were taken; ``accuracy_by_label`` divides by those of the labels.
     """
-    return subword_counts(pairs).groupBy("run_id").agg(
+    scores = subword_counts(pairs).groupBy("run_id").agg(
         _micro("n_prediction").alias("accuracy"), _micro("n_label").alias("accuracy_by_label")
     )
+    return for_runs(scores, runs)
 
 
-def rouge_n_recall(pairs: DataFrame, n: int = 1) -> DataFrame:
+def rouge_n_recall(pairs: DataFrame, n: int = 1, runs: list[str] | None = None) -> DataFrame:
     """Mean over pairs of the share of label n-grams found in the prediction."""
-    grams = pairs.select(
+    grams = present(pairs).select(
         "run_id",
         ngrams(split_camel_case("label"), n).alias("label_grams"),
         ngrams(split_camel_case("prediction"), n).alias("prediction_grams"),
@@ -76,15 +100,18 @@ def rouge_n_recall(pairs: DataFrame, n: int = 1) -> DataFrame:
         F.size("label_grams").alias("total"),
         multiset_overlap("label_grams", "prediction_grams").alias("overlap"),
     )
-    return grams.groupBy("run_id").agg(
+    scores = grams.groupBy("run_id").agg(
         _macro_recall(F.col("overlap"), F.col("total")).alias(f"rouge{n}")
     )
+    return for_runs(scores, runs)
 
 
-def mean_levenshtein(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("run_id").agg(
+def mean_levenshtein(pairs: DataFrame, runs: list[str] | None = None) -> DataFrame:
+    """Mean edit distance of a run; null for a run without pairs."""
+    scores = present(pairs).groupBy("run_id").agg(
         F.avg(levenshtein("label", "prediction")).alias("levenshtein")
     )
+    return for_runs(scores, runs)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -92,10 +119,10 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def name_vectors(names: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(name, vec, norm)`` of distinct names: the sum of their known word vectors.
+    """``(name, vec)`` of distinct names: the sum of their known word vectors at length 1.
 
-    The cosine of two sums is that of the two means. Names without a known word are
-    left out.
+    The cosine of two sums is that of the two means. Names without a known word, or whose
+    vectors cancel out, are left out.
     """
     words = names.select("name", F.posexplode(split_camel_case("name")).alias("pos", "word"))
     table = vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
@@ -110,61 +137,59 @@ def name_vectors(names: DataFrame, vectors: DataFrame) -> DataFrame:
         lambda s, item: F.zip_with(s, item["vec"], lambda x, y: x + y),
     )
     sums = items.select("name", total.alias("vec"))
-    return sums.withColumn("norm", F.sqrt(_dot(F.col("vec"), F.col("vec"))))
+    norm = F.sqrt(_dot(F.col("vec"), F.col("vec")))
+    known_length = sums.withColumn("norm", norm).where("norm > 0")
+    return known_length.select("name", F.transform("vec", lambda x: x / F.col("norm")).alias("vec"))
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of the mean word vectors of each distinct pair, with its ``copies``.
+    """Cosine of the mean word vectors of each distinct pair, with its ``copies`` per run.
 
-    Equal names score 1, names without any known word 0. Repeated pairs are merged
-    first and vectors are made once per distinct name, then looked up for both sides.
+    Equal names score 1, names without any known word 0. A pair is scored once for all
+    runs: repeated pairs are merged first, vectors are made once per distinct name, and only
+    the score goes back to the runs' rows.
     """
-    # staged, as every lookup passes over it several times
     distinct = stage(
-        pairs.groupBy("run_id", "label", "prediction").agg(F.count("*").alias("copies")),
+        present(pairs).groupBy("run_id", "label", "prediction").agg(F.count("*").alias("copies")),
         "distinct-pairs",
     )
-    names = distinct.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
-    known = stage(name_vectors(names, vectors), "name-vectors")
-
-    def side(name: str, prefix: str) -> DataFrame:
-        return known.select(
-            F.col("name").alias(name),
-            F.col("vec").alias(f"{prefix}_vec"),
-            F.col("norm").alias(f"{prefix}_norm"),
-        )
-
-    with_label = lookup_join(distinct, side("label", "l"), ["label"])
-    both = lookup_join(with_label, side("prediction", "p"), ["prediction"], counted=distinct)
-    norms = F.col("l_norm") * F.col("p_norm")
-    cosine = F.coalesce(ratio(_dot(F.col("l_vec"), F.col("p_vec")), norms), F.lit(0.0))
-    same = F.col("label").eqNullSafe(F.col("prediction")) | (
+    same = (F.col("label") == F.col("prediction")) | (
         split_camel_case("label") == split_camel_case("prediction")
     )
-    return both.select(
-        "run_id",
-        "label",
-        "prediction",
-        "copies",
-        F.when(same, F.lit(1.0)).otherwise(cosine).alias("similarity"),
+    differing = distinct.where(~same).select("label", "prediction").distinct()
+    names = differing.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
+    known = stage(name_vectors(names, vectors), "name-vectors")
+    one = known.select(F.col("name").alias("label"), F.col("vec").alias("l_vec"))
+    other = known.select(F.col("name").alias("prediction"), F.col("vec").alias("p_vec"))
+    cosines = differing.join(one, "label").join(other, "prediction").select(
+        "label", "prediction", _dot(F.col("l_vec"), F.col("p_vec")).alias("similarity")
     )
+    found = lookup_join(distinct, cosines, ["label", "prediction"], unique=True)
+    scored = F.when(same, F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
+    return found.select("run_id", "label", "prediction", "copies", scored.alias("similarity"))
 
 
-def mean_semantic_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def mean_semantic_similarity(
+    pairs: DataFrame, vectors: DataFrame, runs: list[str] | None = None
+) -> DataFrame:
     """Mean similarity over all pairs of a run."""
-    return pair_similarity(pairs, vectors).groupBy("run_id").agg(
+    scores = pair_similarity(pairs, vectors).groupBy("run_id").agg(
         (F.sum(F.col("similarity") * F.col("copies")) / F.sum("copies")).alias("similarity")
     )
+    return for_runs(scores, runs)
 
 
-def evaluate(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def evaluate(
+    pairs: DataFrame, vectors: DataFrame | None = None, runs: list[str] | None = None
+) -> DataFrame:
     """All metrics per run; ``similarity`` only when word vectors are given.
 
     Without vectors every pair is scored where it is. With them repeated pairs have
-    been merged for the lookup, and the other metrics are taken on the merged pairs.
+    been merged for the lookup, and the other metrics are taken on the merged pairs. Runs
+    asked for by name have a row even without pairs.
     """
     if vectors is None:
-        merged = pairs.withColumn("copies", F.lit(1))
+        merged = present(pairs).withColumn("copies", F.lit(1))
     else:
         merged = pair_similarity(pairs, vectors)
     scored = subword_counts(merged).withColumns(
@@ -190,7 +215,8 @@ def evaluate(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     }
     if vectors is not None:
         columns["similarity"] = mean("similarity")
-    return scored.groupBy("run_id").agg(*[c.alias(name) for name, c in columns.items()])
+    scores = scored.groupBy("run_id").agg(*[c.alias(name) for name, c in columns.items()])
+    return for_runs(scores, runs)
 
 
 def _f1(overlap: Column, a: Column, b: Column) -> Column:
@@ -202,7 +228,7 @@ def char_rouge(pairs: DataFrame) -> DataFrame:
 
     ``rougeLsum`` takes every character as a sentence, which makes it equal ``rouge1``.
     """
-    tokens = pairs.select(
+    tokens = present(pairs).select(
         "run_id",
         char_tokens("label").alias("a"),
         char_tokens("prediction").alias("b"),

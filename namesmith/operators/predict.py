@@ -77,7 +77,7 @@ def predict_majority(
 ) -> DataFrame:
     """``keep`` and the prediction by signature; the marker where that is new."""
     signature = ["type_identifier", "formal_parameters"]
-    found = lookup_join(test.select(*keep, *signature), model, signature)
+    found = lookup_join(test.select(*keep, *signature), model, signature, unique=True)
     return found.select(*keep, fill_missing_prediction(F.col("prediction")).alias("prediction"))
 
 
@@ -111,7 +111,7 @@ def predict_nearest(
     """``keep``, which must identify a row, and the vote of its nearest methods."""
     words = test.select(*keep, F.explode_outer(code_words("full_code")).alias("word"))
     known = F.when(F.col("holders").isNotNull(), F.struct("holders", "word", "prediction"))
-    best = lookup_join(words, model, ["word"]).groupBy(*keep).agg(F.min(known).alias("best"))
+    best = lookup_join(words, model, ["word"], unique=True).groupBy(*keep).agg(F.min(known).alias("best"))
     return best.select(
         *keep, fill_missing_prediction(F.col("best.prediction")).alias("prediction")
     )

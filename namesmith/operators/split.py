@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HOLDOUT_ROWS, SEED, VALIDATION_ROWS
+from ..storage import stage
 
 _PREFIX = 4  # hex digits of the key: 65,536 equal buckets
 
@@ -40,15 +41,29 @@ def nth_key(df: DataFrame, n: int, seed: int | str = SEED, key: str = "id") -> D
     Keys are uniform, so they are counted by prefix and only the bucket that holds the
     bound is ranked. A top-k would send up to ``n`` rows of every task to a single one.
     """
-    keys = df.select(_ordered(seed, key).alias("s"))
-    prefix = F.substring("s.k", 1, _PREFIX)
-    counts = keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("c"))
+    return _bound(df.select(_ordered(seed, key).alias("s")), n, _bucket_of(df, n, seed, key))
+
+
+def _bucket_of(df: DataFrame, n: int, seed: int | str, key: str) -> tuple[str, int] | None:
+    """Prefix of the bucket with the ``n``-th key, and the rows before it.
+
+    At most 65,536 counts are summed up.
+    """
+    prefix = F.substring(shuffle_key(seed, key), 1, _PREFIX)
+    counts = df.groupBy(prefix.alias("p")).agg(F.count("*").alias("c"))
     upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("p")))
-    hit = upto.where(F.col("upto") >= n).agg(F.min(F.struct("p", "upto", "c"))).scalar()
-    inside = keys.where(prefix == hit["p"])
+    hit = upto.where(F.col("upto") >= n).orderBy("p").limit(1).first()
+    return hit and (hit["p"], hit["upto"] - hit["c"])
+
+
+def _bound(keys: DataFrame, n: int, bucket: tuple[str, int] | None) -> DataFrame:
+    """The ``n``-th of the keys ``s``, which is in the given bucket; an error without one."""
+    start, before = bucket or ("", 0)
+    prefix = F.substring("s.k", 1, _PREFIX)
+    inside = keys.where(prefix == start if bucket else F.lit(False))
     place = F.row_number().over(Window.partitionBy(prefix).orderBy("s"))
     bound = inside.withColumn("place", place).where(
-        F.col("place") == n - (hit["upto"] - hit["c"])
+        F.col("place") == n - before
     )
     return bound.agg(F.max("s").alias("s")).select(
         F.coalesce("s", F.raise_error(F.lit(f"fewer than {n} rows"))).alias("bound")
@@ -66,6 +81,8 @@ def holdout(
     df: DataFrame, n_test: int = HOLDOUT_ROWS, seed: int | str = SEED, key: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
     """``(rest, held_out)`` with exactly ``n_test`` rows held out."""
+    if n_test == 0:
+        return df, df.where(F.lit(False))
     bound = nth_key(df, n_test, seed, key)
     inside = _ordered(seed, key) <= bound.scalar()
     return df.where(~inside), df.where(inside)
@@ -99,12 +116,22 @@ def tag_splits(
 ) -> DataFrame:
     """Add ``split``: train, or for the held-out rows validation or test.
 
-    Both bounds are single values, so the tagging itself is a projection.
+    Both bounds are single values, so the tagging itself is a projection. They are found
+    in two scans of the key column: one counts prefixes, the other keeps the keys up to
+    the first bound's bucket.
     """
+    if n_holdout == 0:
+        return df.withColumn("split", F.lit("train"))
     ids = df.select(key)
-    first = nth_key(ids, n_holdout, seed, key).scalar()
-    held_out = ids.where(_ordered(seed, key) <= first)
-    second = nth_key(held_out, n_val, _second(seed), key).scalar()
+    bucket = _bucket_of(ids, n_holdout, seed, key)
+    near = F.substring(shuffle_key(seed, key), 1, _PREFIX) <= (bucket[0] if bucket else "")
+    few = stage(ids.where(near), "split-keys")
+    ordered = few.select(_ordered(seed, key).alias("s"))
+    first = _literal(_bound(ordered, n_holdout, bucket))
+    if n_val == 0:
+        return df.withColumn("split", F.when(_ordered(seed, key) > first, "train").otherwise("test"))
+    held_out = few.where(_ordered(seed, key) <= first)
+    second = _literal(nth_key(held_out, n_val, _second(seed), key))
     return df.withColumn(
         "split",
         F.when(_ordered(seed, key) > first, F.lit("train"))
@@ -113,6 +140,12 @@ def tag_splits(
     )
 
 
+def _literal(bound: DataFrame) -> Column:
+    """A bound's one row as a constant."""
+    row = bound.first()["bound"]
+    return F.struct(F.lit(row["k"]).alias("k"), F.lit(row["i"]).alias("i"))
+
+
 def ratio_split(
     df: DataFrame,
     train: float = 0.70,

@@ -80,17 +80,26 @@ def read_examples(spark: SparkSession, path: str, split: str | None = None) -> D
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Keyed predictions; see ``files.write_prediction_lines`` for the flat form."""
-    predictions.select("example_id", "prediction").write.parquet(path)
+    """Keyed predictions in a folder per run; ``files.write_prediction_lines`` is the flat form.
+
+    Predictions without a ``run_id`` go to the run of the empty name.
+    """
+    named = predictions if "run_id" in predictions.columns else predictions.withColumn(
+        "run_id", F.lit(""))
+    named.select("example_id", "prediction", "run_id").write.partitionBy("run_id").parquet(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("example_id long, prediction string").parquet(path)
+def read_predictions(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """``example_id, prediction, run_id`` of all runs, or of one, whose folder alone is read."""
+    stored = spark.read.schema("example_id long, prediction string, run_id string").parquet(path)
+    stored = stored.withColumn("run_id", F.coalesce("run_id", F.lit("")))
+    return stored if run_id is None else stored.where(F.col("run_id") == run_id)
 
 
 def report(metrics: DataFrame) -> DataFrame:
     """Printed form of the metrics: two decimals, edit distance unrounded."""
     two = lambda name: F.format_string("%.2f", F.col(name))
+    # The captions.
     lines = [
         F.concat(F.lit("Accuracy: "), two("accuracy")),
         F.concat(F.lit("ROUGE: "), two("rouge1")),

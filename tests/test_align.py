@@ -23,29 +23,33 @@ def test_zip(spark):
         align.zip_by_position(left, right, ["a"], ["b"], strict=True)
 
 
-@pytest.mark.parametrize("hot_keys", [1, 3, 1000])
-def test_lookup_with_dominant_keys(spark, shuffled_joins, hot_keys):
+def test_lookup_with_dominant_keys(spark, shuffled_joins):
     """A third of the rows share one key, another third a key the table lacks."""
     rows = spark.range(3000).select(
         "id",
         F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, -5).otherwise(F.col("id") % 97).alias("k"),
     ).unionByName(spark.createDataFrame([(9999, None)], "id long, k int"))
     table = spark.range(60).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
-    found = align.lookup_join(rows, table, ["k"], hot_keys=hot_keys)
+    found = align.lookup_join(rows, table, ["k"])
     got = {r.id: (r.k, r.v) for r in found.collect()}
     plain = {r.id: (r.k, r.v) for r in rows.join(table, ["k"], "left").collect()}
     assert got == plain and found.count() == 3001
 
 
-def test_size_check(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(1000).write.parquet(path)
-    small = spark.read.parquet(path)
-    assert align.fits_broadcast(small)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
-    assert not align.fits_broadcast(small)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_lookup_rejects_repeated_keys(spark):
+    rows = spark.createDataFrame([(1, "a")], "id int, k string")
+    table = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "k string, v int")
+    with pytest.raises(Exception, match="a key of k is repeated"):
+        align.lookup_join(rows, table, ["k"]).collect()
+    assert align.lookup_join(rows, table.where("v <> 2"), ["k"]).first().v == 1
+
+
+def test_lookup_reads_the_rows_once(spark, shuffled_joins, tmp_path):
+    spark.range(100).withColumn("k", F.col("id") % 7).write.parquet(str(tmp_path / "rows"))
+    table = spark.range(7).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    found = align.lookup_join(spark.read.parquet(str(tmp_path / "rows")), table, ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
 
 
 def test_multisets(spark):
@@ -79,10 +83,5 @@ def test_lines_of_one_file_in_many_splits(spark, tmp_path):
     assert sorted((r.position, r.prediction) for r in back) == [(i, f"n{i}") for i in range(4000)]
 
 
-def test_spread(spark):
-    assert align.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4
-    assert align.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
-
-
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")

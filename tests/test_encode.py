@@ -1,4 +1,3 @@
-import re
 from collections import Counter
 
 import pytest
@@ -49,26 +48,36 @@ def test_round_trip(spark, texts):
     assert MASK_ID in coded.where("id = 0").first().ids
 
 
-@pytest.mark.parametrize("size, length", [(3, 4), (8, 64), (1000, 2)])
-def test_both_ways_agree(spark, shuffled_joins, texts, size, length):
+@pytest.mark.parametrize("size, length", [(3, 4), (8, 64), (1000, 2), (None, 64)])
+def test_large_and_small_vocabularies(spark, shuffled_joins, texts, size, length):
     vocab = encode.build_vocab(texts, "text", size)
-    columns = {"ids": "text", "more": "again"}
+    ids = {r.word: r.word_id for r in vocab.collect()}
     both = texts.withColumn("again", F.reverse("text"))
-    one = encode.encode(both, vocab, columns, length)
-    two = encode.encode_by_join(both, vocab, columns, length)
-    assert sorted(one.collect()) == sorted(two.select(*one.columns).collect())
+    split = both.select("id", encode.pieces("text").alias("a"), encode.pieces("again").alias("b"))
 
+    def expected(pieces):
+        found = [MASK_ID if p == "<extra_id_0>" else ids.get(p, UNK_ID) for p in pieces[:length]]
+        return found + [0] * (length - len(found))
 
-def test_vocabulary_too_large(texts):
-    vocab = encode.build_vocab(texts, "text", 10)
-    with pytest.raises(ValueError, match="more than 5 words"):
-        encode.encode(texts, vocab, {"ids": "text"}, 8, max_vocab=5)
+    want = {r.id: (expected(r.a), expected(r.b), min(len(r.a), length)) for r in split.collect()}
+    coded = encode.encode(both, vocab, {"ids": "text", "more": "again"}, length)
+    assert {r.id: (r.ids, r.more, sum(r.attention_mask)) for r in coded.collect()} == want
 
 
-def test_encoding_is_a_projection(texts):
-    vocab = encode.build_vocab(texts, "text", 10)
-    plan = encode.encode(texts, vocab, {"ids": "text"}, 8)._jdf.queryExecution().executedPlan()
-    assert not re.search("Exchange|Join|Python", plan.toString())
+def test_all_words_are_ranked_alike(texts):
+    one, two = (encode.build_vocab(texts, "text", n).collect() for n in (1000, None))
+    assert sorted(one) == sorted(two)
+
+
+def test_vocabulary_of_forty_thousand_words(spark):
+    vocab = spark.range(40_000).select(
+        F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"),
+        (F.col("id") + FIRST_WORD_ID).cast("int").alias("word_id"))
+    rows = vocab.where("word_id % 5000 = 0").select(F.col("word_id").alias("id"), F.col("word").alias("text"))
+    coded = encode.encode(rows, vocab, {"ids": "text"}, 2)
+    assert all(r.ids == [r.id, 0] for r in coded.collect())
+    back = encode.decode(coded, "ids", vocab)
+    assert sorted(back.collect()) == sorted(rows.select("id", "text").collect())
 
 
 def test_ignored_ids(spark):

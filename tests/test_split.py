@@ -41,6 +41,22 @@ def test_tags(spark):
     assert ids(test) == parts["test"] and ids(validation) == parts["validation"]
 
 
+def test_sizes_of_zero(spark):
+    df = spark.range(20)
+    rest, none = split.holdout(df, 0)
+    assert rest.count() == 20 and none.count() == 0
+    test, validation = split.second_split(df, 0)
+    assert test.count() == 20 and validation.count() == 0
+    sizes = {}
+    for n, v in ((5, 0), (0, 0), (5, 5)):
+        counted = split.tag_splits(df, n, v).groupBy("split").count().collect()
+        sizes[n, v] = {r.split: r["count"] for r in counted}
+    assert sizes == {(5, 0): {"train": 15, "test": 5}, (0, 0): {"train": 20},
+                     (5, 5): {"train": 15, "validation": 5}}
+    with pytest.raises(Exception, match="fewer than 21 rows"):
+        split.tag_splits(df, 21, 3).collect()
+
+
 def test_stable_under_repartition(spark):
     one = split.tag_splits(spark.range(1000).coalesce(1), 100, 50)
     many = split.tag_splits(spark.range(1000).repartition(13), 100, 50)
