@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import names
 from namesmith.operators import align, metrics
-from namesmith.plans.flow import compare_predictors
+from namesmith.operators.encode import build_vocab
+from namesmith.plans.flow import compare_predictors, evaluate_model
 from namesmith.sources.files import decode_files
 from namesmith.sources.tables import report
 from namesmith.storage import stage
@@ -465,7 +466,7 @@ def multiset_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the flow in SQL: extracted methods numbered, cleaned, split, both predictors scored
 FLOW = {
     "extracted": sql.EXTRACTED,
-    "numbered": "select *, row_number() over (order by file_path, method_no) - 1 as id from extracted",
+    "numbered": "select *, file_path || '#' || method_no as id from extracted",
     "clean": sql.CLEAN.replace("from fx", "from numbered"),
     "tagged": sql.TAGGED,
     "train": "select * from tagged where split = 'train'",
@@ -496,3 +497,28 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files through extraction, splits and two predictors to compared scores."""
     files = decode_files(views.source_files(spark, sf_dir))
     return rounded(compare_predictors(files, n_holdout=60, n_val=30), "metric")
+
+
+@check(
+    "evaluate_model",
+    f"""{views.ctes('fx', **models.TAGGED, vocab=sql.vocab('tagged', 'labels', models.ALL_WORDS),
+        test="select * from tagged where split = 'test'",
+        coded="select id, full_code from test",
+        code_ids=models.sql_ids('full_code', models.LENGTH),
+        outputs="select id, ids from code_ids",
+        decoded=models.DECODED % 'outputs')},
+named as (select id, case when name = '' then '<no_prediction>' else name end as prediction
+ from ({models.longest('decoded', 'id')})),
+label_ids as ({models.sql_ids('labels', models.LENGTH).replace('from coded', 'from test')}),
+wanted as ({models.DECODED % 'label_ids'}),
+model_pairs as (select 'model' as run_id, text as label, prediction from wanted join named using (id)),
+counted as ({counted('model_pairs')}), metrics as ({BASIC.replace(
+    'sum(common) / sum(nl)', 'coalesce(sum(common) / nullif(sum(nl), 0), 0)')})
+select run_id, n, {', '.join(f'round({m}, 6) as {m}' for m in metrics.METRIC_NAMES[:4])} from metrics""",
+)
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that repeats its input, scored on all test rows."""
+    examples = stage(models.tagged(spark, sf_dir), "tagged")
+    vocab = stage(build_vocab(examples, "labels", None), "vocab")
+    scores = evaluate_model(examples, vocab, models.echo_model, models.LENGTH)
+    return rounded(scores, "run_id", "n")

@@ -11,6 +11,7 @@ from namesmith.operators.extract import (
 )
 from namesmith.functions.text import null_tokens, parse_list_literal, render_list_literal
 from namesmith.sources import files, tables
+from namesmith.sources.listing import open_root
 from namesmith.storage import fresh_path
 
 from . import sql, views
@@ -85,6 +86,44 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(extract_methods(files.read_source_files(spark, root, suffix=".txt")))
 
 
+# every class in a file of its own, three of four under names that Spark's readers pass over
+ODD_PATH = """case id % 4 when 0 then '_gen/M' when 1 then '.h/M' when 2 then 'src/_M'
+ else 'src/M' end || cast(id as varchar(20)) || '.java'"""
+
+
+def write_files(texts: DataFrame, root: str) -> None:
+    """``path, text`` rows to files below a shared folder."""
+
+    def run(batches):
+        import os
+
+        from pyarrow import fs
+
+        system, base, _ = open_root(root)
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                system.create_dir(os.path.dirname(f"{base}/{path}"), recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(text.encode())
+            yield batch
+
+    texts.mapInArrow(run, "path string, text string").write.format("noop").mode("overwrite").save()
+
+
+@check(
+    "scan_all_names",
+    f"""{views.ctes('source_text')}
+select {ODD_PATH} as path, md5(text) as digest from source_text""",
+)
+def scan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = fresh_path(spark, "odd-names")
+    texts = views.spark_view(spark, sf_dir, "source_text")
+    write_files(texts.select(F.expr(ODD_PATH).alias("path"), "text"), root)
+    found = files.scan_source_files(spark, root)
+    below = F.regexp_replace(F.col("path"), "^.*/(?=[^/]+/[^/]+$)", "")
+    return found.select(below.alias("path"), F.md5("content").alias("digest"))
+
+
 @check(
     "relative_paths",
     f"""{views.ctes('fx')}

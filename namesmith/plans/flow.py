@@ -1,26 +1,39 @@
-"""Source files to compared runs, each stage written once to shared storage."""
+"""Source files to compared runs.
+
+Bodies are written once, after the Python scan; cleaning and tagging stay projections.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import HOLDOUT_ROWS, METHODS, NULL_TOKENS, SEED, VALIDATION_ROWS
+from ..constants import (
+    HOLDOUT_ROWS, MAX_LENGTH, METHODS, NULL_TOKENS, SEED, VALIDATION_ROWS,
+)
 from ..functions.text import null_tokens
 from ..operators.align import union_all
 from ..operators.clean import clean_methods
-from ..operators.extract import extract_methods, number_methods
+from ..operators.encode import decode, encode_examples, replace_ignored
+from ..operators.extract import extract_methods
 from ..operators.metrics import compare_runs, evaluate
 from ..operators.predict import (
-    fit_majority_names, fit_nearest_names, predict_majority, predict_nearest,
+    fit_majority_names, fit_nearest_names, generate_names, predict_majority, predict_nearest,
 )
-from ..operators.split import tag_splits
+from ..operators.split import tag_splits, take_first
 from ..storage import stage
 
 
 def build_methods(files: DataFrame) -> DataFrame:
-    """``(file_path, text)`` to the numbered method table."""
-    return number_methods(extract_methods(files))
+    """``(file_path, text)`` to the method table, keyed by file and place in it.
+
+    Later steps need a key, not a gapless number; ``number_methods`` makes one for CSV.
+    """
+    extracted = stage(extract_methods(files), "extracted")
+    key = F.concat("file_path", F.lit("#"), F.col("method_no").cast("string"))
+    return extracted.withColumn("id", key).select(*METHODS.names)
 
 
 def build_examples(
@@ -36,8 +49,7 @@ def build_examples(
     to keep them.
     """
     texts = [name for name in METHODS.names if name not in ("id", "modifiers")]
-    cleaned = stage(clean_methods(null_tokens(methods, texts, tokens)), "cleaned")
-    return tag_splits(cleaned, n_holdout, n_val, seed)
+    return tag_splits(clean_methods(null_tokens(methods, texts, tokens)), n_holdout, n_val, seed)
 
 
 def score_predictors(examples: DataFrame) -> DataFrame:
@@ -56,6 +68,32 @@ def score_predictors(examples: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_model(
+    examples: DataFrame,
+    vocab: DataFrame,
+    make_predict_fn: Callable,
+    max_length: int = MAX_LENGTH,
+    sample: int | None = None,
+    vectors: DataFrame | None = None,
+    run_id: str = "model",
+) -> DataFrame:
+    """Metrics of a batch model on the test split: encode, predict, decode both, score.
+
+    All test rows by default; ``sample`` takes the first so many of the shuffle.
+    """
+    test = examples.where(F.col("split") == "test")
+    if sample is not None:
+        test = take_first(test, sample)
+    coded = stage(encode_examples(test, vocab, max_length), "encoded")
+    predictions = generate_names(coded, vocab, make_predict_fn, max_length)
+    hidden = coded.select("id", replace_ignored("labels").alias("labels"))
+    labels = decode(hidden, "labels", vocab, "label")
+    pairs = labels.join(predictions, "id").withColumn("run_id", F.lit(run_id))
+    if vectors is not None:
+        pairs = stage(pairs, "pairs")
+    return evaluate(pairs, vectors, [run_id])
+
+
 def compare_predictors(
     files: DataFrame,
     n_holdout: int = HOLDOUT_ROWS,
@@ -63,7 +101,7 @@ def compare_predictors(
     vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Extract, clean, split, fit, predict, score and compare."""
-    examples = stage(build_examples(build_methods(files), n_holdout, n_val), "examples")
+    examples = build_examples(build_methods(files), n_holdout, n_val)
     pairs = score_predictors(examples)
     if vectors is not None:
         pairs = stage(pairs, "pairs")

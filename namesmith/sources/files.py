@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SOURCE_SUFFIX
 from ..functions.text import decode_text
 from ..operators.align import number_rows
+from .listing import SOURCE, WholeFiles
 
 
 def scan_source_files(
@@ -15,17 +18,13 @@ def scan_source_files(
 ) -> DataFrame:
     """``(path, content)`` of every file below ``roots`` whose name ends in ``suffix``.
 
-    Spark lists the tree in parallel, packs small files into common partitions and
-    leaves out names that start with ``.`` or ``_``; pass such a folder as a root of
-    its own to read it.
+    A root is a folder, a file or a glob of any shared file system. No name is left out,
+    whatever it starts with; small files share partitions of about equal bytes.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{suffix}")
-        .load([roots] if isinstance(roots, str) else roots)
-    )
-    return files.select("path", "content")
+    spark.dataSource.register(WholeFiles)
+    return spark.read.format(SOURCE).options(
+        roots=json.dumps([roots] if isinstance(roots, str) else list(roots)), suffix=suffix
+    ).load()
 
 
 def read_source_files(

@@ -2,7 +2,7 @@ import pytest
 
 from namesmith.operators.extract import extract_methods, number_methods, register_java_methods
 from namesmith.operators.java_scan import scan_methods
-from namesmith.sources.files import read_source_files
+from namesmith.sources.files import read_source_files, scan_source_files
 
 SOURCE = '''package a.b;
 import static x.y.Z.*;
@@ -130,14 +130,33 @@ def test_directory(spark, tree):
     files = read_source_files(spark, str(tree))
     rows = number_methods(extract_methods(files)).orderBy("id").collect()
     assert [(r.id, r.identifier) for r in rows] == [
-        (0, "five"), (1, "one"), (2, "two"), (3, "three"),
+        (0, "four"), (1, "five"), (2, "one"), (3, "two"), (4, "three"),
     ]
-    assert rows[0].block == "{\n}"
-    assert rows[1].file_path == f"{tree}/a/X.java"
+    assert rows[1].block == "{\n}"
+    assert rows[2].file_path == f"{tree}/a/X.java"
+    # a file that two roots reach is read once
     both = read_source_files(spark, [str(tree), str(tree / ".hidden")])
-    assert {r.identifier for r in extract_methods(both).collect()} == {
-        "one", "two", "three", "four", "five",
-    }
+    assert extract_methods(both).count() == 5
+
+
+def test_no_name_is_left_out(spark, tmp_path):
+    names = ["a/X.java", "a/_Y.java", "a/.Z.java", "_gen/W.java", "a/.h/V.java"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+
+    def found(*roots):
+        return {r.path: bytes(r.content).decode() for r in scan_source_files(spark, list(roots)).collect()}
+
+    every = {f"{tmp_path}/{name}": name for name in names}
+    assert found(str(tmp_path)) == found(f"file://{tmp_path}") == every
+    assert found(f"{tmp_path}/a/_Y.java") == {f"{tmp_path}/a/_Y.java": "a/_Y.java"}
+    assert set(found(f"{tmp_path}/a/*.java").values()) == {"a/X.java", "a/_Y.java", "a/.Z.java"}
+    assert set(found(f"{tmp_path}/*/.h").values()) == {"a/.h/V.java"}
+    (tmp_path / "none").mkdir()
+    assert found(f"{tmp_path}/none") == {}
+    with pytest.raises(Exception, match="missing"):
+        found(f"{tmp_path}/missing")
 
 
 def test_table_function(spark, tree):
@@ -148,5 +167,5 @@ def test_table_function(spark, tree):
         " lateral java_methods(f.file_path, f.text) m order by m.file_path, m.method_no"
     ).collect()
     assert [tuple(r) for r in rows] == [
-        ("five", 0, []), ("one", 0, ["public"]), ("two", 1, []), ("three", 0, []),
+        ("four", 0, []), ("five", 0, []), ("one", 0, ["public"]), ("two", 1, []), ("three", 0, []),
     ]
