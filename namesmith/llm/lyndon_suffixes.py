@@ -59,11 +59,10 @@ def suffix_array(text: list[int]) -> list[int]:
                 new = len(members)
                 members.append(starts)
                 length.append(length[h] - times * size)
-                upper = h_above = above[h]
-                if moved_above := (upper < len(above) and upper >= 0):
-                    below[upper] = new
+                upper = above[h]  # there is one, as the group being taken is higher
+                below[upper] = new
                 below.append(h)
-                above.append(h_above if moved_above else -1)
+                above.append(upper)
                 above[h] = new
                 for p in starts:
                     group[p] = new
