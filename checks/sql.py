@@ -1,10 +1,6 @@
 """SQL snippets of the oracles."""
 
-KINDS = [
-    "type_identifier", "boolean_type", "floating_point_type", "generic_type",
-    "scoped_type_identifier", "integral_type", "void_type",
-]
-
+from namesmith.constants import NULL_TOKENS, TYPE_KINDS as KINDS
 
 FIELDS = ["identifier", "formal_parameters", "mods", "block", *KINDS]
 
@@ -56,11 +52,7 @@ def strip_comments(code: str) -> str:
 
 
 def null_token(column: str) -> str:
-    # Cells read as missing
-    tokens = (
-        "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
-        "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
-    )
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
     return f"case when {column} in ({tokens}) then null else {column} end"
 
 

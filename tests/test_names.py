@@ -1,4 +1,3 @@
-import re
 from collections import Counter
 
 from hypothesis import given, settings
@@ -27,8 +26,22 @@ EDGES = {
 
 
 def python_subwords(name):
-    boundary = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-    return [word.lower() for word in re.split(boundary, name) if word]
+    """A walk over the characters: where does a new word begin?"""
+
+    def lower(c):
+        return "a" <= c <= "z"
+
+    def upper(c):
+        return "A" <= c <= "Z"
+
+    words = []
+    for i, c in enumerate(name):
+        before, after = name[i - 1 : i], name[i + 1 : i + 2]
+        begins = upper(c) and (lower(before) or upper(before) and lower(after))
+        if begins or not words:
+            words.append("")
+        words[-1] += c.lower()
+    return words
 
 
 def run(spark, values, schema, *columns):
