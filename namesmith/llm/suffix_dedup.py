@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int = LENGTH,
     at = rows.select("uid", F.explode("at").alias("a")).select("uid", "a.*")
     # only anchors seen twice matter
     again = at.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    kept = stage(at.join(again, "h"), "repeated")
+    kept = at.join(again, "h")
     distinct = stage(kept.groupBy("h", "c").agg(
         F.sum("n").alias("n"), F.min(F.struct("uid", "q", "l", "r")).alias("a")), "contexts")
     whole = kept.join(distinct.where("n > 1").select("h", "c"), ["h", "c"]).select(
@@ -350,19 +350,24 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int = LENGTH,
         .join(texts, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key")))
         .select("uid", "wanted", "text")
     )
-    contexts = stage(with_text.mapInArrow(
-        _cutter, "h long, n long, uid long, q int, l int, ctx binary"), "context_bytes")
+    contexts = with_text.mapInArrow(
+        _cutter, "h long, n long, uid long, q int, l int, ctx binary")
+    large = unsettled.where(F.col("m") > bucket).limit(1).count() > 0
+    if large:
+        contexts = stage(contexts, "context_bytes")  # read in two ways
     # rows with equal id and text bring a context twice
     solved = (
         contexts.where("h is not null").repartition("h").sortWithinPartitions("h", "uid", "q")
         .mapInArrow(_solver(length), "uid long, lo int, hi int")
     )
-    strings = contexts.where("h is null").mapInArrow(
-        _stringer(length), "key long, more long, n long, uid long, lo int, hi int")
-    twice = strings.groupBy("key", "more").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = strings.drop("n").join(twice.select("key", "more"), ["key", "more"])
     own = rows.select("uid", F.explode("own").alias("s")).select("uid", "s.lo", "s.hi")
-    spans = own.union(whole).union(solved).union(counted.select("uid", "lo", "hi"))
+    spans = own.union(whole).union(solved)
+    if large:
+        strings = contexts.where("h is null").mapInArrow(
+            _stringer(length), "key long, more long, n long, uid long, lo int, hi int")
+        twice = strings.groupBy("key", "more").agg(F.sum("n").alias("n")).where("n > 1")
+        counted = strings.drop("n").join(twice.select("key", "more"), ["key", "more"])
+        spans = spans.union(counted.select("uid", "lo", "hi"))
     return spans.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -427,8 +432,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     spans = repeated_spans(docs, rows, length, bucket)
     ids = rows.select("uid", F.col("doc_id").alias("__doc"), F.col("_key").alias("__key"))
     # rows of equal id and text have equal spans
-    cuts = stage(spans.join(ids, "uid").groupBy("__doc", "__key").agg(
-        F.first("spans").alias("__spans")), "cuts")
+    cuts = spans.join(ids, "uid").groupBy("__doc", "__key").agg(
+        F.first("spans").alias("__spans"))
     # the row as one column, whatever its columns are called
     marked = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"),
                          F.xxhash64("text").alias("__text"))
