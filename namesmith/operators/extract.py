@@ -61,7 +61,7 @@ def number_methods(methods: DataFrame) -> DataFrame:
 def register_java_methods(spark: SparkSession, name: str = "java_methods") -> None:
     """Register the scanner as a table function: ``LATERAL java_methods(path, text)``."""
 
-    @udtf(returnType=EXTRACTED)
+    @udtf(returnType=EXTRACTED, useArrow=True)
     class JavaMethods:
         def eval(self, path: str, text: str):
             for number, method in enumerate(scan_methods(text or "")):

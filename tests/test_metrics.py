@@ -185,3 +185,22 @@ def test_similarity_of_unknown_and_equal_names(spark, vectors):
         ("unknownThing", "unknownThing"): 1.0, ("unknownThing", "run"): 0.0,
         ("Run", "run"): 1.0, ("", ""): 1.0,
     }
+
+
+def test_missing_names_and_runs_without_pairs(spark):
+    rows = [("r", "getX", "getX"), ("r", "getX", None), ("r", None, "a"), ("q", "getX", "setX")]
+    pairs = spark.createDataFrame(rows, "run_id string, label string, prediction string")
+    runs = ["q", "r", "s"]
+    whole = {r.run_id: r for r in metrics.evaluate(pairs, runs=runs).collect()}
+    single = metrics.subword_accuracy(pairs, runs).join(
+        metrics.rouge_n_recall(pairs, 1, runs), "run_id"
+    ).join(metrics.mean_levenshtein(pairs, runs), "run_id")
+    for r in single.collect():
+        for name in ("accuracy", "accuracy_by_label", "rouge1", "levenshtein"):
+            assert getattr(whole[r.run_id], name) == pytest.approx(r[name])
+    assert [whole[r].n for r in runs] == [1, 3, 0]
+    assert whole["s"].accuracy == whole["s"].rouge1 == 0 and whole["s"].levenshtein is None
+    # a missing prediction is a wrong one, not an absent one
+    assert whole["r"].accuracy < 1 and whole["r"].levenshtein > 0
+    none = pairs.where("false")
+    assert [(r.run_id, r.n, r.accuracy) for r in metrics.evaluate(none, runs=["s"]).collect()] == [("s", 0, 0)]
