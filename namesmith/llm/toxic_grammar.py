@@ -221,7 +221,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     rows = texts.join(own.where(drawn(F.col("_id"))), "_id").select(
         F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"),
         fold(F.col("_id")).cast("int").alias("fold"), F.xxhash64("text").alias("_h"))
-    return stage(rows.dropDuplicates(["_h", "toxic"]).drop("_h"), "labelled")
+    # which of equal texts stays does not depend on the order of rows
+    once = rows.groupBy("_h", "toxic").agg(F.min("text").alias("text"), F.min("fold").alias("fold"))
+    return stage(once.drop("_h"), "labelled")
 
 
 def patterns_of(text: str) -> set[tuple[str, bool]]:
