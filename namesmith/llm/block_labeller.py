@@ -5,10 +5,11 @@ a vector of its hashed tag path (names, classes and ids of the open elements), i
 words and a few sizes. A bidirectional LSTM in numpy reads a page's blocks as a sequence
 and says of each whether it belongs to the article, so what stands before and after counts.
 
-There are no labels for pages. The network learns from a bounded sample (``SAMPLE`` pages):
-blocks inside an article element that no boilerplate element holds are positive. Each sampled
-page is also learned in disguise, with other element names and classes and with forms, side
-bars, notices and comments put in, so that the network does not hang on one template.
+There are no labels for pages. The network learns from a bounded sample (``SAMPLE`` pages)
+of those that can teach: blocks inside an article element that no boilerplate element holds
+are positive. Each sampled page is also learned in disguise, with other element names and
+classes and with forms, side bars, notices and comments put in, so that the network does not
+hang on one template. Where fewer than ``LEAST`` pages can teach, built-in ones are added.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: pages that learning reads
 SAMPLE = 300
+#: taught pages that learning has at least; built-in ones make up for what the table lacks
+LEAST = 100
 PATH_SLOTS, WORD_SLOTS, SIZES = 192, 32, 6
 HIDDEN, EPOCHS, TOGETHER, RATE = 24, 10, 16, 0.01
 #: pages labelled side by side
@@ -63,6 +66,14 @@ NOT_ARTICLE = frozenset(
 ARTICLE = frozenset("article main content story".split())
 
 
+#: what a page must hold to have a word of ARTICLE in a path; white space is Python's
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+_MARK = rf"(?<![a-z])(?:{'|'.join(sorted(ARTICLE))})(?![a-z])"
+_MARKED = (rf"(?i)<{_MARK}|(?:class|id|role){_SPACE}={_SPACE}"
+           rf"(?:\"[^\"]*?{_MARK}|'[^']*?{_MARK}|[^\s>]*?{_MARK})")
+_HASHES = 1 << 40
+
+
 class Block:
     """A leaf: its text, the tokens of its path, and how much of it is in links."""
 
@@ -390,37 +401,120 @@ def disguised(blocks: list[Block], labels: list[int], pool: list[str], rng: rand
     return out, y
 
 
-def learn(pages: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A network fitted to about ``sample`` pages; None if none can be taught.
-
-    They are the pages whose hash is below a bound. Each is learned as it is and in two
-    disguises.
+#: where a built-in page has its article, and its links
+_PLACES = [*_DISGUISES["<article"], ["<div"], ["<div", "<div"], ["<div", ".post"], ["<section"],
+           ["<div", ".page"], ["<table", "<tr", "<td"], ["<div", ".text"], ["<center"]]
+_LINKS = [*_DISGUISES["<nav"], ["<div"], ["<table", "<tr", "<td"], ["<div", ".links"], ["<ul"],
+          ["<div", "<ul"], ["<div", ".top"]]
+_ENDINGS = [*_DISGUISES["<footer"], ["<div"], ["<div", "<p"], ["<div", ".bottom"], ["<center"]]
+_OUTER = [[], [], ["<div"], ["<div", ".wrapper"], ["<div", ".page", "<div"], ["<div", ".container"]]
+
+
+def built_in(rng: random.Random) -> tuple[list[Block], list[int]]:
+    """A page as many are built, of invented words, and its labels."""
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10)))
+             for _ in range(200)]
+    blocks, labels = [], []
+    body = ["<html", "<body", *rng.choice(_OUTER)]
+
+    def put(label: int, path: list[str], low: int, high: int, links: bool = False) -> None:
+        mark = 0 if links or high < 12 else rng.choice([0, 0.1, 0.2])
+        text = " ".join(rng.choice(words) + ("." if rng.random() < mark else "")
+                        for _ in range(rng.randrange(low, high)))
+        blocks.append(Block(text, path, len(text) if links else 0))
+        labels.append(label)
+
+    def links() -> None:
+        path = [*body, *rng.choice(_LINKS)]
+        if path[-1] == "<ul" or rng.random() < 0.5:
+            path += ["<li"] if path[-1] == "<ul" else ["<ul", "<li"]
+            for _ in range(rng.randrange(3, 12)):
+                put(0, path, 1, 4, links=True)
+        else:
+            put(0, path, 3, 15, links=True)
+
+    put(0, ["<html", "<head", "<title"], 1, 9)
+    for _ in range(rng.randrange(3)):
+        links()
+    if rng.random() < 0.5:
+        put(0, [*body, "<div", rng.choice([".ad", ".banner", ".promo"])], 3, 12)
+    article = [*body, *rng.choice(_PLACES)]
+    if rng.random() < 0.8:
+        put(1, [*article, rng.choice(["<h1", "<h2"])], 1, 12)
+    for _ in range(rng.randrange(1, 9)):
+        own = rng.choice([["<p"]] * 6 + [[], ["<h2"], ["<ul", "<li"], ["<blockquote", "<p"], ["<pre"]])
+        put(1, [*article, *own], *((1, 10) if own == ["<h2"] else (5, 90)))
+    if rng.random() < 0.4:
+        links()
+    if rng.random() < 0.8:
+        put(0, [*body, *rng.choice(_ENDINGS)], 2, 12)
+    return blocks, labels
+
+
+def _taught_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages whose article has text, each once in a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in range(0, batch.num_rows, _BATCH):
+            found = []
+            for page in batch.column(0).slice(part, _BATCH).to_pylist():
+                key = hash(page)
+                if key in seen:
+                    continue
+                if len(seen) > 1 << 16:
+                    seen.clear()
+                seen.add(key)
+                if any(taught_labels(leaf_blocks(page)) or ()):
+                    found.append(page)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["html"])
+
+
+def teachable(pages: DataFrame, sample: int = SAMPLE) -> list[str]:
+    """``sample`` different pages whose article has text; all of them where there are fewer.
+
+    They are those of the least hashes. The bound on the hash is set for the pages that hold
+    the markup at all, and raised until enough of the pages below it can teach.
+    """
+    marked = pages.select(F.col("html").cast("string").alias("html")).where(
+        F.col("html").rlike(_MARKED))
+    hashed = F.pmod(F.xxhash64("html"), F.lit(_HASHES))
+    bound = round(min(1.0, 1.2 * sample / max(1, marked.count())) * _HASHES)
+    while True:
+        drawn = (
+            marked.where(hashed < bound).mapInArrow(_taught_pages, "html string")
+            .dropDuplicates(["html"]).orderBy(hashed, "html").limit(sample)
+        )
+        found = [r["html"] for r in drawn.collect()]  # at most `sample` pages
+        if len(found) >= sample or bound >= _HASHES:
+            return found
+        bound = min(_HASHES, round(bound * max(2, min(64, 1.5 * sample / max(1, len(found))))))
+
+
+def learn(pages: DataFrame, sample: int = SAMPLE) -> dict:
+    """A network fitted to ``sample`` pages that can teach.
+
+    Each is learned as it is and in two disguises. Built-in pages are added, also to no page
+    at all, where the table has fewer than ``LEAST`` that can teach.
     """
-    known = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
-    bound = round(min(1.0, sample / max(1, known.count())) * (1 << 40))
-    hashed = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
-    # one of each text, and the limit for the case that chance puts far more below the bound
-    drawn = known.where(hashed < bound).dropDuplicates(["html"]).limit(2 * sample).orderBy(
-        F.xxhash64("html"))
-    rng, vectors, examples, taught = random.Random(0), Vectors(), [], []
-    for r in drawn.collect():  # at most `sample` pages
-        blocks = leaf_blocks(r["html"])
-        labels = taught_labels(blocks)
-        if labels:
-            taught.append((blocks, labels))
+    rng, vectors, examples = random.Random(0), Vectors(), []
+    taught = []
+    for page in teachable(pages, sample):
+        blocks = leaf_blocks(page)
+        taught.append((blocks, taught_labels(blocks)))
+    taught += [built_in(rng) for _ in range(min(LEAST, sample) - len(taught))]
     pool = [b.text for blocks, _ in taught for b in blocks]
     for blocks, labels in taught:
         made = [(blocks, labels), *(disguised(blocks, labels, pool, rng) for _ in range(2))]
         examples += [(vectors.of(b), np.array(y, np.float32)) for b, y in made]
-    return train(examples) if examples else None
+    return train(examples)
 
 
-def page_texts(pages: list[str | None], net: dict | None, vectors: Vectors) -> list[str]:
-    """The article of each page; without a network, that of no page."""
+def page_texts(pages: list[str | None], net: dict, vectors: Vectors) -> list[str]:
+    """The article of each page."""
     blocks = [leaf_blocks(p) for p in pages]
     texts = [""] * len(pages)
     order = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
-    for at in range(0, len(order) if net else 0, _BATCH):
+    for at in range(0, len(order), _BATCH):
         chosen = order[at : at + _BATCH]
         x, mask = _padded([vectors.of(blocks[i]) for i in chosen])
         scores = label_scores(net, x, mask)

@@ -85,3 +85,38 @@ def test_gradients_equal_differences():
         net[k][at] = kept - 1e-3
         assert abs((up - loss()) / 2e-3 - grad[k][at]) < 1e-4
         net[k][at] = kept
+
+
+def plain_page(rng, article=("<div>", "</div>")):
+    words = [prose(rng, rng.randrange(8, 60)) for _ in range(rng.randrange(2, 7))]
+    links = " ".join(f'<a href="/{w}">{w}</a>' for w in prose(rng, 6).split())
+    html = (f"<html><head><title>{words[0][:20]}</title></head><body><div>{links}</div>{article[0]}"
+            f"<h1>Head line</h1>{''.join(f'<p>{w}</p>' for w in words)}{article[1]}<div>&copy; "
+            f"{prose(rng, 4)}</div></body></html>")
+    return html, ["Head line", *words]
+
+
+def test_pages_without_article_markup_have_text(spark):
+    rng = random.Random(5)
+    every = [plain_page(rng) for _ in range(80)]
+    got = run(spark, [(i, "u", h, "x") for i, (h, _) in enumerate(every)])
+    kept = [set(got[i].text.split("\n\n")) & set(want) for i, (_, want) in enumerate(every)]
+    share = sum(map(len, kept)) / sum(len(want) for _, want in every)
+    extra = sum(len(set(got[i].text.split("\n\n")) - set(want)) for i, (_, want) in enumerate(every))
+    assert share >= 0.9
+    assert extra <= 0.1 * sum(len(want) for _, want in every)
+
+
+def test_sample_is_drawn_from_pages_that_teach(spark):
+    rng = random.Random(6)
+    # marked for the eye only: in a comment, in boilerplate, in the text
+    no = [plain_page(rng, (f"<!-- <article> --><nav class='main'>x{i}</nav><div>", "</div>"))[0]
+          for i in range(600)]
+    no += [plain_page(rng, ("<div>the content of class=main ", "</div>"))[0] for _ in range(100)]
+    yes = [plain_page(rng, a)[0] for a in [
+        ("<article>", "</article>"), ("<MAIN\n>", "</MAIN>"), ('<div id = "x main-text">', "</div>"),
+        ("<div role=main>", "</div>"), ("<div class\xa0='a Story'>", "</div>")] for _ in range(6)]
+    df = spark.createDataFrame([(h,) for h in no + yes + yes[:3]] + [(None,)], "html string")
+    assert sorted(L.teachable(df.repartition(3), 300)) == sorted(yes)
+    drawn = L.teachable(df.repartition(5), 20)
+    assert len(set(drawn)) == 20 and set(drawn) <= set(yes)
