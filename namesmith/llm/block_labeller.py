@@ -41,13 +41,16 @@ _BLOCKS = frozenset(
     "ol optgroup option p pre section select summary table tbody td template tfoot th thead "
     "title tr ul".split())
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: elements whose content is no text
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select"
+#: elements whose content is no markup, up to their end tag, and no text of the page
+_RAW = "script|style|noscript|iframe|textarea"
+#: blocks that do not end a paragraph
+_CHOICES = frozenset("select optgroup option".split())
 #: a start tag of the key ends an open element of the value's names, up to the bound
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
          "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
          "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-         "option": ({"option"}, {"select"})}
+         "option": ({"option"}, {"select"}),
+         "optgroup": ({"option", "optgroup"}, {"select"}), "select": ({"select"}, ())}
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -62,7 +65,9 @@ NOT_ARTICLE = frozenset(
     "nav menu header footer aside sidebar form ad ads advert advertisement banner promo sponsor "
     "sponsored notice cookie consent newsletter subscribe comment comments respond reply related "
     "breadcrumb breadcrumbs share social login search popup modal widget toc pagination head "
-    "title copyright button legal".split())
+    "copyright button legal".split())
+#: elements, but not classes, of what is no article
+NOT_ARTICLE_TAGS = frozenset("<title <select <template".split())
 ARTICLE = frozenset("article main content story".split())
 
 
@@ -96,8 +101,8 @@ def path_tokens(name: str, attributes: str) -> list[str]:
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order; without text there is no block.
 
-    Unclosed elements end with what holds them; a paragraph ends at the next block element.
-    Inline elements do not part blocks; a line break is white space.
+    Unclosed elements end with what holds them; a paragraph or a select ends at the next block
+    element. Inline elements do not part blocks; a line break is white space.
     """
     page = page or ""
     stack: list[tuple[str, list[str]]] = []
@@ -151,11 +156,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name in _BLOCKS:
             close()
             # inline elements left open do not reach into the next block
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
+            for i in range(len(stack) - 1 if name not in _CHOICES else -1, -1, -1):
+                if stack[i][0] in ("p", "select"):
                     drop(i)
                     break
-                if stack[i][0] in _BLOCKS:
+                if stack[i][0] in _BLOCKS and stack[i][0] not in _CHOICES:
                     break
             ends, bound = _ENDS.get(name, ((), ()))
             for i in range(len(stack) - 1, -1, -1):
@@ -343,7 +348,9 @@ def taught_labels(blocks: list[Block]) -> list[int] | None:
     inside = [any(t in ARTICLE for t in p) for p in plain]
     if not any(inside):
         return None
-    return [int(i and not any(t in NOT_ARTICLE for t in p)) for i, p in zip(inside, plain)]
+    return [int(i and not any(t in NOT_ARTICLE for t in p)
+                and NOT_ARTICLE_TAGS.isdisjoint(b.path))
+            for b, i, p in zip(blocks, inside, plain)]
 
 
 _DISGUISES = {
@@ -365,6 +372,7 @@ _INTRUDERS = [
     ["<header"], ["<header", "<h1"], ["<header", ".site", "<p"], ["<div", ".header", "<p"],
     ["<div", ".banner"], ["<div", ".advertisement", "<p"], ["<div", ".ads"],
     ["<div", ".subscribe", "<p"],
+    ["<form", "<select", "<option"], ["<select", "<option"], ["<svg", "<title"], ["<template", "<p"],
 ]
 #: intruders that also stand inside articles
 _INNER = [k for k in _INTRUDERS if k[0] != "<header"]

@@ -120,3 +120,37 @@ def test_sample_is_drawn_from_pages_that_teach(spark):
     assert sorted(L.teachable(df.repartition(3), 300)) == sorted(yes)
     drawn = L.teachable(df.repartition(5), 20)
     assert len(set(drawn)) == 20 and set(drawn) <= set(yes)
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p>one</p><svg class="i"/><p>two</p>', ["one", "two"]),
+    ("<p>one<math/> two</p>three", ["one two", "three"]),
+    ("<p>one</p><svg viewBox='0 0 1 1'><path d=m /></svg><p>two</p>", ["one", "two"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so x=1 holds"]),
+    ("<object data=a><p>fallback</p></object><canvas>drawn</canvas> end", ["fallback", "drawn end"]),
+    ("<canvas>one<p>two</p>", ["one", "two"]),
+    ("<object><p>one</p><div>two</div>", ["one", "two"]),
+    ("<template><p>one</p></template><p>two</p>", ["one", "two"]),
+    ("<template><p>one</p><p>two</p>", ["one", "two"]),
+    ("<p>pick <select><option>a<option>b</select> now</p>", ["pick", "a", "b", "now"]),
+    ("<select><optgroup><option>a<p>two</p><p>three</p>", ["a", "two", "three"]),
+    ("<p>one</p><script>no<p></script><style>no</style><noscript><p>no</p></noscript>"
+     "<iframe>no</iframe><textarea>no</textarea>two", ["one", "two"]),
+])
+def test_only_raw_elements_lose_their_content(page, want):
+    assert [b.text for b in L.leaf_blocks(page)] == want
+
+
+def test_unclosed_select_holds_nothing_that_follows():
+    blocks = L.leaf_blocks("<article><select><option>a<p>two</p>three<select>b</article><p>c")
+    assert [b.path for b in blocks] == [
+        ["<article", "<select", "<option"], ["<article", "<p"], ["<article"],
+        ["<article", "<select"], ["<p"]]
+    assert L.taught_labels(blocks) == [0, 1, 1, 0, 0]
+
+
+def test_a_class_named_title_is_no_boilerplate():
+    blocks = L.leaf_blocks('<head><title>t</title></head><article><h1 class="entry-title">One</h1>'
+                           "<p>two</p><svg><title>icon</title></svg></article>")
+    assert [b.text for b in blocks] == ["t", "One", "two", "icon"]
+    assert L.taught_labels(blocks) == [0, 1, 1, 0]
