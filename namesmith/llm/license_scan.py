@@ -1,7 +1,8 @@
 """License scan: exact phrases, and a set-similarity join of text blocks with notices.
 
 Blocks are windows of 64 words, every 32 words, so a passage of up to 32 words lies whole
-in one block. A block matches a notice if it holds at least ``THRESHOLD`` of the notice's
+in one block. For longer notices both numbers are doubled until the notice lies whole in one;
+short notices keep short blocks. A block matches a notice if it holds at least ``THRESHOLD`` of the notice's
 distinct words. The join is exact: words are ordered from rare to frequent over all
 blocks, a match must then share one of the notice's first words (prefix filter), have
 enough words (length filter), and have enough of both left after the shared word
@@ -10,6 +11,8 @@ enough words (length filter), and have enough of both left after the shared word
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -52,16 +55,27 @@ NOTICES = [
 
 
 def notice_table(notices: list[tuple[str, str]], threshold: float) -> list[dict]:
-    """Distinct words of each notice and how many of them a block must hold."""
+    """Distinct words of each notice, how many of them a block must hold, and its blocks' words."""
     table = []
     for i, (text, label) in enumerate(notices):
-        words = sorted(set(text.split()))
+        every = re.sub(NOT_WORD, " ", text.translate(str.maketrans(UPPER, LOWER))).split(" ")
+        every = [w for w in every if w]
+        words, span = sorted(set(every)), BLOCK
+        while span * STRIDE // BLOCK < len(every):
+            span *= 2
         # guards against products such as 0.8 * 5 above 4
         need = ceil(threshold * len(words) - 1e-9)
-        table.append({"notice": i, "label": label, "words": words, "need": need})
+        table.append({"notice": i, "label": label, "words": words, "need": need,
+                      "span": span})
     return table
 
 
+def by_span(notices: list[dict]) -> list[tuple[int, list[dict]]]:
+    """The notices by the length of their blocks."""
+    spans = sorted({n["span"] for n in notices})
+    return [(span, [n for n in notices if n["span"] == span]) for span in spans]
+
+
 def spaced_words(text: Column) -> Column:
     """The words of a text, lower case, with two spaces between them."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -99,27 +113,32 @@ def scan_rows(
 ) -> DataFrame:
     """One narrow row a document: places of the phrases, and its blocks' notice words.
 
-    Written once, so that words are taken apart once and ``_row`` stays the same. A block
-    is kept if it has enough words for the notice that needs the fewest.
+    Written once, so that words are taken apart once and ``_row`` stays the same. There is a
+    column of blocks for each length of blocks; a block is kept if it has enough words for the
+    notice of that length that needs the fewest.
     """
-    vocabulary = sorted({w for n in notices for w in n["words"]})
-    least = min(n["need"] for n in notices)
-    known = F.array(*[F.lit(w) for w in vocabulary])
     rows = docs.select(F.col("doc_id"), spaced_words(F.col("text")).alias("_s"))
     rows = rows.withColumn("n_words", count_words(F.col("_s")))
     places = {f"_p{i}": phrase_places(F.col("_s"), F.col("n_words"), p)
               for i, p in enumerate(phrases)}
     words = F.split(F.col("_s"), "  ")
-    starts = F.sequence(
-        F.lit(0), F.greatest(F.size(words) - STRIDE - 1, F.lit(0)), F.lit(STRIDE)
-    )
-    blocks = F.filter(
-        F.transform(starts, lambda i: F.array_intersect(known, F.slice("_w", i + 1, BLOCK))),
-        lambda b: F.size(b) >= least,
-    )
+
+    def blocks(span: int, group: list[dict]) -> Column:
+        step = span * STRIDE // BLOCK
+        least = min(n["need"] for n in group)
+        known = F.array(*[F.lit(w) for w in sorted({w for n in group for w in n["words"]})])
+        starts = F.sequence(
+            F.lit(0), F.greatest(F.size(words) - step - 1, F.lit(0)), F.lit(step)
+        )
+        return F.filter(
+            F.transform(starts, lambda i: F.array_intersect(known, F.slice("_w", i + 1, span))),
+            lambda b: F.size(b) >= least,
+        )
+
     return stage(
         rows.withColumn("_w", words)
-        .select("doc_id", "n_words", blocks.alias("_blocks"),
+        .select("doc_id", "n_words",
+                *[blocks(span, group).alias(f"_b{span}") for span, group in by_span(notices)],
                 *[c.alias(name) for name, c in places.items()])
         .withColumn("_row", F.monotonically_increasing_id()),
         "license",
@@ -139,6 +158,14 @@ def word_order(rows: DataFrame, notices: list[dict]) -> list[str]:
 
 def match_notices(rows: DataFrame, notices: list[dict]) -> DataFrame:
     """``_row, label, containment`` of every block and notice that match."""
+    return reduce(DataFrame.union, [
+        match_blocks(rows.select("_row", F.col(f"_b{span}").alias("_blocks")), group)
+        for span, group in by_span(notices)
+    ])
+
+
+def match_blocks(rows: DataFrame, notices: list[dict]) -> DataFrame:
+    """The same for notices whose blocks have one length, which are in ``_blocks``."""
     order = word_order(rows, notices)
     rank = {w: i for i, w in enumerate(order)}
     heads = []
@@ -181,7 +208,8 @@ def license_scan(
 
     ``score`` is 1 where a phrase stands and else the largest containment of a matching
     notice, or 0. Null and empty texts have no words, places or labels; repeated rows give a
-    row each; an empty table gives an empty result; other columns are not read.
+    row each; an empty table gives an empty result; other columns are not read. Notices may be
+    whole licences as they stand; ``oracle`` holds for notices of up to ``STRIDE`` words.
     """
     table = notice_table(notices, threshold)
     rows = scan_rows(docs, phrases, table)

@@ -57,3 +57,27 @@ def test_neighbouring_places(spark):
 def test_awkward_rows(spark):
     check(spark, awkward_rows())
     assert L.license_scan(docs_table(spark, [])).collect() == []
+
+
+def test_long_notices(spark):
+    rng = random.Random(7)
+    middle, body = prose(rng, 50, 10_000), prose(rng, 170, 10_000)
+    notices = [*L.NOTICES, (middle, "middle"), (body.upper().replace(" ", ", "), "body")]
+    rows, want = [], {}
+    for i in range(60):
+        words = [f"x{w}" for w in prose(rng, rng.randrange(600)).split()]
+        label, notice = rng.choice([("middle", middle), ("body", body), ("mit", L.NOTICES[0][0])])
+        notice = notice.split()
+        cut = rng.random() < 0.5 and label != "mit"
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = notice[: len(notice) * 7 // 10] if cut else notice
+        rows.append((i, " ".join(words)))
+        want[i] = "" if cut else label
+    got = {r.doc_id: r for r in L.license_scan(docs_table(spark, rows), notices=notices).collect()}
+    assert {i: r.labels for i, r in got.items()} == want
+    assert all(r.score == (1.0 if want[i] else 0.0) for i, r in got.items())
+
+
+def test_blocks_of_short_notices_stay_short():
+    table = L.notice_table([*L.NOTICES, ("a " * 33, "x"), ("b " * 65, "y")], L.THRESHOLD)
+    assert [n["span"] for n in table] == [L.BLOCK] * len(L.NOTICES) + [2 * L.BLOCK, 4 * L.BLOCK]
