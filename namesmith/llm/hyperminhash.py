@@ -204,17 +204,21 @@ def _set_maker(n: int):
                         ("sketch", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, last = WordHashes(), None
         for batch in batches:
             for part in range(0, batch.num_rows, _BATCH):
                 rows = []
                 for r in batch.slice(part, _BATCH).to_pylist():
+                    # a joined row's copies follow each other
+                    if r["node"] == last:
+                        continue
                     grams = shingle_hashes(r["text"], n, hashes)
                     k = xxhash.xxh3_128_intdigest(grams.tobytes())
-                    # rows that share an id may hold another text
+                    # rows that share an id and the text's hash may hold another text
                     if (_signed(k >> 64), _signed(k & ((1 << 64) - 1))) == (r["_k1"], r["_k2"]):
                         rows.append((r["node"], len(grams), grams.tobytes(),
                                      registers(grams).tobytes(), bitmap(grams)))
+                        last = r["node"]
                 yield _arrow(rows, schema)
 
     return run
@@ -284,6 +288,27 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
     return stage(made.withColumn("_row", F.monotonically_increasing_id()), "sketches")
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text, _k1, _k2``: the rows of the nodes' ids and texts, repeated ones as well."""
+    wanted = nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
+                          "_k1", "_k2")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"),
+                        F.xxhash64("text").alias("_text"), "text")
+    on = wanted["_id"].eqNullSafe(texts["_doc"]) & (wanted["_key"] == texts["_text"])
+    return wanted.join(texts, on).select("node", "text", "_k1", "_k2")
+
+
+def whole_sets(found: DataFrame, n: int) -> DataFrame:
+    """The set of each node once, with its registers and bitmap."""
+    sets = stage(
+        found.mapInArrow(_set_maker(n), "node long, size long, grams binary, sketch binary, "
+                                        "bits binary"), "sets")
+    # copies that were not next to each other; none in most tables, where nothing is moved
+    if sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return sets
+    return stage(sets.dropDuplicates(["node"]), "sets")
+
+
 def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``a, b``: confirmed links that connect all sets which any links connect."""
     spark = docs.sparkSession
@@ -291,14 +316,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     pivots = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = pivots.where("low < high").select("key")
     buckets = stage(bands.join(shared, "key"), "buckets")
-    wanted = buckets.select("node").distinct().join(
-        nodes.select("node", F.col("doc_id").alias("_id"), "_k1", "_k2"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text"))
-    found = wanted.join(texts, wanted["_id"].eqNullSafe(texts["_doc"])).select(
-        "node", "text", "_k1", "_k2")
-    sets = stage(
-        found.mapInArrow(_set_maker(n), "node long, size long, grams binary, sketch binary, "
-                                        "bits binary"), "sets")
+    sets = whole_sets(texts_of(buckets.select("node").distinct().join(nodes, "node"), docs), n)
     current = buckets.withColumn("label", F.col("node"))
     links = None
     for _ in range(PIVOT_ROUNDS):

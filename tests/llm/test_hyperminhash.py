@@ -119,3 +119,18 @@ def test_components_of_a_path_and_a_star(spark):
     got = dict(df.collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_candidates_meet_their_own_text_only(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 30) for _ in range(40)]
+    rows = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[20:]] + [(7, texts[-1])] * 5
+    docs = docs_table(spark, rows)
+    nodes = H.sketch_rows(docs, 2).dropDuplicates(["_k1", "_k2"]).withColumnRenamed("_row", "node")
+    found = H.texts_of(nodes, docs)
+    assert found.count() == len(rows)
+    assert found.select("node").distinct().count() == len(texts)
+    sets = H.whole_sets(found, 2).collect()
+    assert len(sets) == len({r.node for r in sets}) == len(texts)
+    near = [(None, edited(rng, t, 1)) for t in texts[:5]] * 3
+    check(spark, rows + near)
