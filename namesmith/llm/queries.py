@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, preference_format, toxic_grammar
+from . import collocations, license_scan, preference_format, toxic_grammar
 from .benchmark_leaks import find_leaks
 from .block_labeller import extract_text
 from .chunk_bpe import token_digest
@@ -89,3 +89,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_block_labeller")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_collocations", collocations.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
