@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, license_scan, preference_format, scaled_sketch, toxic_grammar
+from . import (
+    collocations, conversation_repair, license_scan, preference_format, scaled_sketch, toxic_grammar,
+)
 from .benchmark_leaks import find_leaks
 from .block_labeller import extract_text
 from .chunk_bpe import token_digest
@@ -99,3 +101,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_scaled_sketch", scaled_sketch.oracle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair", conversation_repair.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
