@@ -24,8 +24,8 @@ SHINGLE, SCALE = 5, 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
-#: hexadecimal digits of a hash that a fingerprint holds
-_DIGITS = 16
+#: hexadecimal digits of a hash, which a long holds
+_DIGITS = 15
 
 
 def limit(scale: int) -> str:
@@ -33,6 +33,10 @@ def limit(scale: int) -> str:
     return f"{-(-(1 << 4 * _DIGITS) // scale):0{_DIGITS}x}" if scale > 1 else "g"
 
 
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     """A hash for each run of ``n`` words; of fewer words, of all of them together."""
     words = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
@@ -53,9 +57,10 @@ def sketch(text: Column, n: int = SHINGLE, scale: int = SCALE) -> Column:
     low = F.lit(limit(scale))
 
     def kept(hashes: Column) -> Column:
-        below = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < low)))
-        return F.when(F.exists(hashes, lambda h: h < low), below).otherwise(
+        below = F.array_distinct(F.filter(hashes, lambda h: h < low))
+        some = F.when(F.exists(hashes, lambda h: h < low), below).otherwise(
             F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull()))
+        return F.array_sort(F.transform(some, _number))
 
     return F.get(F.transform(F.array(shingle_hashes(text, n)), kept), F.lit(0))
 
@@ -63,7 +68,7 @@ def sketch(text: Column, n: int = SHINGLE, scale: int = SCALE) -> Column:
 def merge_sketches(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts' shingles together."""
     both = F.array_sort(F.array_union(a, b))
-    below = F.filter(both, lambda h: h < F.lit(limit(scale)))
+    below = F.filter(both, lambda h: h < F.lit(-(-(1 << 4 * _DIGITS) // scale)))
     return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
 
 
@@ -83,7 +88,9 @@ def resemblance(a: Column, b: Column) -> Column:
 
 
 def fingerprint(hashes: Column) -> Column:
-    return F.array_join(hashes, "")
+    """A sketch as text: the hashes in order, in hexadecimal."""
+    digits = F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), _DIGITS, F.lit("0")))
+    return F.array_join(digits, "")
 
 
 def sketches(docs: DataFrame, n: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -98,7 +105,7 @@ def _node(docs: DataFrame) -> DataFrame:
     named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
                         F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "node", F.sha2(named, 256))
+        "node", F.unhex(F.sha2(named, 256)))
 
 
 def edited_fingerprints(docs: DataFrame, n: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -121,36 +128,41 @@ def edited_fingerprints(docs: DataFrame, n: int = SHINGLE, scale: int = SCALE) -
     # the last one takes from the first
     count = placed.agg(F.max("at") + 1).scalar()
     ahead = placed.select(F.pmod(F.col("at") - 1, count).alias("at"), F.col("node").alias("next"))
-    taken = F.expr("cast(n_chars div 2 as int)").alias("taken")
-    followed = placed.join(ahead, "at").select("node", "next", taken, F.lit(False).alias("among"))
-    # of several copies all but the last one are followed by a copy
-    copied = nodes.where("copies > 1").select(
-        "node", F.col("node").alias("next"), taken, F.lit(True).alias("among"))
-    pairs = stage(followed.unionByName(copied), "followed")
+    taken = F.expr("cast(n_chars div 2 as int)")
+    pairs = stage(placed.join(ahead, "at").select("node", "next", taken.alias("taken")), "followed")
+
+    # every join is on the node alone: texts cross the network once, and what they give once
     texts = rows.groupBy("node").agg(F.first("text").alias("text"))
-    wanted = pairs.withColumnRenamed("node", "to").withColumnRenamed("next", "node")
+    wanted = pairs.select(F.col("next").alias("node"), F.col("node").alias("to"), "taken")
     tails = texts.join(wanted, "node").select(
-        F.col("to").alias("node"), "among",
-        F.substring("text", F.lit(1), F.col("taken")).alias("tail"))
-    own = nodes.select("node", "doc_id", "n_chars", "sketch", "copies")
-    other = nodes.select(F.col("node").alias("next"), F.col("sketch").alias("next_sketch"))
-    facts = pairs.join(own, "node").join(other, "next").select(
-        "node", "among", "doc_id", "n_chars", "sketch", "next_sketch",
-        F.when(F.col("among"), F.col("copies") - 1).otherwise(F.lit(1)).alias("times"))
-    edited = texts.join(tails, "node").join(facts, ["node", "among"]).select(
-        "doc_id", "n_chars", "sketch", "next_sketch", "times",
-        F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.expr(
-            "n_chars div 2")).cast("int")), F.col("tail")).alias("edited"))
-    marked = edited.withColumn("edited_sketch", sketch(F.col("edited"), n, scale))
+        F.col("to").alias("node"), F.substring("text", F.lit(1), F.col("taken")).alias("tail"))
+    followers = nodes.select("node", F.col("sketch").alias("next_sketch")).join(
+        wanted.select("node", "to"), "node").select(F.col("to").alias("node"), "next_sketch")
+    known = nodes.join(followers, "node").select(
+        "node", "doc_id", "n_chars", "copies", "sketch",
+        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("resembles_next"))
+    joined = texts.join(tails, "node").join(known, "node").withColumn(
+        "start", F.substring("text", F.lit(1), (F.col("n_chars") - taken).cast("int")))
+    # of several copies all but the last one are followed by a copy
+    by_next = F.struct(
+        F.concat("start", "tail").alias("edited"), "near_next", "resembles_next",
+        F.lit(1).cast("long").alias("times"))
+    by_copy = F.struct(
+        F.concat("start", F.substring("text", F.lit(1), taken)).alias("edited"),
+        F.lit(1.0).alias("near_next"), F.lit(1.0).alias("resembles_next"),
+        (F.col("copies") - 1).alias("times"))
+    made = joined.select("doc_id", "n_chars", "sketch", F.explode(
+        F.when(F.col("copies") > 1, F.array(by_next, by_copy)).otherwise(F.array(by_next))).alias("e"))
+    marked = made.select("doc_id", "n_chars", "sketch", "e.*").withColumn(
+        "edited_sketch", sketch(F.col("edited"), n, scale))
     result = marked.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), "near_next",
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("resembles_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch")).alias("resembles_next"),
-        "times")
+        "resembles_next", "times")
     return _repeated(result, "times")
 
 
