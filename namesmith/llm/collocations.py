@@ -14,12 +14,11 @@ are not read; texts of any length are walked in segments.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +29,24 @@ from ..storage import stage
 THRESHOLD, MAX_WORDS, KEEP = 30, 4, 2_000
 #: a phrase goes where a longer one has this share of its occurrences
 COVER = (80, 100)
-#: characters of texts for which there is one hash partition
-PARTITION_CHARACTERS = 8_000_000
-#: words that a worker holds before it sends a summary, and bytes of text it splits at once
-BUFFER_WORDS, SEGMENT_BYTES = 2_000_000, 4_000_000
+#: bytes of text for which there is one hash partition. A worker holds the keys of one, about
+#: three bytes for every two bytes of text; a cluster with larger executors takes fewer, larger
+#: ones, so that a summary's rows stay long
+PARTITION_BYTES = 8_000_000
+#: documents of a block, phrases that a worker holds before it sends a summary
+BLOCK_ROWS, SUMMARY_PHRASES = 2_048, 4_000_000
+#: bytes of text taken at once, in the first pass and in the second
+HASH_BYTES, COUNT_BYTES = 1_000_000, 4_000_000
 
 #: ends of pieces, all written as line ends; tabs as spaces
 _PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-_LOW = np.uint64((1 << 32) - 1)
+#: bits of a key within its partition. Keys may be shared: then more survive the first pass
+_KEY_BITS = 24
+_KEY = np.uint64((1 << _KEY_BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: words up to so many bytes are hashed and compared by arrays, eight bytes at a time
+_SHORT = 64
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def _segments(text: bytes, size: int, carried: int) -> Iterator[tuple[bytes, int]]:
@@ -63,68 +71,119 @@ def _segments(text: bytes, size: int, carried: int) -> Iterator[tuple[bytes, int
         start = end
 
 
-class _Buffer:
-    """Words of some documents as numbers, with the piece and language of each."""
-
-    def __init__(self, max_words: int, segment: int) -> None:
-        self.max_words, self.segment = max_words, segment
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: defaultdict[bytes, int] = defaultdict()
-        self.words.default_factory = self.words.__len__
-        self.langs: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.lang_of: list[np.ndarray] = []
-        self.old: list[np.ndarray] = []
-        self.held = 0
-
-    def add(self, lang: str, text: bytes) -> Iterator[None]:
-        """Take a text in; yields where the buffer is full and must be emptied."""
-        for part, repeated in _segments(text, self.segment, self.max_words - 1):
-            pieces = [p.split() for p in part.split(b"\n")]
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            n = int(sizes.sum())
-            self.ids.append(np.fromiter(
-                map(self.words.__getitem__, chain.from_iterable(pieces)), np.int64, n))
-            self.sizes.append(sizes)
-            self.lang_of.append(np.full(len(sizes), self.langs.setdefault(lang, len(self.langs))))
-            old = np.zeros(n, bool)
-            old[:repeated] = True
-            self.old.append(old)
-            self.held += n
-            if self.held >= BUFFER_WORDS:
-                yield
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, piece, language and whether it is a repeated one, by position."""
-        sizes = np.concatenate(self.sizes)
-        return (np.concatenate(self.ids), np.repeat(np.arange(len(sizes)), sizes),
-                np.repeat(np.concatenate(self.lang_of), sizes), np.concatenate(self.old))
-
-    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: the starts of its phrases and their 64-bit hashes."""
-        if not self.held:
-            return
-        ids, piece, lang, old = self.arrays()
-        by_word = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        by_lang = np.fromiter(map(xxhash.xxh3_64_intdigest, self.langs), np.uint64, len(self.langs))
-        word = by_word[ids]
-        code = by_lang[lang]
-        for m in range(1, self.max_words + 1):
-            n = len(ids) - m + 1
+def _mixed(code: np.ndarray) -> np.ndarray:
+    code = code * _MIX
+    return code ^ (code >> np.uint64(29))
+
+
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the values, and where in it each different one starts."""
+    order = np.argsort(values)
+    ordered = values[order]
+    if not len(ordered):
+        return order, order
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+class _Chunk:
+    """Segments of some documents: their words, and the piece and language of each."""
+
+    def __init__(self, parts: list[tuple[str, bytes, int]]) -> None:
+        self.data = b"\n".join(part for _, part, _ in parts)
+        text = np.frombuffer(self.data, np.uint8)
+        ends = text == 10
+        inside = np.concatenate([[False], ~ends & (text != 32), [False]])
+        bounds = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.sizes = bounds[::2], bounds[1::2] - bounds[::2]
+        self.piece = np.searchsorted(np.flatnonzero(ends), self.starts)
+        first = np.cumsum([0, *(len(part) + 1 for _, part, _ in parts[:-1])])
+        part_of = np.searchsorted(first, self.starts, side="right") - 1
+        self.langs = list(dict.fromkeys(lang for lang, _, _ in parts))
+        number = {lang: i for i, lang in enumerate(self.langs)}
+        self.lang = np.array([number[lang] for lang, _, _ in parts])[part_of]
+        # words that the segment before has counted
+        within = np.arange(len(part_of)) - np.searchsorted(part_of, np.arange(len(parts)))[part_of]
+        self.old = within < np.array([repeated for _, _, repeated in parts])[part_of]
+        # eight bytes from every byte on
+        self.eight = np.ndarray((len(self.data),), "<u8", self.data + bytes(8), strides=(1,))
+        self.long = np.flatnonzero(self.sizes > _SHORT)
+        self.codes = self.word_codes()
+
+    def bytes_at(self, at: int) -> bytes:
+        return self.data[self.starts[at] : self.starts[at] + self.sizes[at]]
+
+    def phrases(self, starts: np.ndarray, m: int) -> list[bytes]:
+        """The ``m`` words from each start, joined by single spaces."""
+        last = starts + (m - 1)
+        a, b = self.starts[starts], self.starts[last] + self.sizes[last]
+        words = sum((self.sizes[starts + j] for j in range(m)), np.zeros(len(starts), np.int64))
+        found = [self.data[i:j] for i, j in zip(a.tolist(), b.tolist())]
+        for i in np.flatnonzero(b - a != words + (m - 1)).tolist():
+            found[i] = b" ".join(found[i].split())
+        return found
+
+    def _blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words that have a next eight bytes, and these."""
+        some = np.arange(len(self.starts))
+        for k in range(0, _SHORT, 8):
+            some = some[self.sizes[some] > k]
+            left = np.minimum(self.sizes[some] - k, 8)
+            yield some, self.eight[self.starts[some] + k] & _FIRST_BYTES[left]
+
+    def word_codes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        code = _mixed(self.sizes.astype(np.uint64))
+        for some, value in self._blocks():
+            code[some] = _mixed(code[some] ^ value)
+        for at in self.long.tolist():
+            code[at] = xxhash.xxh3_64_intdigest(self.bytes_at(at))
+        return code
+
+    def word_ids(self) -> np.ndarray:
+        """The same number for equal words only: hashes are held against the words themselves."""
+        order, starts = _grouped(self.codes)
+        ids = np.empty(len(order), np.int64)
+        ids[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
+        like = order[starts][ids]
+        same = bool((self.sizes == self.sizes[like]).all())
+        value = np.zeros(len(ids), np.uint64)
+        for some, eight in self._blocks() if same else ():
+            value[some] = eight
+            same = same and bool((eight == value[like[some]]).all())
+        same = same and all(self.bytes_at(i) == self.bytes_at(like[i]) for i in self.long.tolist())
+        if same:
+            return ids
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(self.bytes_at(i), len(known)) for i in range(len(ids))])
+
+    def grams(self, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: the first words of its phrases and their 64-bit hashes."""
+        word = self.codes
+        by_lang = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs], np.uint64)
+        code = by_lang[self.lang]
+        for m in range(1, max_words + 1):
+            n = len(word) - m + 1
             if n <= 0:
                 return
-            code = (code[:n] ^ word[m - 1 :]) * _MIX
-            code ^= code >> np.uint64(29)
-            starts = np.flatnonzero((piece[:n] == piece[m - 1 :]) & ~old[m - 1 :])
+            code = _mixed(code[:n] ^ word[m - 1 :])
+            starts = np.flatnonzero((self.piece[:n] == self.piece[m - 1 :]) & ~self.old[m - 1 :])
             yield m, starts, code[starts]
 
 
 def _slot(code: np.ndarray, partitions: int) -> np.ndarray:
-    """The hash partition in the upper half, the key within it in the lower."""
-    return ((code >> np.uint64(32)) % np.uint64(partitions)) << np.uint64(32) | (code & _LOW)
+    """The hash partition in the upper bits, the key within it in the lower ones."""
+    return ((code >> np.uint64(32)) % np.uint64(partitions)) << np.uint64(_KEY_BITS) | (code & _KEY)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _KEY_BITS // 8].tobytes()
+
+
+def _unpacked(keys: bytes) -> np.ndarray:
+    narrow = np.frombuffer(keys, np.uint8).reshape(-1, _KEY_BITS // 8)
+    wide = np.zeros((len(narrow), 4), np.uint8)
+    wide[:, : _KEY_BITS // 8] = narrow
+    return wide.view("<u4").ravel()
 
 
 _SUMMARY = pa.schema([("p", pa.int64()), ("seq", pa.int32()), ("block", pa.int64()),
@@ -134,42 +193,67 @@ _SUMMARY = pa.schema([("p", pa.int64()), ("seq", pa.int32()), ("block", pa.int64
 def _summaries(max_words: int, partitions: int, segment: int):
     """Blocks of documents to a summary for each hash partition, its mass in a row ahead."""
 
-    def emptied(buffers: dict[int, _Buffer]) -> Iterator[pa.RecordBatch]:
-        for block, buffer in buffers.items():
-            found = [_slot(code, partitions) for _, _, code in buffer.grams()]
-            buffer.clear()
-            if not found:
-                continue
-            slots, counts = np.unique(np.concatenate(found), return_counts=True)
-            of = (slots >> np.uint64(32)).astype(np.int64)
-            present, first = np.unique(of, return_index=True)
-            rows = []
-            for p, a, b in zip(present.tolist(), first, [*first[1:], len(of)]):
-                key, n = (slots[a:b] & _LOW).astype(np.uint32), counts[a:b]
-                many = n > 1
-                rows.append((p, 0, block, int(n.sum()), None, None))
-                # keys that occur once come last, without their count
-                rows.append((p, 1, block, None,
-                             np.concatenate([key[many], key[~many]]).tobytes(),
-                             n[many].astype(np.uint32).tobytes()))
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _SUMMARY)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SUMMARY)
+    def summary(block: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.concatenate(found)
+        found.clear()
+        slots.sort()
+        starts = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        counts = np.diff(starts, append=len(slots))
+        slots = slots[starts]
+        of = (slots >> np.uint64(_KEY_BITS)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        rows = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(of)]):
+            key, n = slots[a:b] & _KEY, counts[a:b]
+            many = n > 1
+            rows.append((int(of[a]), 0, block, int(n.sum()), None, None))
+            # keys that occur once come last, without their count
+            rows.append((int(of[a]), 1, block, None,
+                         _packed(np.concatenate([key[many], key[~many]])),
+                         n[many].astype(np.uint32).tobytes()))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _SUMMARY)]
+        return pa.RecordBatch.from_arrays(columns, schema=_SUMMARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffers: dict[int, _Buffer] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                buffer = buffers.setdefault(row["block"], _Buffer(max_words, segment))
-                for _ in buffer.add(row["lang"], row["text"]):
-                    yield from emptied({row["block"]: buffer})
-            if sum(b.held for b in buffers.values()) >= BUFFER_WORDS:
-                yield from emptied(buffers)
-                buffers = {}
-        yield from emptied(buffers)
+        now, found, held = None, [], 0
+        for block, chunk in _chunks(batches, max_words, segment, HASH_BYTES):
+            if found and (block != now or held >= SUMMARY_PHRASES):
+                yield summary(now, found)
+                held = 0
+            now = block
+            for _, _, code in chunk.grams(max_words):
+                if len(code):
+                    found.append(_slot(code, partitions))
+                    held += len(code)
+        if found:
+            yield summary(now, found)
 
     return run
 
 
+def _chunks(
+    batches: Iterator[pa.RecordBatch], max_words: int, segment: int, size: int
+) -> Iterator[tuple[int, _Chunk]]:
+    """Each block's documents in chunks of bounded size."""
+    now, parts, held = None, [], 0
+    for batch in batches:
+        blocks, langs, texts = (batch.column(c) for c in ("block", "lang", "text"))
+        for i in range(batch.num_rows):
+            block, lang = blocks[i].as_py(), langs[i].as_py()
+            if block != now and parts:
+                yield now, _Chunk(parts)
+                parts, held = [], 0
+            now = block
+            for part, repeated in _segments(texts[i].as_py(), min(segment, size), max_words - 1):
+                parts.append((lang, part, repeated))
+                held += len(part)
+                if held >= size:
+                    yield now, _Chunk(parts)
+                    parts, held = [], 0
+    if parts:
+        yield now, _Chunk(parts)
+
+
 class MisraGries:
     """A mergeable summary: it undercounts a key by at most ``missed``.
 
@@ -195,10 +279,8 @@ class MisraGries:
             return
         keys = np.concatenate([self.keys, *(k for k, _ in self._waiting)])
         counts = np.concatenate([self.counts, *(c for _, c in self._waiting)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, counts = keys[starts], np.add.reduceat(counts, starts)
+        order, starts = _grouped(keys)
+        keys, counts = keys[order[starts]], np.add.reduceat(counts[order], starts)
         if len(keys) > self.capacity:
             # the largest counter that finds no room
             over = len(counts) - self.capacity - 1
@@ -214,29 +296,24 @@ class MisraGries:
         return self.keys[self.counts + self.missed >= threshold]
 
 
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    key, many = np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.uint32)
-    n = np.ones(len(key), np.int64)
-    n[: len(many)] = many
-    return key, n
-
-
 _SURVIVORS = pa.schema([("block", pa.int64()), ("p", pa.int64()), ("keys", pa.binary())])
 
 
 def _survivors(threshold: int):
     """Summaries in order of partition to the keys that each block must count exactly.
 
-    Memory is that of one hash partition, whose size ``PARTITION_CHARACTERS`` sets.
+    Memory is that of one hash partition, whose size ``PARTITION_BYTES`` sets.
     """
 
     def ended(p: int, summary: MisraGries, sent: list) -> pa.RecordBatch:
-        frequent = summary.frequent(threshold)
+        frequent = np.zeros(1 << _KEY_BITS, bool)
+        frequent[summary.frequent(threshold)] = True
         rows = []
-        for block, keys in sent:
-            mine = keys[np.isin(keys, frequent)]
-            if len(mine):
-                rows.append((block, p, mine.tobytes()))
+        for block, packed in sent:
+            keys = _unpacked(packed)
+            keys = keys[frequent[keys]]
+            if len(keys):
+                rows.append((block, p, _packed(keys)))
         columns = zip(*rows) if rows else ([], [], [])
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(columns, _SURVIVORS)], schema=_SURVIVORS)
@@ -244,7 +321,7 @@ def _survivors(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mass, summary, sent = None, 0, None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 if row["p"] != now:
                     if summary is not None:
                         yield ended(now, summary, sent)
@@ -254,9 +331,11 @@ def _survivors(threshold: int):
                     continue
                 if summary is None:
                     summary = MisraGries(mass // threshold + 1)
-                keys, counts = _unpack(row["keys"], row["counts"])
+                keys, many = _unpacked(row["keys"]), np.frombuffer(row["counts"], np.uint32)
+                counts = np.ones(len(keys), np.int64)
+                counts[: len(many)] = many
                 summary.add(keys, counts)
-                sent.append((row["block"], keys))
+                sent.append((row["block"], row["keys"]))
         if summary is not None:
             yield ended(now, summary, sent)
 
@@ -271,61 +350,72 @@ def _exact(columns: list[np.ndarray], size: int) -> np.ndarray:
     code = columns[0]
     for column in columns[1:]:
         if len(code) and (int(code.max()) + 1) * size >= 1 << 62:
-            code = np.unique(code, return_inverse=True)[1]
+            order, starts = _grouped(code)
+            code = np.empty(len(order), np.int64)
+            code[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
         code = code * size + column
     return code
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: each holds a large value."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 def _counted(max_words: int, partitions: int, segment: int):
     """A block's surviving keys, then its documents, to exact counts of their phrases.
 
     The row of an empty phrase has the number of words of a language.
     """
-
-    def emptied(buffer: _Buffer, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not buffer.held:
-            return
-        ids, _, lang, old = buffer.arrays()
-        words, langs = list(buffer.words), list(buffer.langs)
-        rows = [(langs[i], b"", n) for i, n in enumerate(
-            np.bincount(lang[~old], minlength=len(langs)).tolist())]
-        for m, starts, code in buffer.grams():
+    # a first look by some of the bits spares the search for most phrases
+    some = np.uint64((1 << 22) - 1)
+
+    def counts(chunk: _Chunk, slots: np.ndarray, maybe: np.ndarray) -> Iterator[pa.RecordBatch]:
+        langs = pa.array(chunk.langs, pa.string())
+        words = np.bincount(chunk.lang[~chunk.old], minlength=len(langs))
+        yield pa.RecordBatch.from_arrays(
+            [langs, pa.array([b""] * len(langs), pa.binary()), pa.array(words, pa.int64())],
+            schema=_COUNTS)
+        ids = chunk.word_ids()
+        size = int(ids.max(initial=0)) + 1
+        for m, starts, code in chunk.grams(max_words):
             slot = _slot(code, partitions)
+            likely = np.flatnonzero(maybe[slot & some])
+            slot, starts = slot[likely], starts[likely]
             at = np.searchsorted(slots, slot)
             at[at == len(slots)] = 0
             starts = starts[slots[at] == slot] if len(slots) else starts[:0]
-            phrases = [ids[starts + j] for j in range(m)]
-            codes = _exact([lang[starts], *phrases], len(words))
-            _, first, n = np.unique(codes, return_index=True, return_counts=True)
-            for start, count in zip(starts[first].tolist(), n.tolist()):
-                phrase = b" ".join([words[w] for w in ids[start : start + m].tolist()])
-                rows.append((langs[lang[start]], phrase, count))
-        buffer.clear()
-        for a in range(0, len(rows), 50_000):
-            columns = zip(*rows[a : a + 50_000])
+            order, first = _grouped(
+                _exact([chunk.lang[starts], *(ids[starts + j] for j in range(m))], size))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
+                [langs.take(pa.array(chunk.lang[starts[order[first]]])),
+                 pa.array(chunk.phrases(starts[order[first]], m), pa.binary()),
+                 pa.array(np.diff(first, append=len(order)), pa.int64())], schema=_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = _Buffer(max_words, segment)
-        now, keys, slots = None, [], None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != now:
-                    if slots is not None:
-                        yield from emptied(buffer, slots)
-                    now, keys, slots = row["block"], [], None
-                if row["keys"] is not None:
-                    keys.append(np.frombuffer(row["keys"], np.uint32).astype(np.uint64)
-                                | np.uint64(row["p"] << 32))
-                    continue
-                if slots is None:
-                    slots = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]))
-                    keys = []
-                for _ in buffer.add(row["lang"], row["text"]):
-                    yield from emptied(buffer, slots)
-        if slots is not None:
-            yield from emptied(buffer, slots)
+        keys: dict[int, list[np.ndarray]] = {}
+
+        def documents() -> Iterator[pa.RecordBatch]:
+            """The rows that have a text; the keys ahead of them are put aside."""
+            for batch in batches:
+                given = np.flatnonzero(batch.column("seq").to_numpy() == 0)
+                for row in _each(batch.take(pa.array(given))):
+                    keys.setdefault(row["block"], []).append(
+                        _unpacked(row["keys"]).astype(np.uint64)
+                        | np.uint64(row["p"] << _KEY_BITS))
+                yield batch.filter(pa.compute.equal(batch.column("seq"), 1))
+
+        now, slots, maybe = None, None, None
+        for block, chunk in _chunks(documents(), max_words, segment, COUNT_BYTES):
+            if block != now:
+                for old in [b for b in keys if b < block]:
+                    del keys[old]
+                now = block
+                slots = np.unique(np.concatenate([np.empty(0, np.uint64), *keys.get(block, [])]))
+                maybe = np.zeros(int(some) + 1, bool)
+                maybe[slots & some] = True
+            yield from counts(chunk, slots, maybe)
 
     return run
 
@@ -334,21 +424,21 @@ def frequent_phrases(
     docs: DataFrame,
     threshold: int = THRESHOLD,
     max_words: int = MAX_WORDS,
-    segment: int = SEGMENT_BYTES,
+    segment: int = HASH_BYTES,
 ) -> DataFrame:
     """``lang, phrase, n``: phrases of one word and more that occur ``threshold`` times.
 
     The row of an empty phrase has all words of the language, however few.
     """
     # a block must be the same documents in both passes: it is written down
-    part = F.spark_partition_id().cast("long") * 4 + F.monotonically_increasing_id() % 4
+    block = F.expr(f"monotonically_increasing_id() div {BLOCK_ROWS}")
     texts = stage(docs.select(
         F.coalesce("lang", F.lit("und")).alias("lang"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
-        part.alias("block"),
+        block.alias("block"),
     ), "phrase-blocks")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    partitions = 1 + size // PARTITION_CHARACTERS
+    partitions = 1 + size // PARTITION_BYTES
 
     schema = "p long, seq int, block long, mass long, keys binary, counts binary"
     summaries = texts.mapInArrow(_summaries(max_words, partitions, segment), schema)
@@ -409,7 +499,7 @@ def collocations(
     threshold: int = THRESHOLD,
     max_words: int = MAX_WORDS,
     keep: int = KEEP,
-    segment: int = SEGMENT_BYTES,
+    segment: int = HASH_BYTES,
 ) -> DataFrame:
     """The ``keep`` best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``."""
     counts = stage(frequent_phrases(docs, threshold, max_words, segment), "phrase-counts")

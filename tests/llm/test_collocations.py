@@ -86,12 +86,37 @@ def test_awkward_rows(spark):
 
 
 def test_many_copies_and_full_buffers(spark, monkeypatch):
-    monkeypatch.setattr(C, "BUFFER_WORDS", 50)
-    monkeypatch.setattr(C, "PARTITION_CHARACTERS", 500)
+    monkeypatch.setattr(C, "HASH_BYTES", 300)
+    monkeypatch.setattr(C, "COUNT_BYTES", 400)
+    monkeypatch.setattr(C, "SUMMARY_PHRASES", 500)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(C, "PARTITION_BYTES", 500)
     rows = texts(3, 15) + [("en", "one line, that all have. Yes")] * 200
     assert run(spark, rows, 5) == brute(rows, 5, 2000)
 
 
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    long = b"x" * 70
+    words = [b"a", b"a\x00", b"abcdefgh", b"abcdefgh\x00", b"abcdefghi", long, long + b"y", b"a", long]
+    texts = [("en", b" ".join(words), 0), ("de", b"a b\nabcdefghi", 1)]
+
+    def ids():
+        chunk = C._Chunk(texts)
+        found = chunk.word_ids().tolist()
+        by_word = {}
+        for i, x in enumerate(found):
+            assert by_word.setdefault(chunk.bytes_at(i), x) == x
+        assert len(set(found)) == len(by_word) == 8
+        return chunk
+
+    chunk = ids()
+    assert chunk.old.tolist() == [False] * 9 + [True, False, False]
+    assert chunk.piece.tolist() == [0] * 9 + [1, 1, 2]
+    # all hashes equal
+    monkeypatch.setattr(C._Chunk, "word_codes", lambda self: np.zeros(len(self.sizes), np.uint64))
+    ids()
+
+
 def test_summary_keeps_every_frequent_key():
     rng = np.random.default_rng(5)
     for threshold in (5, 30):
