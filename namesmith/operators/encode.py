@@ -9,6 +9,7 @@ from ..constants import (
     FIRST_WORD_ID, IGNORE_ID, MASK_ID, MASK_TOKEN, MAX_LENGTH, PAD_ID, UNK_ID, VOCAB_SIZE,
 )
 from ..functions.names import split_camel_case
+from ..storage import stage
 from .align import lookup_join, number_rows
 
 # the hidden name, word pieces, numbers, white space, any other character: together
@@ -34,6 +35,8 @@ def build_vocab(
         F.count("*").alias("n")
     )
     if max_size is None:
+        # ranges are sampled before they are cut: counting is not done twice
+        counts = stage(counts, "piece-counts")
         ranked = number_rows(counts.withColumn("_less", -F.col("n")), ["_less", "word"], "_rank")
         ids = (F.col("_rank") + FIRST_WORD_ID).cast("int").alias("word_id")
         return ranked.select("word", ids, "n")
@@ -54,13 +57,36 @@ def attention_mask(size: Column, length: int) -> Column:
     )
 
 
-def _fixed_length(df: DataFrame, keep: list[str], outputs: list[str], length: int) -> DataFrame:
-    # ids wait in "_0", "_1": inside a lambda an output name would mean the padded array
-    return df.select(
-        *keep,
-        *[pad(F.col(f"_{field}"), length).alias(name) for field, name in enumerate(outputs)],
-        attention_mask(F.size("_0"), length).alias("attention_mask"),
+def gathered(
+    units: DataFrame, items: str, table: DataFrame, key: str, value: str, found: str = "found"
+) -> DataFrame:
+    """``units`` with a map from each of their distinct items to its value in ``table``.
+
+    ``unit`` names a row. An item is looked up once per unit, however often it stands there:
+    with ``units`` partitioned by ``unit`` and a table that Spark broadcasts nothing moves but
+    the distinct items' values, and else each item crosses the network once a unit.
+    """
+    pieces = units.select("unit", F.explode(F.array_distinct(items)).alias(key))
+    known = lookup_join(pieces, table.select(key, value), [key]).where(F.col(value).isNotNull())
+    maps = known.groupBy("unit").agg(
+        F.map_from_entries(F.collect_list(F.struct(key, value))).alias(found)
     )
+    return units.join(maps, "unit", "left")
+
+
+def _units(
+    df: DataFrame, keys: tuple[str, ...], parts: list[Column], make: Column
+) -> tuple[DataFrame, DataFrame]:
+    """``_keys`` and the digest ``unit`` of ``parts`` for each row, and ``made`` for each unit.
+
+    Rows are told apart by nothing else, so keys may repeat and equal contents are worked on
+    once; only digests of contents stay with the rows.
+    """
+    sized = [F.concat(F.coalesce(F.length(p), F.lit(-1)).cast("string"), F.lit(":"),
+                      F.coalesce(p, F.lit(""))) for p in parts]
+    rows = df.select(F.struct(*keys).alias("_keys"),
+                     F.sha2(F.concat(*sized), 256).alias("unit"), make.alias("made"))
+    return rows.select("_keys", "unit"), rows.groupBy("unit").agg(F.first("made").alias("made"))
 
 
 def encode(
@@ -70,30 +96,36 @@ def encode(
     max_length: int = MAX_LENGTH,
     keys: tuple[str, ...] = ("id",),
 ) -> DataFrame:
-    """``keys``, which must identify a row, and id arrays; ``columns`` maps output to text.
+    """A row with ``keys`` and id arrays for each row; ``columns`` maps output to text.
 
-    Adds ``attention_mask`` for the first of them. The vocabulary may have any size: texts
-    are cut to ``max_length`` pieces, spread out to a row a piece, looked up and gathered.
+    Adds ``attention_mask`` for the first of them. The vocabulary may have any size. Texts are
+    cut to ``max_length`` pieces before they move, each distinct piece of a text is looked up
+    once, and the text's pieces are replaced by a map of these. Keys may repeat.
     """
-    tokens = F.array(*[F.slice(pieces(text), 1, max_length) for text in columns.values()])
-    rows = df.select(*keys, F.posexplode(tokens).alias("_field", "_tokens"))
-    rows = rows.select(*keys, "_field", F.posexplode_outer("_tokens").alias("_pos", "word"))
-    coded = lookup_join(rows, vocab.select("word", "word_id"), ["word"]).withColumn(
-        "_id",
-        F.when(F.col("word") == MASK_TOKEN, MASK_ID)
-        .when(F.col("word").isNotNull(), F.coalesce("word_id", F.lit(UNK_ID)))
-        .cast("int"),
+    texts = [F.col(text) for text in columns.values()]
+    named, units = _units(
+        df, keys, texts, F.array(*[F.coalesce(F.slice(pieces(text), 1, max_length),
+                                    F.array().cast("array<string>")) for text in texts]))
+    split = units.withColumn("_all", F.flatten("made"))
+    coded = gathered(split, "_all", vocab, "word", "word_id")
+
+    def ids(field: int) -> Column:
+        def one(word: Column) -> Column:
+            known = F.coalesce(F.element_at("found", word), F.lit(UNK_ID))
+            return F.when(word == MASK_TOKEN, MASK_ID).otherwise(known).cast("int")
+
+        return F.transform(F.col("made")[field], one)
+
+    outputs = coded.select(
+        "unit",
+        *[pad(ids(field), max_length).alias(f"_{field}") for field in range(len(columns))],
+        F.size(F.col("made")[0]).alias("_size"),
     )
-
-    def gathered(field: int) -> Column:
-        mine = (F.col("_field") == field) & F.col("_id").isNotNull()
-        items = F.collect_list(F.when(mine, F.struct("_pos", "_id")))
-        return F.transform(F.array_sort(items), lambda item: item["_id"])
-
-    lists = coded.groupBy(*keys).agg(
-        *[gathered(field).alias(f"_{field}") for field in range(len(columns))]
+    return named.join(outputs, "unit").select(
+        "_keys.*",
+        *[F.col(f"_{field}").alias(name) for field, name in enumerate(columns)],
+        attention_mask(F.col("_size"), max_length).alias("attention_mask"),
     )
-    return _fixed_length(lists, list(keys), list(columns), max_length)
 
 
 def encode_examples(
@@ -112,18 +144,19 @@ def decode(
     output: str = "text",
     keys: tuple[str, ...] = ("id",),
 ) -> DataFrame:
-    """``keys``, which must identify a row, and the text of its ids.
+    """A row with ``keys`` and the text of its ids for each row.
 
-    Special ids are skipped and pieces joined, for a vocabulary of any size.
+    Special ids are skipped and pieces joined, for a vocabulary of any size. Each distinct id
+    of an array is looked up once, and equal arrays once. Keys may repeat.
     """
-    words = F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID)
-    rows = df.select(*keys, F.posexplode_outer(words).alias("_pos", "word_id"))
-    known = lookup_join(rows, vocab.select("word_id", "word"), ["word_id"])
-    items = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("_pos", "word")))
-    texts = known.groupBy(*keys).agg(F.array_sort(items).alias("_items"))
-    return texts.select(
-        *keys, F.array_join(F.transform("_items", lambda item: item["word"]), "").alias(output)
-    )
+    words = F.coalesce(
+        F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID), F.array().cast("array<int>"))
+    shown = F.array_join(words.cast("array<string>"), " ")
+    named, units = _units(df, keys, [shown], words)
+    known = gathered(units, "made", vocab, "word_id", "word")
+    text = F.array_join(F.transform("made", lambda i: F.element_at("found", i)), "")
+    texts = known.select("unit", F.coalesce(text, F.lit("")).alias(output))
+    return named.join(texts, "unit").select("_keys.*", output)
 
 
 def replace_ignored(ids: Column | str, ignore_id: int = IGNORE_ID) -> Column:

@@ -90,3 +90,46 @@ def test_name_budget(spark):
     assert encode.name_length_budget(names).first()[0] == 4
     names = names.unionByName(spark.createDataFrame([("aBCDe",)], "labels string"))
     assert encode.name_length_budget(names).first()[0] == 5
+
+
+def test_repeated_keys_and_contents_give_a_row_each(spark, texts):
+    rows = spark.createDataFrame(
+        [(1, "a b"), (1, "c"), (1, "c"), (None, "c"), (2, None), (2, ""), (3, "c c c")],
+        "id int, text string")
+    vocab = encode.build_vocab(rows, "text", 100)
+    coded = encode.encode(rows, vocab, {"ids": "text"}, 4)
+    want = {w: i for w, i in vocab.select("word", "word_id").collect()}
+    expected = []
+    for r in rows.collect():
+        found = [want[c] for c in (r.text or "")][:4]
+        expected.append((r.id, found + [0] * (4 - len(found)), [1] * len(found) + [0] * (4 - len(found))))
+    assert sorted(map(tuple, coded.collect()), key=str) == sorted(expected, key=str)
+    back = encode.decode(coded, "ids", vocab)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(
+        [(r.id, (r.text or "")[:4]) for r in rows.collect()], key=str)
+
+
+def test_a_key_may_be_the_text(spark, texts):
+    vocab = encode.build_vocab(texts, "text", 100)
+    coded = encode.encode(texts, vocab, {"text": "text", "unit": "text"}, 3, ("text",)).columns
+    assert coded == ["text", "text", "unit", "attention_mask"]
+    coded = encode.encode(texts.withColumnRenamed("id", "unit"), vocab, {"made": "text"}, 3, ("unit",))
+    assert sorted(r.unit for r in coded.collect()) == list(range(len(TEXTS)))
+
+
+def test_unknown_and_null_ids_are_skipped(spark, texts):
+    vocab = encode.build_vocab(texts, "text", 100)
+    rows = spark.createDataFrame([(1, [10 ** 6, 3, 3, 0]), (2, None), (3, []), (3, [3])],
+                                 "id int, ids array<int>")
+    word = vocab.where("word_id = 3").first().word
+    assert sorted(map(tuple, encode.decode(rows, "ids", vocab).collect())) == [
+        (1, word * 2), (2, ""), (3, ""), (3, word)]
+
+
+def test_a_piece_moves_once_for_a_text(spark, shuffled_joins):
+    rows = spark.range(20).select("id", F.repeat(F.lit("x "), 300).alias("text"))
+    vocab = encode.build_vocab(rows, "text", 10)
+    split = rows.select(F.lit("u").alias("unit"), encode.pieces("text").alias("all"))
+    found = encode.gathered(split.limit(1), "all", vocab, "word", "word_id").first().found
+    assert len(found) == 2
+    assert encode.encode(rows, vocab, {"ids": "text"}, 512).count() == 20
