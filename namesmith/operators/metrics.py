@@ -6,6 +6,8 @@ shuffle. Only vector similarity joins anything.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,55 +120,88 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: bits of the largest component of all vectors as a whole number. Sums of 2,000 words and
+#: more fit a long, and the steps are finer than those of floats
+_BITS = 52
+
+
+def _whole_vectors(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """``(word, vec)`` with whole numbers in proportion to the components, and their size.
+
+    Sums of whole numbers are the same in any order. Vectors with a missing or non-finite
+    component take no part.
+    """
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    known = vectors.select("word", F.col("vec").cast("array<double>").alias("vec")).where(finite)
+    size, most = known.agg(
+        F.max(F.size("vec")), F.max(F.array_max(F.transform("vec", F.abs)))).first()
+    scale = 2.0 ** (_BITS - math.frexp(most)[1]) if most else 1.0
+    whole = F.transform("vec", lambda x: F.round(x * F.lit(scale)).cast("long"))
+    return known.select("word", whole.alias("vec")), size or 0
+
+
 def name_vectors(names: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(name, vec)`` of distinct names: the sum of their known word vectors at length 1.
 
-    The cosine of two sums is that of the two means. Names without a known word, or whose
-    vectors cancel out, are left out.
+    The cosine of two sums is that of the two means. Sums are taken position by position
+    where the words are, so that a name crosses the network as one vector. Names without a
+    known word, or whose vectors cancel out, are left out.
     """
-    words = names.select("name", F.posexplode(split_camel_case("name")).alias("pos", "word"))
-    table = vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
-    known = lookup_join(words, table, ["word"]).where(F.col("vec").isNotNull())
-    items = known.groupBy("name").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("items")
-    )
-    # summed in word order, so that the result does not depend on the partitioning
-    total = F.aggregate(
-        F.slice("items", 2, F.size("items")),
-        F.get(F.col("items"), F.lit(0))["vec"],
-        lambda s, item: F.zip_with(s, item["vec"], lambda x, y: x + y),
-    )
-    sums = items.select("name", total.alias("vec"))
+    whole, size = _whole_vectors(vectors)
+    words = names.select("name", F.explode(split_camel_case("name")).alias("word"))
+    known = lookup_join(words, whole, ["word"]).where(F.col("vec").isNotNull())
+    sums = known.groupBy("name").agg(
+        *[F.sum(F.get(F.col("vec"), F.lit(i))).alias(f"_{i}") for i in range(size)])
+    total = F.array(*[F.col(f"_{i}").cast("double") for i in range(size)]).cast("array<double>")
+    added = sums.select("name", total.alias("vec"))
+
+    def shortened(norm: Column) -> Column:
+        return F.when(norm > 0, F.transform("vec", lambda x: x / norm))
+
+    # the norm is handed on: written inside the inner function, it is taken for every component
     norm = F.sqrt(_dot(F.col("vec"), F.col("vec")))
-    known_length = sums.withColumn("norm", norm).where("norm > 0")
-    return known_length.select("name", F.transform("vec", lambda x: x / F.col("norm")).alias("vec"))
+    units = added.select("name", F.get(F.transform(F.array(norm), shortened), F.lit(0)).alias("vec"))
+    return units.where(F.col("vec").isNotNull())
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each label and prediction once, its ``copies`` in each run, and whether they are alike."""
+    counted = present(pairs).groupBy("run_id", "label", "prediction").agg(
+        F.count("*").alias("copies"))
+    merged = counted.groupBy("label", "prediction").agg(
+        F.collect_list(F.struct("run_id", "copies")).alias("runs"))
+    words = subword_counts(merged)
+    return stage(words.select(
+        "label", "prediction", "runs", "n_label", "n_prediction", "matches",
+        (F.col("label_words") == F.col("prediction_words")).alias("alike")), "distinct-pairs")
+
+
+def _scored_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Distinct pairs with their ``similarity``: vectors are made once per distinct name."""
+    distinct = _distinct_pairs(pairs)
+    names = distinct.where(~F.col("alike")).select(
+        F.explode(F.array("label", "prediction")).alias("name")).distinct()
+    known = stage(name_vectors(names, vectors), "name-vectors")
+    one = known.select(F.col("name").alias("label"), F.col("vec").alias("l_vec"))
+    other = known.select(F.col("name").alias("prediction"), F.col("vec").alias("p_vec"))
+    found = distinct.join(one, "label", "left").join(other, "prediction", "left")
+    cosine = F.coalesce(_dot(F.col("l_vec"), F.col("p_vec")), F.lit(0.0))
+    return found.withColumn(
+        "similarity", F.when(F.col("alike"), F.lit(1.0)).otherwise(cosine)).drop("l_vec", "p_vec")
+
+
+def _by_run(scored: DataFrame, *keep: str) -> DataFrame:
+    return scored.select(*keep, F.inline("runs"))
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of the mean word vectors of each distinct pair, with its ``copies`` per run.
 
-    Equal names score 1, names without any known word 0. A pair is scored once for all
-    runs: repeated pairs are merged first, vectors are made once per distinct name, and only
-    the score goes back to the runs' rows.
+    Names of equal subwords score 1, names without any known word 0. A pair is scored once
+    for all runs, which are carried along with it.
     """
-    distinct = stage(
-        present(pairs).groupBy("run_id", "label", "prediction").agg(F.count("*").alias("copies")),
-        "distinct-pairs",
-    )
-    same = (F.col("label") == F.col("prediction")) | (
-        split_camel_case("label") == split_camel_case("prediction")
-    )
-    differing = distinct.where(~same).select("label", "prediction").distinct()
-    names = differing.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
-    known = stage(name_vectors(names, vectors), "name-vectors")
-    one = known.select(F.col("name").alias("label"), F.col("vec").alias("l_vec"))
-    other = known.select(F.col("name").alias("prediction"), F.col("vec").alias("p_vec"))
-    cosines = differing.join(one, "label").join(other, "prediction").select(
-        "label", "prediction", _dot(F.col("l_vec"), F.col("p_vec")).alias("similarity")
-    )
-    found = lookup_join(distinct, cosines, ["label", "prediction"], unique=True)
-    scored = F.when(same, F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
-    return found.select("run_id", "label", "prediction", "copies", scored.alias("similarity"))
+    found = _by_run(_scored_pairs(pairs, vectors), "label", "prediction", "similarity")
+    return found.select("run_id", "label", "prediction", "copies", "similarity")
 
 
 def mean_semantic_similarity(
@@ -184,21 +219,24 @@ def evaluate(
 ) -> DataFrame:
     """All metrics per run; ``similarity`` only when word vectors are given.
 
-    Without vectors every pair is scored where it is. With them repeated pairs have
-    been merged for the lookup, and the other metrics are taken on the merged pairs. Runs
-    asked for by name have a row even without pairs.
+    Without vectors every pair is scored where it is. With them repeated pairs are merged
+    first, over all runs, and every metric is taken once per distinct pair. Runs asked for by
+    name have a row even without pairs.
     """
     if vectors is None:
-        merged = present(pairs).withColumn("copies", F.lit(1))
+        merged = subword_counts(pairs).withColumn("copies", F.lit(1))
     else:
-        merged = pair_similarity(pairs, vectors)
-    scored = subword_counts(merged).withColumns(
+        merged = _scored_pairs(pairs, vectors)
+    scored = merged.withColumns(
         {
             "distance": levenshtein("label", "prediction"),
             # single words are their own 1-grams
             "recall": ratio(F.col("matches"), F.col("n_label")),
         }
     )
+    if vectors is not None:
+        scored = _by_run(
+            scored, "matches", "n_label", "n_prediction", "distance", "recall", "similarity")
 
     def total(name: str) -> Column:
         return F.sum(F.col(name) * F.col("copies"))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -204,3 +205,23 @@ def test_missing_names_and_runs_without_pairs(spark):
     assert whole["r"].accuracy < 1 and whole["r"].levenshtein > 0
     none = pairs.where("false")
     assert [(r.run_id, r.n, r.accuracy) for r in metrics.evaluate(none, runs=["s"]).collect()] == [("s", 0, 0)]
+
+
+def test_vector_sums_do_not_depend_on_the_order(spark):
+    rng = random.Random(3)
+    words = [chr(97 + i) * 3 for i in range(20)]
+    vectors = [(w, [rng.uniform(-9, 9) for _ in range(7)]) for w in words]
+    vectors += [("bad", [float("nan")] * 7), ("inf", [float("inf")] * 7), ("gap", [None] * 7), ("zero", [0.0] * 7)]
+    table = spark.createDataFrame(vectors, "word string, vec array<double>")
+    names = [("".join(w.title() for w in rng.choices(words + ["bad", "gap", "none"], k=6)),) for _ in range(40)]
+    names = spark.createDataFrame([*set(names), ("bad",), ("zero",), ("",)], "name string")
+    found = {r.name: r.vec for r in metrics.name_vectors(names.repartition(5), table).collect()}
+    again = {r.name: r.vec for r in metrics.name_vectors(names.coalesce(1), table.repartition(7)).collect()}
+    assert found == again and not {"bad", "zero", ""} & set(found)
+    of = dict(vectors)
+    for name, vec in found.items():
+        parts = [of[w.lower()] for w in re.findall("[A-Z][a-z]+", name) if w.lower() in words]
+        total = [math.fsum(xs) for xs in zip(*parts)]
+        norm = math.sqrt(math.fsum(x * x for x in total))
+        assert vec == pytest.approx([x / norm for x in total], abs=1e-12)
+    assert metrics.name_vectors(names, table.where("false")).collect() == []
