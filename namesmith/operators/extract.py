@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..constants import EXTRACTED, METHODS
 from ..storage import stage
-from .align import number_rows
+from .align import lookup_join, number_rows, running_total
 from .java_scan import scan_methods
 
 _FLUSH_ROWS = 5_000
@@ -52,10 +52,20 @@ def number_methods(methods: DataFrame) -> DataFrame:
     """Give extracted methods their gapless ``id``, by file and position in it.
 
     The id depends on the data alone, so splits made from it can be repeated on any
-    cluster. Extraction is staged first: a range partitioning reads its input twice.
+    cluster. It is the number of methods in files ahead plus the place in the file: only a
+    table of files and counts is put in order, and bodies are written once. They move only
+    where that table is too large to broadcast. Methods of which some are left out are
+    ranked as rows instead.
     """
-    numbered = number_rows(stage(methods, "extracted"), ["file_path", "method_no"], "id")
-    return numbered.select(*METHODS.names)
+    extracted = stage(methods, "extracted")
+    counts = stage(extracted.groupBy("file_path").agg(
+        F.count("*").alias("n"), (F.max("method_no") + 1).alias("last"),
+        F.count_distinct("method_no").alias("places")), "file-counts")
+    if not counts.where("n <> last or n <> places or file_path is null").isEmpty():
+        return number_rows(extracted, ["file_path", "method_no"], "id").select(*METHODS.names)
+    ahead = running_total(counts.select("file_path", "n"), ["file_path"], "n").drop("n")
+    placed = lookup_join(extracted, ahead, ["file_path"], unique=True)
+    return placed.withColumn("id", F.col("ahead") + F.col("method_no")).select(*METHODS.names)
 
 
 def register_java_methods(spark: SparkSession, name: str = "java_methods") -> None:

@@ -137,7 +137,7 @@ def _whole_vectors(vectors: DataFrame) -> tuple[DataFrame, int]:
         F.max(F.size("vec")), F.max(F.array_max(F.transform("vec", F.abs)))).first()
     scale = 2.0 ** (_BITS - math.frexp(most)[1]) if most else 1.0
     whole = F.transform("vec", lambda x: F.round(x * F.lit(scale)).cast("long"))
-    return known.select("word", whole.alias("vec")), size or 0
+    return known.select("word", whole.alias("vec")), max(size or 0, 1)
 
 
 def name_vectors(names: DataFrame, vectors: DataFrame) -> DataFrame:

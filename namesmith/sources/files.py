@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SOURCE_SUFFIX
 from ..functions.text import decode_text
 from ..operators.align import number_rows
-from .listing import SOURCE, WholeFiles
+from .listing import list_files, read_files
 
 
 def scan_source_files(
@@ -19,12 +17,10 @@ def scan_source_files(
     """``(path, content)`` of every file below ``roots`` whose name ends in ``suffix``.
 
     A root is a folder, a file or a glob of any shared file system. No name is left out,
-    whatever it starts with; small files share partitions of about equal bytes.
+    whatever it starts with. Listing is a Spark job itself, made when this is called; small
+    files share partitions of about equal bytes.
     """
-    spark.dataSource.register(WholeFiles)
-    return spark.read.format(SOURCE).options(
-        roots=json.dumps([roots] if isinstance(roots, str) else list(roots)), suffix=suffix
-    ).load()
+    return read_files(list_files(spark, [roots] if isinstance(roots, str) else list(roots), suffix))
 
 
 def read_source_files(
