@@ -16,7 +16,6 @@ from . import sql, views
 from .registry import check
 
 KINDS = sql.KINDS
-HOLDOUT, VALIDATION = 60, 30
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +28,9 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.tag_splits(stage(clean(spark, sf_dir), "cleaned"), HOLDOUT, VALIDATION)
+    cleaned = stage(clean(spark, sf_dir), "cleaned")
+    n = cleaned.count()
+    return splits.tag_splits(cleaned, n // 5, n // 10)
 
 
 RESOLVED = f"select * exclude (type_identifier), {sql.RETURN_TYPE} as type_identifier from fx"

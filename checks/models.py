@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.constants import MAX_LENGTH, VOCAB_SIZE
-from namesmith.functions.text import clean_generated_name, fill_missing_prediction
+from namesmith.functions.text import (
+    clean_generated_name, fill_missing_prediction, rebuild_generated_name,
+)
 from namesmith.operators import encode as enc
 from namesmith.operators import predict as pred
 from namesmith.operators.clean import encoded_only
@@ -195,6 +197,30 @@ def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", fill_missing_prediction(name).alias("name"))
 
 
+# subwords in order of their first place, then joined: the later ones with a capital
+REBUILT = f"""
+select doc_id, coalesce(string_agg(case when place = 1 then word else upper(word[1]) || word[2:] end,
+ '' order by place), '') as name
+from (select doc_id, word, row_number() over (partition by doc_id order by first) as place
+ from (select doc_id, word, min(pos) as first
+  from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos
+   from (select doc_id, case when len(w) = 0 then [null] else w end as w
+    from (select doc_id, flatten(list_transform(regexp_extract_all(text, '[a-zA-Z]+'),
+      lambda r: {sql.subwords('r')})) as w from documents)))
+  group by all))
+group by doc_id
+"""
+
+
+@check("rebuild_generated_name", f"select doc_id, md5(name) as digest, len(name) as size from ({REBUILT})")
+def rebuild_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as generated texts, which repeat most of their words."""
+    docs = views.working_table(spark, sf_dir, "documents")
+    name = rebuild_generated_name(F.col("text"))
+    return docs.select("doc_id", name.alias("name")).select(
+        "doc_id", F.md5("name").alias("digest"), F.length("name").cast("long").alias("size"))
+
+
 def echo_model():
     """A model that repeats its input."""
 

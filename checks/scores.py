@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions import names
-from namesmith.operators import align, metrics
+from namesmith.operators import align, breakdown, metrics, overlap
 from namesmith.operators.encode import build_vocab
-from namesmith.plans.flow import compare_predictors, evaluate_model
+from namesmith.plans.flow import (
+    build_examples, build_methods, compare_predictors, evaluate_model, evaluate_stored,
+    score_predictors,
+)
 from namesmith.sources.files import decode_files
-from namesmith.sources.tables import report
-from namesmith.storage import stage
+from namesmith.sources.tables import read_predictions, report, write_predictions
+from namesmith.storage import fresh_path, stage
 
 from . import models, sql, views
 from .registry import check
@@ -496,7 +499,7 @@ from tall a join tall b using (metric) where a.run_id = 'base' and b.run_id = 't
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files through extraction, splits and two predictors to compared scores."""
     files = decode_files(views.source_files(spark, sf_dir))
-    return rounded(compare_predictors(files, n_holdout=60, n_val=30), "metric")
+    return rounded(compare_predictors(files, n_holdout=0.2, n_val=0.1), "metric")
 
 
 @check(
@@ -522,3 +525,100 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = stage(build_vocab(examples, "labels", None), "vocab")
     scores = evaluate_model(examples, vocab, models.echo_model, models.LENGTH)
     return rounded(scores, "run_id", "n")
+
+
+@check(
+    "evaluate_stored",
+    f"""{views.ctes('sources', **FLOW)}
+select run_id, n, {', '.join(f'round({m}, 6) as {m}' for m in FLOW_METRICS)} from metrics""",
+)
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the whole flow written, read back and scored against the test split."""
+    files = decode_files(views.source_files(spark, sf_dir))
+    examples = stage(build_examples(build_methods(files), 0.2, 0.1), "examples")
+    path = fresh_path(spark, "predictions")
+    write_predictions(score_predictors(examples), path)
+    scores = evaluate_stored(examples, read_predictions(spark, path))
+    return rounded(scores, "run_id", "n")
+
+
+CLASSED = {
+    "counted": COUNTED,
+    "lines": "select id, len(string_split(block, chr(10))) as n from fx where block is not null",
+    "bounds": "select quantile_disc(n, 1/3) as low, quantile_disc(n, 2/3) as high from lines where n > 1",
+    "classes": f"""
+select id, case when block is null then 'none' when n = 1 then 'one line'
+  when n <= low then 'to ' || low || ' lines' when n <= high then 'to ' || high || ' lines'
+  else 'over ' || greatest(low, high) || ' lines' end as body_class,
+ case when mods like '%abstract%' then 'abstract' when mods like '%@Override%' then 'override'
+  else 'other' end as purpose,
+ case {' '.join(f"when {kind} is not null then '{kind}'" for kind in sql.KINDS)} else 'none' end
+  as return_kind
+from fx left join lines using (id), bounds""",
+    "scored": """
+select run_id, body_class, purpose, return_kind, common, nl, np,
+ case when nl = 0 then 0 else common / nl end as recall, levenshtein(label, prediction) as distance
+from counted join classes on id = example_id""",
+}
+
+
+@check(
+    "evaluate_by_class",
+    f"""{views.ctes('pairs', **CLASSED)}
+select run_id, case when grouping(body_class) = 1 then 'all' else body_class end as body_class,
+ case when grouping(purpose) = 1 then 'all' else purpose end as purpose,
+ case when grouping(return_kind) = 1 then 'all' else return_kind end as return_kind,
+ count(*) as n, round(sum(common) / sum(np), 6) as accuracy,
+ round(sum(common) / sum(nl), 6) as accuracy_by_label, round(avg(recall), 6) as rouge1,
+ round(avg(distance), 6) as levenshtein
+from scored group by grouping sets (
+ (run_id), (run_id, body_class), (run_id, purpose), (run_id, return_kind),
+ (run_id, body_class, return_kind))""",
+)
+def by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by length of body, purpose and return kind."""
+    classes = breakdown.classify_methods(views.fx(spark, sf_dir))
+    scores = breakdown.evaluate_by_class(views.pairs(spark, sf_dir), classes)
+    return rounded(scores, "run_id", "body_class", "purpose", "return_kind", "n")
+
+
+def grams(n: int) -> str:
+    """The n-grams of both names' subwords, joined, with their clipped matches."""
+    return (f"{sql.overlap(f'l{n}', f'p{n}')} as m{n}, len(p{n}) as t{n}")
+
+
+BLEU = {
+    "counted": counted("line_pairs"),
+    "grams": "select run_id, nl, np, lw as l1, pw as p1, " + ", ".join(
+        f"list_transform({sql.ngrams(w, n)}, lambda g: array_to_string(g, ' ')) as {side}{n}"
+        for n in (2, 3, 4) for side, w in (("l", "lw"), ("p", "pw"))) + " from counted",
+    "matched": f"select run_id, nl, np, {', '.join(grams(n) for n in (1, 2, 3, 4))} from grams",
+    "sums": "select run_id, sum(nl) as nl, sum(np) as np, " + ", ".join(
+        f"sum(m{n}) / sum(t{n}) as precision_{n}" for n in (1, 2, 3, 4)) + " from matched group by run_id",
+    "penalties": "select *, case when np >= nl then 1.0 else exp(1 - nl / np) end as brevity_penalty from sums",
+}
+
+
+@check(
+    "corpus_bleu",
+    f"""{views.ctes('line_pairs', **BLEU)}
+select run_id, round(brevity_penalty * exp((ln(precision_1) + ln(precision_2) + ln(precision_3)
+ + ln(precision_4)) / 4), 6) as bleu, round(brevity_penalty, 6) as brevity_penalty,
+ {', '.join(f'round(precision_{n}, 6) as precision_{n}' for n in (1, 2, 3, 4))} from penalties""",
+)
+def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(overlap.corpus_bleu(views.line_pairs(spark, sf_dir)), "run_id")
+
+
+@check(
+    "set_scores",
+    f"""{views.ctes('line_pairs', counted=counted('line_pairs'),
+        sets="select run_id, list_distinct(lw) as l, list_distinct(pw) as p from counted",
+        sizes="select run_id, len(l) as nl, len(p) as np, len(list_intersect(l, p)) as shared from sets")}
+select run_id, round(sum(shared) / sum(np), 6) as precision, round(sum(shared) / sum(nl), 6) as recall,
+ round(2.0 * sum(shared) / (sum(nl) + sum(np)), 6) as f1,
+ round(avg(case when nl + np = 0 then 0 else 2.0 * shared / (nl + np) end), 6) as mean_f1
+from sizes group by run_id""",
+)
+def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(overlap.set_scores(views.line_pairs(spark, sf_dir)), "run_id")

@@ -199,9 +199,6 @@ def read_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_examples(spark, path, "test").select("id", "labels", "full_code", "split")
 
 
-BASE_PAIRS = "select example_id, label, prediction from pairs where run_id = 'base'"
-
-
 @check(
     "read_predictions",
     f"""{views.ctes('pairs')}
@@ -216,18 +213,19 @@ def read_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "prediction_lines",
     f"""{views.ctes('pairs')}
-select row_number() over (order by example_id) - 1 as position, example_id, label, prediction
-from ({BASE_PAIRS})""",
+select row_number() over (order by run_id, example_id) - 1 as position, run_id, example_id, label,
+ prediction from pairs""",
 )
 def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions go through flat lines and come back to their labels by position."""
     path = fresh_path(spark, "lines")
-    pairs = views.pairs(spark, sf_dir).where("run_id = 'base'")
-    files.write_prediction_lines(pairs, path, ["example_id"])
+    pairs = views.pairs(spark, sf_dir)
+    files.write_prediction_lines(pairs, path, ["run_id", "example_id"])
     lines = files.read_prediction_lines(spark, path).withColumnRenamed("position", "line_no")
-    labels = pairs.select("example_id", "label")
-    return zip_by_position(labels, lines, ["example_id"], ["line_no"], strict=True).select(
-        "position", "example_id", "label", "prediction"
+    labels = pairs.select("run_id", "example_id", "label")
+    order = ["run_id", "example_id"]
+    return zip_by_position(labels, lines, order, ["line_no"], strict=True).select(
+        "position", "run_id", "example_id", "label", "prediction"
     )
 
 

@@ -79,12 +79,14 @@ where identifier is not null and type_identifier is not null and mods <> ''
   or mods like '%abstract%')
 """
 
-# clean methods tagged with a 60-row holdout, half of it validation
+# clean methods of which a fifth is held out, half of it for validation
 TAGGED = f"""
-select *, case when first_rank > 60 then 'train'
-  when row_number() over (partition by first_rank > 60 order by {shuffle_key('id', '42:2')}, id) <= 30
+select *, case when first_rank > n_clean // 5 then 'train'
+  when row_number() over (partition by first_rank > n_clean // 5
+   order by {shuffle_key('id', '42:2')}, id) <= n_clean // 10
   then 'validation' else 'test' end as split
-from (select *, row_number() over (order by {shuffle_key('id')}, id) as first_rank from clean)
+from (select *, row_number() over (order by {shuffle_key('id')}, id) as first_rank,
+  count(*) over () as n_clean from clean)
 """
 
 PIECES = r"<extra_id_0>|[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[ \t\r\n]+|[^A-Za-z0-9 \t\r\n]"

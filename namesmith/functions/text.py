@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import NO_PREDICTION, NULL_TOKENS
+from .names import split_camel_case
 
 _LITERAL_JSON = {
     "allowSingleQuotes": "true",
@@ -138,6 +139,17 @@ def clean_generated_name(text: Column) -> Column:
     )
 
 
+def rebuild_generated_name(text: Column) -> Column:
+    """All different subwords of a generated text as one camelCase name, else an empty string.
+
+    Models repeat words to fill their length; only the first of equal ones stays, in order.
+    """
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z]+"), F.lit(0))
+    words = F.array_distinct(F.flatten(F.transform(runs, split_camel_case)))
+    return F.array_join(F.transform(
+        words, lambda word, at: F.when(at == 0, word).otherwise(F.initcap(word))), "")
+
+
 def fill_missing_prediction(name: Column) -> Column:
     """Blank or null names become the no-prediction marker."""
     blank = name.isNull() | name.rlike(r"^\s*$")

@@ -15,9 +15,12 @@ from .align import lookup_join
 from .encode import decode
 
 
-def final_name(text: Column) -> Column:
-    """Generated text to one name, or the no-prediction marker."""
-    return fill_missing_prediction(clean_generated_name(text))
+def final_name(text: Column, clean: Callable[[Column], Column] = clean_generated_name) -> Column:
+    """Generated text to one name, or the no-prediction marker.
+
+    ``clean`` takes the longest word; ``rebuild_generated_name`` joins all different ones.
+    """
+    return fill_missing_prediction(clean(text))
 
 
 def predict_batches(
@@ -47,13 +50,14 @@ def generate_names(
     make_predict_fn: Callable,
     max_length: int,
     batch_size: int = PREDICT_BATCH,
+    clean: Callable[[Column], Column] = clean_generated_name,
 ) -> DataFrame:
     """``(id, prediction)``: model output decoded, cleaned and filled."""
     outputs = predict_batches(
         encoded.select("id", "input_ids", "attention_mask"), make_predict_fn, max_length, batch_size
     )
     texts = decode(outputs, "output_ids", vocab)
-    return texts.select("id", final_name(F.col("text")).alias("prediction"))
+    return texts.select("id", final_name(F.col("text"), clean).alias("prediction"))
 
 
 def _winner() -> Column:

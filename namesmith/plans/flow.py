@@ -38,18 +38,19 @@ def build_methods(files: DataFrame) -> DataFrame:
 
 def build_examples(
     methods: DataFrame,
-    n_holdout: int = HOLDOUT_ROWS,
-    n_val: int = VALIDATION_ROWS,
+    n_holdout: int | float = HOLDOUT_ROWS,
+    n_val: int | float = VALIDATION_ROWS,
     seed: int = SEED,
     tokens: list[str] = NULL_TOKENS,
 ) -> DataFrame:
     """Method table to cleaned examples tagged train, validation or test.
 
     Texts that the CSV form takes for missing are missing here too; pass no ``tokens``
-    to keep them.
+    to keep them. Sizes that are no whole numbers are shares of the cleaned rows.
     """
     texts = [name for name in METHODS.names if name not in ("id", "modifiers")]
-    return tag_splits(clean_methods(null_tokens(methods, texts, tokens)), n_holdout, n_val, seed)
+    cleaned = clean_methods(null_tokens(methods, texts, tokens))
+    return tag_splits(cleaned, _share(cleaned, n_holdout), _share(cleaned, n_val), seed)
 
 
 def score_predictors(examples: DataFrame) -> DataFrame:
@@ -68,6 +69,32 @@ def score_predictors(examples: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_stored(
+    examples: DataFrame,
+    predictions: DataFrame,
+    vectors: DataFrame | None = None,
+    runs: list[str] | None = None,
+) -> DataFrame:
+    """Metrics of predictions read back from the store, against the test split.
+
+    Every test row counts in every run that has predictions; one without its own counts as
+    missing. ``read_predictions`` gives ids the type that the flow gave them.
+    """
+    test = examples.where(F.col("split") == "test").select(
+        F.col("id").alias("example_id"), F.col("labels").alias("label"))
+    known = predictions.agg(F.collect_set("run_id")).scalar()
+    wanted = test.withColumn("run_id", F.explode(known))
+    pairs = wanted.join(predictions, ["example_id", "run_id"], "left").select(
+        "example_id", "run_id", "label", "prediction")
+    if vectors is not None:
+        pairs = stage(pairs, "pairs")
+    return evaluate(pairs, vectors, runs)
+
+
+def _share(rows: DataFrame, n: int | float) -> int:
+    return n if isinstance(n, int) else int(rows.count() * n)
+
+
 def evaluate_model(
     examples: DataFrame,
     vocab: DataFrame,
@@ -96,8 +123,8 @@ def evaluate_model(
 
 def compare_predictors(
     files: DataFrame,
-    n_holdout: int = HOLDOUT_ROWS,
-    n_val: int = VALIDATION_ROWS,
+    n_holdout: int | float = HOLDOUT_ROWS,
+    n_val: int | float = VALIDATION_ROWS,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Extract, clean, split, fit, predict, score and compare."""

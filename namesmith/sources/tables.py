@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..constants import METHODS, METHODS_CSV, NULL_TOKENS
 from ..functions.text import null_tokens, parse_list_literal, render_list_literal
+from .records import read_records
 
-_CSV = {"header": "true", "quote": '"', "escape": '"'}
+_CELLS = {"quote": '"', "escape": '"'}
+_CSV = {"header": "true", **_CELLS}
 
 
 def peek_schema(spark: SparkSession, path: str) -> list[str]:
@@ -21,11 +23,10 @@ def read_cells_csv(spark: SparkSession, path: str) -> DataFrame:
     header = peek_schema(spark, path)
     indexed = header[0] in ("_c0", "Unnamed: 0")
     names = (["_c0"] if indexed else []) + [c for c in header if c not in ("_c0", "Unnamed: 0")]
-    cells = (
-        spark.read.options(**_CSV, multiLine="true")
-        .schema(", ".join(f"`{name}` string" for name in names))
-        .csv(path)
-    )
+    schema = ", ".join(f"`{name}` string" for name in names)
+    cells = read_records(spark, path).select(
+        F.from_csv("text", F.lit(schema), {**_CELLS, "multiLine": "true"}).alias("cells")
+    ).select("cells.*")
     return cells.withColumnRenamed("_c0", "id") if indexed else cells
 
 
@@ -34,8 +35,7 @@ def read_methods_csv(
 ) -> DataFrame:
     """The method CSV in typed form: missing cells null, modifiers as an array.
 
-    Cells hold line breaks, so one CSV file is one task; exchange large tables as a
-    folder of files or, better, as Parquet.
+    Cells hold line breaks; a file is read by as many tasks as it has splits all the same.
     """
     cells = read_cells_csv(spark, path)
     present = null_tokens(cells, [name for name in cells.columns if name != "id"], tokens)
@@ -90,8 +90,12 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """``example_id, prediction, run_id`` of all runs, or of one, whose folder alone is read."""
-    stored = spark.read.schema("example_id long, prediction string, run_id string").parquet(path)
+    """``example_id, prediction, run_id`` of all runs, or of one, whose folder alone is read.
+
+    Ids have the type they were written with; run names are text, also where they look like numbers.
+    """
+    kind = spark.read.parquet(path).schema["example_id"].dataType.simpleString()
+    stored = spark.read.schema(f"example_id {kind}, prediction string, run_id string").parquet(path)
     stored = stored.withColumn("run_id", F.coalesce("run_id", F.lit("")))
     return stored if run_id is None else stored.where(F.col("run_id") == run_id)
 
