@@ -22,7 +22,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
@@ -172,12 +172,14 @@ _CONTEXT = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()),
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted contexts of each text."""
+    """The bytes of the wanted contexts of each text, which comes as a row in a column."""
     for batch in batches:
+        texts = batch.column("__row").field("text")
         for part in range(0, batch.num_rows, 100):
             rows = []
-            for r in batch.slice(part, 100).to_pylist():
-                data = r["text"].encode()
+            wanted = batch.select(["uid", "wanted"]).slice(part, 100).to_pylist()
+            for i, r in enumerate(wanted, part):
+                data = texts[i].as_py().encode()
                 for w in r["wanted"]:
                     ctx = data[w["q"] - w["l"] : w["q"] + w["r"]]
                     rows.append({"h": w["h"], "n": w["n"], "uid": r["uid"], "q": w["q"],
@@ -278,7 +280,8 @@ def _solver(length: int):
                   for r in batch.slice(part, _BATCH).to_pylist())
         out = []
         for _, bucket in groupby(stream, key=lambda r: r["h"]):
-            out += solve(list(bucket))
+            # rows of equal id and text bring a context each, one after the other
+            out += solve([next(same) for _, same in groupby(bucket, key=lambda r: (r["uid"], r["q"]))])
             if len(out) >= _BATCH:
                 yield pa.RecordBatch.from_pylist(out, _FOUND)
                 out = []
@@ -325,6 +328,20 @@ def keyed(docs: DataFrame) -> DataFrame:
                              "_key": F.xxhash64(F.col("text"))})
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column, whatever its columns are called, beside what identifies its text.
+
+    Both joins to the texts read this one table by the same keys, so that in one plan the
+    texts cross the network once.
+    """
+    return docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"),
+                       F.xxhash64("text").alias("__text"))
+
+
+def _same_text(table: DataFrame) -> Column:
+    return F.col("__id").eqNullSafe(table["_doc"]) & (F.col("__text") == table["_k"])
+
+
 def repeated_spans(docs: DataFrame, rows: DataFrame, length: int = LENGTH,
                    bucket: int = BUCKET) -> DataFrame:
     """``uid, spans``: for each text row with repeated strings the spans they cover."""
@@ -344,18 +361,13 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int = LENGTH,
         F.when(F.col("m") > bucket, None).otherwise(F.col("h")).alias("h"), "n", "q", "l", "r",
     )).alias("wanted"))
     ids = rows.select("uid", F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"))
-    texts = keyed(docs).select("doc_id", "_key", "text")
-    with_text = (
-        per_text.join(ids, "uid")
-        .join(texts, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key")))
-        .select("uid", "wanted", "text")
-    )
+    named = per_text.join(ids, "uid")
+    with_text = whole_rows(docs).join(named, _same_text(named)).select("uid", "wanted", "__row")
     contexts = with_text.mapInArrow(
         _cutter, "h long, n long, uid long, q int, l int, ctx binary")
     large = unsettled.where(F.col("m") > bucket).limit(1).count() > 0
     if large:
         contexts = stage(contexts, "context_bytes")  # read in two ways
-    # rows with equal id and text bring a context twice
     solved = (
         contexts.where("h is not null").repartition("h").sortWithinPartitions("h", "uid", "q")
         .mapInArrow(_solver(length), "uid long, lo int, hi int")
@@ -363,7 +375,8 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int = LENGTH,
     own = rows.select("uid", F.explode("own").alias("s")).select("uid", "s.lo", "s.hi")
     spans = own.union(whole).union(solved)
     if large:
-        strings = contexts.where("h is null").mapInArrow(
+        once = contexts.where("h is null").dropDuplicates(["uid", "q"])
+        strings = once.mapInArrow(
             _stringer(length), "key long, more long, n long, uid long, lo int, hi int")
         twice = strings.groupBy("key", "more").agg(F.sum("n").alias("n")).where("n > 1")
         counted = strings.drop("n").join(twice.select("key", "more"), ["key", "more"])
@@ -371,36 +384,32 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int = LENGTH,
     return spans.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("uid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                        ("kept", pa.binary())])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+                     ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in range(0, batch.num_rows, 100):
-            rows = []
-            for r in batch.slice(part, 100).to_pylist():
-                data, at, kept, gone = r["text"].encode(), 0, [], 0
-                runs = merged([(s["lo"], s["hi"]) for s in r["spans"]])
-                for lo, hi in runs:
-                    kept.append(data[at:lo])
-                    gone += hi - lo
-                    at = hi
-                kept.append(data[at:])
-                rows.append({"uid": r["uid"], "n_removed": gone, "n_spans": len(runs),
-                             "kept": b"".join(kept)})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def without_repeats(docs: DataFrame, rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``uid, n_removed, n_spans, kept`` (the bytes left) of the text rows with spans.
-
-    A row that shares id and text with another comes once for each of them.
-    """
+        texts = batch.column("__row").field("text")
+        rows = []
+        for i in range(batch.num_rows):
+            data, at, gone = (texts[i].as_py() or "").encode(), 0, 0
+            sha = hashlib.sha256()
+            runs = merged([(s["lo"], s["hi"]) for s in batch.column("spans")[i].as_py() or ()])
+            for lo, hi in runs:
+                sha.update(data[at:lo])
+                gone += hi - lo
+                at = hi
+            sha.update(data[at:])
+            rows.append({"doc_id": batch.column("__id")[i].as_py(), "n_bytes": len(data), "n_removed": gone,
+                         "n_spans": len(runs), "kept_sha256": sha.hexdigest()})
+        yield pa.RecordBatch.from_pylist(rows, _DIGEST)
+
+
+def text_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``_doc, _k, spans``: rows of equal id and text have equal spans, which come once."""
     ids = rows.select("uid", F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"))
-    texts = keyed(docs).select("doc_id", "_key", "text")
-    hit = spans.join(ids, "uid").join(
-        texts, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key")))
-    return hit.select("uid", "spans", "text").mapInArrow(
-        _remover, "uid long, n_removed long, n_spans long, kept binary")
+    return spans.join(ids, "uid").groupBy("_doc", "_k").agg(F.first("spans").alias("spans"))
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
@@ -411,15 +420,12 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -
     rows count as copies of each other, an empty table gives an empty result, and other
     columns are not read.
     """
+    docs = docs.select("doc_id", "text")
     rows = text_rows(docs, length)
-    spans = stage(repeated_spans(docs, rows, length, bucket), "spans")
-    cut = without_repeats(docs, rows, spans).select(
-        "uid", "n_removed", "n_spans", F.sha2("kept", 256).alias("_sha")).distinct()
-    return rows.select("uid", "doc_id", "n_bytes", "sha").join(cut, "uid", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("_sha", "sha").alias("kept_sha256"),
-    )
+    cuts = text_spans(rows, repeated_spans(docs, rows, length, bucket))
+    joined = whole_rows(docs).join(cuts, _same_text(cuts), "left").select("__id", "__row", "spans")
+    return joined.mapInArrow(
+        _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
@@ -430,15 +436,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     """
     rows = text_rows(docs, length)
     spans = repeated_spans(docs, rows, length, bucket)
-    ids = rows.select("uid", F.col("doc_id").alias("__doc"), F.col("_key").alias("__key"))
-    # rows of equal id and text have equal spans
-    cuts = spans.join(ids, "uid").groupBy("__doc", "__key").agg(
-        F.first("spans").alias("__spans"))
-    # the row as one column, whatever its columns are called
-    marked = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"),
-                         F.xxhash64("text").alias("__text"))
-    on = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key"))
-    joined = marked.join(cuts, on, "left").select("__row.*", F.col("__spans").alias("__spans"))
+    cuts = text_spans(rows, spans)
+    joined = whole_rows(docs).join(cuts, _same_text(cuts), "left").select(
+        "__row.*", F.col("spans").alias("__spans"))
     names = docs.columns
     at = names.index("text")
 

@@ -94,3 +94,15 @@ def test_suffix_array_equals_sorting():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
     text = [rng.randrange(3) for _ in range(3000)] * 2
     assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_twenty_thousand_equal_rows(spark):
+    rng = random.Random(31)
+    text = prose(rng, 60, 10 ** 6)
+    other = prose(rng, 30, 10 ** 6) + text[50:380]
+    rows = [(1, text)] * 20_000 + [(2, other), (3, prose(rng, 50, 10 ** 6))]
+    found = S.repeat_digest(docs_table(spark, rows), 200)
+    counts = found.groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, counts)) == [(1, len(text), 20_000), (2, 330, 1), (3, 0, 1)]
+    left = S.remove_repeats(docs_table(spark, rows), 200)
+    assert left.where("doc_id = 1 and text = ''").count() == 20_000 and left.count() == 20_002
