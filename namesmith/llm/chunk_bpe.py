@@ -20,6 +20,7 @@ import sys
 import types
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: bytes that decide a cut, and one cut in so many places
 WINDOW, EVERY = 8, 1024
+#: bytes from which a piece's merges are kept in a heap, which short pieces do not repay
+LONG_PIECE = 256
 #: what a worker process keeps: characters of encoded chunks, and words
 KEPT_CHARACTERS, KEPT_WORDS = 24_000_000, 400_000
 
@@ -81,6 +84,8 @@ class WordEncoder(dict):
         """The merges of lowest rank, leftmost first, until none applies."""
         ids = [self.inner[b] for b in data[:-1]]
         ids.append(self.last[data[-1]])
+        if len(ids) > LONG_PIECE:
+            return self._merged_long(ids)
         rank_of, none = self.ranks.get, len(self.joined)
         ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
         while ranks:
@@ -96,6 +101,30 @@ class WordEncoder(dict):
                 ranks[i] = rank_of((ids[i], ids[i + 1]), none)
         return ids
 
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same for pieces of any length: pairs in a heap, neighbours linked."""
+        rank_of = self.ranks.get
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        pairs = ((rank_of(pair), i) for i, pair in enumerate(zip(ids, ids[1:])))
+        heap = [pair for pair in pairs if pair[0] is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = right[i]
+            # a pair that has changed since has an entry of its own
+            if ids[i] < 0 or j == n or rank_of((ids[i], ids[j])) != rank:
+                continue
+            ids[i], ids[j] = self.joined[rank], -1
+            right[i] = after = right[j]
+            if after < n:
+                left[after] = i
+                if (new := rank_of((ids[i], ids[after]))) is not None:
+                    heappush(heap, (new, i))
+            if (before := left[i]) >= 0 and (new := rank_of((ids[before], ids[i]))) is not None:
+                heappush(heap, (new, before))
+        return [i for i in ids if i >= 0]
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts with a space between; the vocabulary has no other decoder."""
         return " ".join(self.names[i] for i in ids)

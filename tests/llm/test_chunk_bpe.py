@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -71,3 +72,24 @@ def test_digests_and_ids(spark, library):
     assert C.with_digests(docs, PATH).columns == [
         *(c for c in docs.columns if c != "n_tokens"), "n_tokens", "ids_sha256", "decoded_sha256"]
     assert C.token_digest(docs_table(spark, []), PATH).collect() == []
+
+
+def test_long_pieces(library, monkeypatch):
+    rng, coder = random.Random(12), C.ChunkEncoder(PATH)
+    for n, letters in ((300, "ab"), (700, "theingstr"), (2_000, "aàé日x"), (1_500, "a"), (900, "!?-")):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert coder.encode(text) == library(text)
+    monkeypatch.setattr(C, "LONG_PIECE", 1)
+    again = C.ChunkEncoder(PATH)
+    for _ in range(300):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(60)))
+        assert again.encode(text) == library(text)
+
+
+def test_a_megabyte_without_white_space():
+    rng, coder = random.Random(13), C.ChunkEncoder(PATH)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    start = time.process_time()
+    n, ids, decoded = coder.encode(text)
+    assert time.process_time() - start < 20  # about 4 s; squares of the length would be hours
+    assert len(ids.split()) == n and decoded.replace(" ", "").replace("</w>", "") == text
