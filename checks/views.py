@@ -65,14 +65,15 @@ PAIRS = _RUN.format(run="base", hits=4) + "union all" + _RUN.format(run="tuned",
 
 # the same names in far more pairs: one per order line
 LINE_PAIRS = """
-select run_id, a.identifier as label, b.identifier as prediction
+select run_id, a.identifier as label,
+ case when prediction_id < 0 then '<no_prediction>' else b.identifier end as prediction
 from (select l_returnflag as run_id, l_partkey as label_id,
-  case when l_linenumber % 4 = 0 then l_partkey when l_orderkey % 31 = 0 then -1
+  case when l_linenumber % 4 = 0 then l_partkey when l_orderkey % 31 = 0 then -1 - l_orderkey
    else (l_partkey * 7 + l_suppkey) % (select count(*) from part) end as prediction_id
   from lineitem) l
 join (select id, identifier from fx where identifier not in ('','nan')) a on a.id = label_id
-join (select id, identifier from fx where identifier not in ('','nan')
-      union all select -1, '<no_prediction>') b on b.id = prediction_id
+left join (select id, identifier from fx where identifier not in ('','nan')) b on b.id = prediction_id
+where prediction_id < 0 or b.identifier is not null
 """
 
 # one Java file per named method: around it a field, a constructor, text that only
