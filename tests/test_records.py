@@ -84,5 +84,5 @@ def test_empty_files(spark, tmp_path):
 
 def test_ends():
     for line, plain, quoted in [("", False, True), ('"', True, False), ('""', False, True), ('a"', False, False),
-                                ('"a",b', False, False), ('x,"', True, True), ('","', False, True), ('"",""",', True, False)]:
+                                ('"a",b', False, False), ('x,"', True, False), ('","', False, True), ('"",""",', True, False)]:
         assert (ends_quoted(line, False), ends_quoted(line, True)) == (plain, quoted), line
