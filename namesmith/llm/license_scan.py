@@ -3,7 +3,8 @@
 Blocks are windows of 64 words, every 32 words, so a passage of up to 32 words lies whole
 in one block. For longer notices both numbers are doubled until the notice lies whole in one;
 short notices keep short blocks. A block matches a notice if it holds at least ``THRESHOLD`` of the notice's
-distinct words. The join is exact: words are ordered from rare to frequent over all
+distinct words, its marks (words that tell it from its like) among them, and no notice that has
+all its words and more matches there too. The join is exact: words are ordered from rare to frequent over all
 blocks, a match must then share one of the notice's first words (prefix filter), have
 enough words (length filter), and have enough of both left after the shared word
 (positional filter); what passes is verified on the whole word sets.
@@ -31,42 +32,107 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: usual notices and their labels
+#: usual notices, their labels and the words without which a block is no such notice.
+#: Sentences by which the licences are declared, and the wording of some.
 NOTICES = [
-    ("released under the mit license", "mit"),
+    ("released under the mit license", "mit", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this "
-     "software", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution noncommercial 4 0 "
-     "international license", "cc-by-nc"),
+     "software", "mit", "charge"),
+    ("licensed under the apache license version 2 0", "apache-2", "apache 2"),
+    ("licensed under cc by 4 0", "cc-by", "cc by"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "cc by sa"),
+    ("licensed under cc by nd 4 0", "cc-by-nd", "cc by nd"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "cc by nc"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa", "cc by nc sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd", "cc by nc nd"),
     ("this work is licensed under a creative commons attribution 4 0 international license",
-     "cc-by"),
+     "cc-by", "attribution"),
     ("this work is licensed under a creative commons attribution sharealike 4 0 "
-     "international license", "cc-by-sa"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
+     "international license", "cc-by-sa", "attribution sharealike"),
+    ("this work is licensed under a creative commons attribution noderivatives 4 0 "
+     "international license", "cc-by-nd", "attribution noderivatives"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 "
+     "international license", "cc-by-nc", "attribution noncommercial"),
+    ("this work is licensed under a creative commons attribution noncommercial sharealike 4 0 "
+     "international license", "cc-by-nc-sa", "attribution noncommercial sharealike"),
+    ("this work is licensed under a creative commons attribution noncommercial noderivatives "
+     "4 0 international license", "cc-by-nc-nd", "attribution noncommercial noderivatives"),
+    ("this work is licensed under the gnu general public license version 3", "gpl-3",
+     "gnu general 3"),
+    ("this work is licensed under the gnu lesser general public license version 3", "lgpl-3",
+     "gnu lesser 3"),
+    ("this work is licensed under the gnu affero general public license version 3", "agpl-3",
+     "gnu affero 3"),
+    ("this program is free software you can redistribute it and or modify it under the "
+     "terms of the gnu general public license", "gpl", "gnu general"),
+    ("this program is free software you can redistribute it and or modify it under the "
+     "terms of the gnu lesser general public license", "lgpl", "gnu lesser"),
     ("this program is free software you can redistribute it and or modify it under the "
-     "terms of the gnu general public license", "gpl"),
+     "terms of the gnu affero general public license", "agpl", "gnu affero"),
     ("redistribution and use in source and binary forms with or without modification are "
-     "permitted", "bsd"),
+     "permitted", "bsd", "redistribution binary"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0",
-     "mpl-2"),
+     "mpl-2", "mozilla 2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or "
+     "without fee is hereby granted", "isc", "fee"),
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this
+     software and associated documentation files (the "Software"), to deal in the Software
+     without restriction, including without limitation the rights to use, copy, modify, merge,
+     publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+     to whom the Software is furnished to do so, subject to the following conditions: The above
+     copyright notice and this permission notice shall be included in all copies or substantial
+     portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+     EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+     FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+     HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+     CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+     USE OR OTHER DEALINGS IN THE SOFTWARE.""", "mit", "sublicense noninfringement"),
+    ("""Redistribution and use in source and binary forms, with or without modification, are
+     permitted provided that the following conditions are met: 1. Redistributions of source code
+     must retain the above copyright notice, this list of conditions and the following
+     disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+     this list of conditions and the following disclaimer in the documentation and/or other
+     materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS
+     AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+     TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+     DISCLAIMED.""", "bsd", "redistributions disclaimer"),
+    ("""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+     except in compliance with the License. You may obtain a copy of the License at
+     http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+     writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+     WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+     specific language governing permissions and limitations under the License.""",
+     "apache-2", "apache 2"),
 ]
 
 
-def notice_table(notices: list[tuple[str, str]], threshold: float) -> list[dict]:
-    """Distinct words of each notice, how many of them a block must hold, and its blocks' words."""
+def words_of(text: str) -> list[str]:
+    """The words of a notice, by the rule of the texts'."""
+    spaced = re.sub(NOT_WORD, " ", text.translate(str.maketrans(UPPER, LOWER)))
+    return [w for w in spaced.split(" ") if w]
+
+
+def notice_table(notices: list[tuple[str, ...]], threshold: float) -> list[dict]:
+    """Distinct words of each notice, how many of them a block must hold, and its blocks' words.
+
+    ``marks`` are the words that it must hold in any case, and ``over`` the notices with blocks of
+    the same length that have all its words and more.
+    """
     table = []
-    for i, (text, label) in enumerate(notices):
-        every = re.sub(NOT_WORD, " ", text.translate(str.maketrans(UPPER, LOWER))).split(" ")
-        every = [w for w in every if w]
+    for i, (text, label, *marks) in enumerate(notices):
+        every = words_of(text)
         words, span = sorted(set(every)), BLOCK
         while span * STRIDE // BLOCK < len(every):
             span *= 2
         # guards against products such as 0.8 * 5 above 4
         need = ceil(threshold * len(words) - 1e-9)
         table.append({"notice": i, "label": label, "words": words, "need": need,
-                      "span": span})
+                      "marks": sorted(set(words_of(" ".join(marks)))), "span": span})
+        if not set(table[-1]["marks"]) <= set(words):
+            raise ValueError(f"marks that are no words of the notice: {marks}")
+    for n in table:
+        n["over"] = [o["notice"] for o in table
+                     if o["span"] == n["span"] and set(o["words"]) > set(n["words"])]
     return table
 
 
@@ -92,8 +158,8 @@ def phrase_places(spaced: Column, n_words: Column, phrase: str) -> Column:
     words = phrase.split()
     inner = "  ".join(words)
     padded = F.concat(F.lit(" "), spaced, F.lit(" "))
-    # each word has a space of its own on both sides, so places next to each other part
-    parts = F.split(padded, rf"\Q {inner} \E", -1)
+    # cut before every place, so that places may overlap; the mark keeps a first part before the first
+    parts = F.split(F.concat(F.lit("^"), padded), rf"(?=\Q {inner} \E)", -1)
 
     def held(part: Column) -> Column:
         return (F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2
@@ -103,7 +169,7 @@ def phrase_places(spaced: Column, n_words: Column, phrase: str) -> Column:
         F.struct(
             (F.size(parts) - 1).cast("long").alias("n"),
             held(F.element_at(parts, 1)).cast("long").alias("first"),
-            (n_words - len(words) - held(F.element_at(parts, -1))).cast("long").alias("last"),
+            (n_words - held(F.element_at(parts, -1))).cast("long").alias("last"),
         ),
     )
 
@@ -130,10 +196,14 @@ def scan_rows(
         starts = F.sequence(
             F.lit(0), F.greatest(F.size(words) - step - 1, F.lit(0)), F.lit(step)
         )
-        return F.filter(
-            F.transform(starts, lambda i: F.array_intersect(known, F.slice("_w", i + 1, span))),
-            lambda b: F.size(b) >= least,
+        # the place is kept, as notices compete within a block
+        held = F.filter(
+            F.transform(starts, lambda i: F.struct(
+                i.alias("_no"), F.array_intersect(known, F.slice("_w", i + 1, span)).alias("_b"))),
+            lambda b: F.size(b["_b"]) >= least,
         )
+        # no block holds more than the whole text
+        return F.when(F.size(F.array_intersect(known, F.col("_w"))) >= least, held)
 
     return stage(
         rows.withColumn("_w", words)
@@ -148,7 +218,7 @@ def scan_rows(
 def word_order(rows: DataFrame, notices: list[dict]) -> list[str]:
     """The notices' words from rare to frequent, by the number of blocks that hold them."""
     counts = (
-        rows.select(F.explode("_blocks").alias("_b"))
+        rows.select(F.explode("_blocks._b").alias("_b"))
         .select(F.explode("_b").alias("word"))
         .groupBy("word").agg(F.count("*").alias("n"))
     )
@@ -172,17 +242,17 @@ def match_blocks(rows: DataFrame, notices: list[dict]) -> DataFrame:
     for n in notices:
         words = sorted(n["words"], key=rank.get)
         for i, w in enumerate(words[: len(words) - n["need"] + 1]):
-            heads.append((w, n["notice"], n["label"], i, len(words), n["need"], words))
+            heads.append((w, n["notice"], n["label"], i, len(words), n["need"], words, n["marks"],
+                          n["over"]))
     # as many rows as the notices have words
     index = rows.sparkSession.createDataFrame(
         heads, "word string, notice int, label string, at int, size int, need int, "
-               "words array<string>",
+               "words array<string>, marks array<string>, over array<int>",
     )
     least = min(n["need"] for n in notices)
     ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("_b"))
     blocks = (
-        rows.select("_row", F.posexplode("_blocks").alias("_no", "_b"))
-        .withColumn("_b", ordered)
+        rows.select("_row", F.inline("_blocks")).withColumn("_b", ordered)
         .select("_row", "_no", "_b", F.posexplode(
             F.slice("_b", F.lit(1), F.size("_b") - least + 1)).alias("_at", "word"))
     )
@@ -194,22 +264,28 @@ def match_blocks(rows: DataFrame, notices: list[dict]) -> DataFrame:
         .withColumn("_shared", F.size(F.array_intersect("_b", "words")))
         .where(F.col("_shared") >= F.col("need"))
     )
-    # a block and notice can meet at more than one word
-    return found.select("_row", "label", (F.col("_shared") / F.col("size")).alias("containment"))
+    found = found.where(F.size(F.array_except("marks", "_b")) == 0)
+    # a block and notice can meet at more than one word; a block has at most all notices
+    met = found.groupBy("_row", "_no").agg(F.collect_set(F.struct(
+        "notice", "over", "label", (F.col("_shared") / F.col("size")).alias("containment"),
+    )).alias("_met"))
+    best = F.filter("_met", lambda n: ~F.arrays_overlap(n["over"], F.col("_met.notice")))
+    return met.select("_row", F.inline(best)).select("_row", "label", "containment")
 
 
 def license_scan(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
-    notices: list[tuple[str, str]] = NOTICES,
+    notices: list[tuple[str, ...]] = NOTICES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``score`` is 1 where a phrase stands and else the largest containment of a matching
     notice, or 0. Null and empty texts have no words, places or labels; repeated rows give a
-    row each; an empty table gives an empty result; other columns are not read. Notices may be
-    whole licences as they stand; ``oracle`` holds for notices of up to ``STRIDE`` words.
+    row each; an empty table gives an empty result; other columns are not read. Notices are texts
+    with a label and, if wanted, the words that must stand in a block; they may be whole licences
+    as they stand.
     """
     table = notice_table(notices, threshold)
     rows = scan_rows(docs, phrases, table)
@@ -234,7 +310,7 @@ def license_scan(
 
 def oracle(
     phrases: dict[str, str] = PHRASES,
-    notices: list[tuple[str, str]] = NOTICES,
+    notices: list[tuple[str, ...]] = NOTICES,
     threshold: float = THRESHOLD,
 ) -> str:
     """The same result in DuckDB's SQL, every block compared with every notice."""
@@ -242,7 +318,9 @@ def oracle(
     phrase_rows = ", ".join(
         f"({p.split()!r}, {label!r})" for p, label in phrases.items()
     )
-    notice_rows = ", ".join(f"({n['words']!r}, {n['need']}, {n['label']!r})" for n in table)
+    notice_rows = ", ".join(
+        f"({n['words']!r}, {n['need']}, {n['label']!r}, {n['marks']!r} :: varchar[], {n['span']})"
+        for n in table)
     return f"""
 with doc as (
  select row_number() over () as r, doc_id, regexp_extract_all(
@@ -255,13 +333,19 @@ place as (
  from doc, phrase where list_has_all(w, p)),
 based as (select r, count(*) as n, min(i) as lo, max(i) as hi,
  list_sort(list_distinct(list(label))) as ls from place group by r),
-notice(words, need, label) as (values {notice_rows}),
-block as (select r, list_distinct(list_slice(w, i + 1, i + {BLOCK})) as b
- from (select r, w, unnest(range(0, greatest(len(w) - {STRIDE}, 1), {STRIDE})) as i from doc)),
+notice(words, need, label, marks, span) as (values {notice_rows}),
+block as (select r, span, i, list_distinct(list_slice(w, i + 1, i + span)) as b
+ from (select r, w, span, unnest(range(0, greatest(len(w) - span * {STRIDE} // {BLOCK}, 1),
+   span * {STRIDE} // {BLOCK})) as i from doc, (select distinct span from notice))),
+met as (
+ select r, span, i, label, words, len(list_intersect(b, words)) / len(words) as c
+ from block join notice using (span)
+ where len(list_intersect(b, words)) >= need and list_has_all(b, marks)),
 hit as (
- select r, label, max(len(list_intersect(b, words)) / len(words)) as c
- from block, notice where len(list_intersect(b, words)) >= need group by all),
-hits as (select r, list(label) as ls, max(c) as c from hit group by r)
+ select r, label, c from met m where not exists (
+  select 1 from met o where o.r = m.r and o.span = m.span and o.i = m.i
+   and len(o.words) > len(m.words) and list_has_all(o.words, m.words))),
+hits as (select r, list(distinct label) as ls, max(c) as c from hit group by r)
 select doc_id, len(w) as n_words, coalesce(n, 0) as n_base, lo as first_word, hi as last_word,
  coalesce(array_to_string(based.ls, ','), '') as base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from namesmith.llm import license_scan as L
 
 from .common import awkward_rows, docs_table, prose
@@ -15,13 +17,16 @@ def expected(text):
               for i in range(len(words)) if words[i : i + len(p)] == p]
     base = {label for _, label in places}
     found, best = set(), 0.0
-    for start in range(0, max(len(words) - L.STRIDE, 1), L.STRIDE):
-        block = set(words[start : start + L.BLOCK])
-        for n in L.notice_table(L.NOTICES, L.THRESHOLD):
-            shared = len(block & set(n["words"]))
-            if shared >= n["need"]:
-                found.add(n["label"])
-                best = max(best, shared / len(n["words"]))
+    table = L.notice_table(L.NOTICES, L.THRESHOLD)
+    for span in {n["span"] for n in table}:
+        for start in range(0, max(len(words) - span // 2, 1), span // 2):
+            block = set(words[start : start + span])
+            met = [n for n in table if n["span"] == span and set(n["marks"]) <= block
+                   and len(block & set(n["words"])) >= n["need"]]
+            for n in met:
+                if not any(set(o["words"]) > set(n["words"]) for o in met):
+                    found.add(n["label"])
+                    best = max(best, len(block & set(n["words"])) / len(n["words"]))
     at = [i for i, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None),
             ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best)
@@ -35,7 +40,7 @@ def check(spark, rows):
 
 def test_equals_every_block_against_every_notice(spark):
     rng = random.Random(3)
-    notices = [n for n, _ in L.NOTICES] + list(L.PHRASES)
+    notices = [n for n, *_ in L.NOTICES] + list(L.PHRASES)
     rows = []
     for i in range(120):
         words = prose(rng, rng.randrange(200)).split()
@@ -80,4 +85,62 @@ def test_long_notices(spark):
 
 def test_blocks_of_short_notices_stay_short():
     table = L.notice_table([*L.NOTICES, ("a " * 33, "x"), ("b " * 65, "y")], L.THRESHOLD)
-    assert [n["span"] for n in table] == [L.BLOCK] * len(L.NOTICES) + [2 * L.BLOCK, 4 * L.BLOCK]
+    own = [n["span"] for n in L.notice_table(L.NOTICES, L.THRESHOLD)]
+    assert {s for (n, *_), s in zip(L.NOTICES, own) if len(n.split()) <= L.STRIDE} == {L.BLOCK}
+    assert [n["span"] for n in table] == own + [2 * L.BLOCK, 4 * L.BLOCK]
+
+
+DECLARED = {
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "a Creative Commons Attribution 4.0 International License": "",
+    "work licensed under a Creative Commons Attribution-ShareAlike 4.0 International License":
+        "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+    "International License": "cc-by-nc-nd",
+    "licensed under CC BY-SA 4.0": "cc-by-sa",
+    "licensed under CC BY 4.0": "cc-by",
+    "licensed under CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa",  # the first is a base label
+    "released under the Apache license": "",
+    "Licensed under the Apache License, Version 2.0": "apache-2",
+    "distributed under the MIT license": "mit",
+    "This work is licensed under the GNU Lesser General Public License version 3": "lgpl-3",
+    "You can redistribute it and/or modify this program, which is free software, under the terms "
+    "of the GNU General Public License": "gpl",
+    "This program is free software: you can redistribute it and/or modify it under the terms of "
+    "the GNU Affero General Public License": "agpl",
+}
+
+
+def test_notices_that_differ_in_a_word(spark):
+    rows = [(i, f"Some words before. {t}. And some behind.") for i, t in enumerate(DECLARED)]
+    got = {r.doc_id: r.labels for r in L.license_scan(docs_table(spark, rows)).collect()}
+    assert got == dict(enumerate(DECLARED.values()))
+    check(spark, rows)
+
+
+def test_whole_wording(spark):
+    """A licence whose first sentence is worded anew is found by the rest of it."""
+    rng = random.Random(11)
+    rows, want = [], []
+    for text, label, *_ in L.NOTICES:
+        words = text.split()
+        if len(words) > 60:
+            rest = words[12:]
+            rows.append((len(rows), " ".join([prose(rng, 90), *rest, prose(rng, 300)])))
+            rows.append((len(rows), " ".join([prose(rng, 90), *rest[: len(rest) // 2]])))
+            want += [label, None]
+    got = {r.doc_id: r.labels for r in L.license_scan(docs_table(spark, rows)).collect()}
+    assert all(w is None or w in got[i].split(",") for i, w in enumerate(want))
+    check(spark, rows)
+
+
+def test_places_may_overlap(spark):
+    rows = [(1, "a a a b a a"), (2, "a b a"), (3, "A-a a a")]
+    got = L.license_scan(docs_table(spark, rows), phrases={"a a": "x"}).collect()
+    assert sorted((r.doc_id, r.n_base, r.first_word, r.last_word) for r in got) == [
+        (1, 3, 0, 4), (2, 0, None, None), (3, 3, 0, 2)]
+
+
+def test_marks_are_words_of_their_notice():
+    with pytest.raises(ValueError):
+        L.notice_table([("some words", "x", "others")], 0.8)
