@@ -19,7 +19,7 @@ import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ SAMPLE = 300
 LEAST = 100
 PATH_SLOTS, WORD_SLOTS, SIZES = 192, 32, 6
 HIDDEN, EPOCHS, TOGETHER, RATE = 24, 10, 16, 0.01
-#: pages labelled side by side
-_BATCH = 64
+#: most pages labelled side by side, blocks of them with padding, and characters parsed at once;
+#: a page of more blocks is labelled alone, in segments of as many
+_BATCH, _STEPS, _CHARACTERS = 64, 8192, 4_000_000
 
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption dd details div dl dt fieldset "
@@ -210,7 +211,8 @@ class Vectors:
             found[[self.path_slots[t] for t in tokens]] = 1
         return found
 
-    def of(self, blocks: list[Block]) -> np.ndarray:
+    def of(self, blocks: list[Block], start: int = 0, total: int | None = None) -> np.ndarray:
+        """Vectors of a page's blocks, or of those from ``start`` on of ``total``."""
         n = len(blocks)
         x = np.empty((n, PATH_SLOTS + WORD_SLOTS + SIZES), np.float32)
         slots, slot, n_words, sizes = [], self.word_slots.__getitem__, [], []
@@ -227,7 +229,7 @@ class Vectors:
         length, words, linked, points, depth = np.array(sizes, np.float32).T
         x[:, -SIZES:] = np.column_stack([
             np.log1p(length) / 6, np.log1p(words) / 4, linked / length, points / (words + 1),
-            np.arange(n) / n, depth / 20])
+            np.arange(start, start + n) / (total or n), depth / 20])
         return x
 
 
@@ -283,9 +285,41 @@ def _lstm(net: dict, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.nda
     return out, kept
 
 
+def _share(net: dict, side: str, x: np.ndarray, mask: np.ndarray, state: tuple | None) -> tuple:
+    """What one direction adds to the blocks' scores, and its state behind them; no step is kept."""
+    steps = range(len(x)) if side == "f" else range(len(x) - 1, -1, -1)
+    given, weights = x @ net["x" + side] + net["b" + side], net["h" + side]
+    out = net["out"][:HIDDEN] if side == "f" else net["out"][HIDDEN:]
+    h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
+    share = np.zeros(mask.shape, given.dtype)
+    for t in steps:
+        gates = given[t] + h @ weights
+        i, f, o = (_sigmoid(gates[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+        m = mask[t][:, None]
+        new_c = m * (f * c + i * np.tanh(gates[:, 3 * HIDDEN :])) + (1 - m) * c
+        h = m * (o * np.tanh(new_c)) + (1 - m) * h
+        c = new_c
+        share[t] = h @ out
+    return share, (h, c)
+
+
+def segment_scores(net: dict, segment: Callable[[int], tuple], n: int) -> np.ndarray:
+    """Scores of the blocks in ``n`` segments of vectors and mask, which follow each other.
+
+    Each direction carries its state from segment to segment, so the cuts change nothing.
+    """
+    shares: list = [0] * n
+    for side in "fb":
+        state = None
+        for k in range(n) if side == "f" else reversed(range(n)):
+            x, mask = segment(k)
+            share, state = _share(net, side, x, mask, state)
+            shares[k] = shares[k] + share
+    return _sigmoid(np.concatenate(shares) + net["bias"])
+
+
 def label_scores(net: dict, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    states = np.concatenate([_lstm(net, s, x, mask)[0] for s in "fb"], axis=2)
-    return _sigmoid(states @ net["out"] + net["bias"])
+    return segment_scores(net, lambda _: (x, mask), 1)
 
 
 def gradients(net: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
@@ -522,16 +556,38 @@ def page_texts(pages: list[str | None], net: dict, vectors: Vectors) -> list[str
     blocks = [leaf_blocks(p) for p in pages]
     texts = [""] * len(pages)
     order = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
-    for at in range(0, len(order), _BATCH):
-        chosen = order[at : at + _BATCH]
-        x, mask = _padded([vectors.of(blocks[i]) for i in chosen])
-        scores = label_scores(net, x, mask)
+    while order:
+        # the longest first, and as many of the next ones as fit beside it
+        longest = len(blocks[order[-1]])
+        together = min(_BATCH, max(1, _STEPS // longest))
+        chosen, order = order[-together:], order[:-together]
+
+        def segment(k: int, chosen: list[int] = chosen) -> tuple[np.ndarray, np.ndarray]:
+            start = k * _STEPS
+            return _padded([vectors.of(blocks[i][start : start + _STEPS], start, len(blocks[i]))
+                            for i in chosen])
+
+        n = -(-longest // _STEPS)
+        scores = segment_scores(net, segment, n) if n > 1 else label_scores(net, *segment(0))
         for k, i in enumerate(chosen):
             texts[i] = "\n\n".join(
                 b.text for b, s in zip(blocks[i], scores[:, k].tolist()) if s >= 0.5)
     return texts
 
 
+def _portions(pages: list[str | None]) -> Iterator[list[str | None]]:
+    """Pages in their order, a bounded number of characters or one page at a time."""
+    portion, size = [], 0
+    for page in pages:
+        if portion and size + len(page or "") > _CHARACTERS:
+            yield portion
+            portion, size = [], 0
+        portion.append(page)
+        size += len(page or "")
+    if portion:
+        yield portion
+
+
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
@@ -546,7 +602,8 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for batch in batches:
             for part in range(0, batch.num_rows, 8 * _BATCH):
                 cut = batch.slice(part, 8 * _BATCH)
-                texts = page_texts(cut.column(2).to_pylist(), net, vectors)
+                texts = [t for portion in _portions(cut.column(2).to_pylist())
+                         for t in page_texts(portion, net, vectors)]
                 yield pa.RecordBatch.from_arrays(
                     [cut.column(0), cut.column(1), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())],

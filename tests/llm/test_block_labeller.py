@@ -1,4 +1,6 @@
+import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -154,3 +156,56 @@ def test_a_class_named_title_is_no_boilerplate():
                            "<p>two</p><svg><title>icon</title></svg></article>")
     assert [b.text for b in blocks] == ["t", "One", "two", "icon"]
     assert L.taught_labels(blocks) == [0, 1, 1, 0]
+
+
+def plain_scores(net, x):
+    """One page through both directions, gate by gate and number by number."""
+    H = L.HIDDEN
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    totals = [float(net["bias"][0])] * len(x)
+    for side, half in (("f", 0), ("b", H)):
+        h, c = [0.0] * H, [0.0] * H
+        for t in range(len(x)) if side == "f" else reversed(range(len(x))):
+            gates = [sum(float(v) * float(w) for v, w in zip(x[t], net["x" + side][:, k]))
+                     + sum(v * float(w) for v, w in zip(h, net["h" + side][:, k]))
+                     + float(net["b" + side][k]) for k in range(4 * H)]
+            c = [sig(gates[H + j]) * c[j] + sig(gates[j]) * math.tanh(gates[3 * H + j])
+                 for j in range(H)]
+            h = [sig(gates[2 * H + j]) * math.tanh(c[j]) for j in range(H)]
+            totals[t] += sum(v * float(w) for v, w in zip(h, net["out"][half : half + H]))
+    return [sig(v) for v in totals]
+
+
+def test_scores_equal_a_plain_network():
+    rng = np.random.RandomState(4)
+    net = L.new_network(6)
+    pages = [rng.randn(n, 6).astype(np.float32) for n in (1, 5, 9)]
+    x, mask = L._padded(pages)
+    whole = L.label_scores(net, x, mask)
+    parts = L.segment_scores(net, lambda k: (x[2 * k : 2 * k + 2], mask[2 * k : 2 * k + 2]), 5)
+    for k, p in enumerate(pages):
+        want = plain_scores(net, p)
+        assert np.allclose(whole[: len(p), k], want, atol=1e-5)
+        assert np.allclose(parts[: len(p), k], want, atol=1e-5)
+
+
+def test_long_pages_take_bounded_memory(monkeypatch):
+    rng = random.Random(9)
+    words = prose(rng, 400).split()
+    html = "<body><article>" + "".join(
+        f"<p>{words[i % 400]} {words[i % 7]} {i}.</p>" for i in range(50_000)) + "</article></body>"
+    net, n = L.new_network(L.PATH_SLOTS + L.WORD_SLOTS + L.SIZES), len(L.leaf_blocks(html))
+    assert n == 50_000
+    net["bias"] += 5  # every block is text
+    tracemalloc.start()
+    [text] = L.page_texts([html], net, L.Vectors())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.count("\n\n") == n - 1 and peak < 150e6
+    net["bias"] -= 5
+    some = [html[:40_000], "<p>one</p><p>two</p>", None, html[:9_000]]
+    want = L.page_texts(some, net, L.Vectors())
+    monkeypatch.setattr(L, "_STEPS", 100)
+    monkeypatch.setattr(L, "_CHARACTERS", 10_000)
+    assert L.page_texts(some, net, L.Vectors()) == want
+    assert [len(p) for p in L._portions(some)] == [1, 3]
