@@ -2,7 +2,9 @@
 
 Test items are indexed: for each word its items with their BM25 weight, in blocks with the
 largest weight of each. Weights are shares of the item's own full score, so one threshold
-fits all items. Every passage of every document is a query: blocks whose maxima cannot reach
+fits all items. Items are indexed by classes of length, each with statistics and passages of
+its own, so no item changes what is found of another class. Every passage of every document is a
+query: blocks whose maxima cannot reach
 the threshold are passed over, in the others the lists advance from pivot to pivot. What
 scores enough is verified by the shares of the item's question and answer that stand in the
 passage word for word.
@@ -14,13 +16,16 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 #: least share of an item's full BM25 score
 SCORE = 0.6
 #: words of a shingle; shares of all shingles, and of the question's and the answer's
@@ -28,9 +33,10 @@ SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
 #: items of a block; few, as items are short and share their common words
 BLOCK = 4
-#: passages have twice as many words as this, or as the longest item, and overlap by half
+#: passages have twice as many words as this and overlap by half; it is doubled for the items
+#: that are longer, until they lie whole in a passage
 LEAST_STRIDE = 64
-#: characters of items that one index holds; more items make more indexes
+#: characters of items that are indexed at once; more items are searched one such part after another
 INDEX_CHARACTERS = 16_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -59,6 +65,14 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def stride_of(n_words: int) -> int:
+    """Half the passage of an item's class of length."""
+    stride = LEAST_STRIDE
+    while stride < n_words:
+        stride *= 2
+    return stride
+
+
 def shingles(words: list, n: int = SHINGLE) -> set[tuple]:
     """Runs of n words; of fewer words, the whole."""
     if len(words) < n:
@@ -67,21 +81,20 @@ def shingles(words: list, n: int = SHINGLE) -> set[tuple]:
 
 
 class Index:
-    """Items with at least one word, their postings, blocks and shingles."""
+    """Items of a class with at least one word, their postings, blocks and shingles."""
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], total: int,
-                 mean_words: float) -> None:
+                 mean_words: float, stride: int = LEAST_STRIDE) -> None:
+        self.stride = stride
         self.items, self.grams, self.parts = [], [], []
         self.number: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
-        self.longest = 0
         for item_id, text in sorted(items):
             words = words_of(text)
             if not words:
                 continue
             at = len(self.items)
             self.items.append(item_id)
-            self.longest = max(self.longest, len(words))
             counts = Counter(words)
             norm = K1 * (1 - B + B * len(words) / mean_words)
             weights = {
@@ -177,16 +190,15 @@ class Index:
         q, a = map(share, self.parts[item])
         return None if min(q, a) < PART_OVERLAP - 1e-9 else (whole, q, a)
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
-        """Per item found in a text: id, score and overlaps of its best passage."""
-        number = self.number.get
-        terms = [number(w, -1) for w in words_of(text)]
+    def leaks(self, words: list[str]) -> list[tuple[int, float, float, float, float]]:
+        """Per item found in a text's words: id, score and overlaps of its best passage."""
+        number, stride = self.number.get, self.stride
+        terms = [number(w, -1) for w in words]
         known = set(terms)
         known.discard(-1)
         # a document whose words all together cannot reach an item has no passage that does
         if not known or not self.blocks(list(known)):
             return []
-        stride = max(LEAST_STRIDE, self.longest)
         best: dict[int, tuple] = {}
         for start in range(0, max(1, len(terms) - stride), stride):
             part = terms[start : start + 2 * stride]
@@ -203,40 +215,77 @@ class Index:
         return [(self.items[i], score, whole, q, a) for i, (whole, score, q, a) in best.items()]
 
 
-def build_indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of all items, each of a bounded number of characters, with common statistics."""
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), "text"
-    ).where("text is not null and item_id is not null")
-    total, characters = items.agg(
-        F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(1, -(-characters // INDEX_CHARACTERS))
-    chosen = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                seen.update(set(words))
-                seen[""] += len(words)  # the number of all words
-            yield pa.RecordBatch.from_pydict(
-                {"word": list(seen), "n": pa.array(list(seen.values()), pa.int64())})
-
-    def counts(of: DataFrame) -> DataFrame:
-        return of.mapInArrow(counted, "word string, n long").groupBy("word").agg(
-            F.sum("n").alias("n"))
-
-    every = counts(items)
-    indexes = []
-    for part in chosen:
-        # no more words than the characters of one index
-        own = every if parts == 1 else every.join(counts(part).select("word"), "word")
-        frequency = dict(own.select("word", "n").collect())
-        mean = every.where("word = ''").first()
-        rows = [(r["item_id"], r["text"]) for r in part.collect()]
-        indexes.append(Index(rows, frequency, total, (mean["n"] if mean else 0) / max(1, total) or 1))
-    return indexes
+def leaks(indexes: list[Index], text: str | None) -> list[tuple]:
+    """Per item of several indexes that is found in a text: id, score and overlaps."""
+    words = words_of(text)
+    return [leak for index in indexes for leak in index.leaks(words)]
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [len(words_of(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+             pa.array(map(stride_of, counts), pa.int64())],
+            ["item_id", "text", "n_words", "stride"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = Counter((s, w) for t, s in zip(*(c.to_pylist() for c in batch.columns))
+                       for w in set(words_of(t)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _ in seen], pa.int64()), pa.array([w for _, w in seen], pa.string()),
+             pa.array(seen.values(), pa.int64())], ["stride", "word", "n"])
+
+
+def word_counts(items: DataFrame) -> DataFrame:
+    """Items of a class of length that hold a word."""
+    return items.select("text", "stride").mapInArrow(
+        _words, "stride long, word string, n long"
+    ).groupBy("stride", "word").agg(F.sum("n").alias("n"))
+
+
+def build_indexes(benchmark: DataFrame) -> list[Callable[[], list[Index]]]:
+    """Makers of the indexes, a bounded number of characters of items each.
+
+    Only one maker's items need be in memory at a time. Those of a class of length that fill more
+    than one part share its statistics.
+    """
+    items = stage(
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string"))
+        .where("text is not null and item_id is not null").dropDuplicates()
+        .mapInArrow(_sized, "item_id long, text string, n_words long, stride long")
+        .where("n_words > 0"), "items")
+    # a row for each doubling of an item's length
+    classes = items.groupBy("stride").agg(
+        F.count("*").alias("total"), F.sum("n_words").alias("words"),
+        F.sum(F.length("text")).alias("characters")).orderBy("stride").collect()
+    every = stage(word_counts(items), "words") if classes else None
+
+    def built(c: Row, part: int, parts: int) -> Index:
+        share = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
+        own = items.where((F.col("stride") == c["stride"]) & share)
+        counts = every.where(F.col("stride") == c["stride"])
+        if parts > 1:
+            # no more words than the characters of the part
+            counts = counts.join(word_counts(own).select("word"), "word")
+        return Index([(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()],
+                     dict(counts.select("word", "n").collect()), c["total"],
+                     c["words"] / c["total"], c["stride"])
+
+    groups: list[list[tuple]] = []
+    room = 0
+    for c in classes:
+        parts = -(-c["characters"] // INDEX_CHARACTERS)
+        for part in range(parts):
+            size = c["characters"] // parts
+            if size > room:
+                groups.append([])
+                room = INDEX_CHARACTERS
+            groups[-1].append((c, part, parts))
+            room -= size
+    return [lambda group=group: [built(*g) for g in group] for group in groups]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -245,35 +294,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A row for each document and item whose text a passage of the document holds: BM25 of at
     least ``SCORE`` of the item's own, ``OVERLAP`` of its five-word shingles, and
     ``PART_OVERLAP`` of its question's and answer's. Items with fewer words must be held
-    whole. Null and empty texts and items match nothing; repeated rows give a row each; an
-    empty benchmark gives an empty result; other columns are not read.
+    whole. Null and empty texts and items match nothing; repeated documents give a row each,
+    repeated items count once; an empty benchmark gives an empty result; other columns are not
+    read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for index in build_indexes(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index):
+    makers, found = build_indexes(benchmark), []
+    for make in makers:
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = make()):
             for batch in batches:
                 for part in range(0, batch.num_rows, _BATCH):
                     cut = batch.slice(part, _BATCH)
                     out = [(d, *leak) for d, t in zip(*(c.to_pylist() for c in cut.columns))
-                           for leak in index.leaks(t)]
+                           for leak in leaks(indexes, t)]
                     columns = list(zip(*out)) if out else [[]] * len(_SCHEMA)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
         one = rows.mapInArrow(run, _DDL)
-        found = one if found is None else found.union(one)
-    return found
+        # written before the next index is made
+        found.append(stage(one, "leaks") if len(makers) > 1 else one)
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], _DDL)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    at = docs.columns.index("text")
-    for index in build_indexes(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index):
+    at, makers = docs.columns.index("text"), build_indexes(benchmark)
+    for make in makers:
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = make()):
             for batch in batches:
-                clean = [not index.leaks(t) for t in batch.column(at).to_pylist()]
+                clean = [not leaks(indexes, t) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if len(makers) > 1:
+            docs = stage(docs, "clean")
     return docs

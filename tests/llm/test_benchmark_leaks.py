@@ -13,21 +13,24 @@ def items_table(spark, items):
 
 def expected(rows, items):
     """Every window of every document against every item, word for word."""
-    longest = max((len(L.words_of(t)) for _, t in items), default=0)
-    stride, out = max(L.LEAST_STRIDE, longest), set()
+    out = set()
     for d, text in rows:
         words = L.words_of(text)
-        for s in range(0, max(1, len(words) - stride), stride):
-            part = words[s : s + 2 * stride]
-            joined = "\x00" + "\x00".join(part) + "\x00"
+        for i, item in items:
+            own = L.words_of(item)
+            stride = L.LEAST_STRIDE
+            while stride < len(own):
+                stride *= 2
+            for s in range(0, max(1, len(words) - stride), stride):
+                part = words[s : s + 2 * stride]
+                joined = "\x00" + "\x00".join(part) + "\x00"
+
+                def share(own):
+                    n = min(L.SHINGLE, len(own))
+                    grams = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if own else set()
+                    return sum("\x00" + "\x00".join(g) + "\x00" in joined
+                               for g in grams) / len(grams) if grams else 1
 
-            def share(own):
-                n = min(L.SHINGLE, len(own))
-                grams = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
-                return sum("\x00" + "\x00".join(g) + "\x00" in joined for g in grams) / len(grams) if grams else 1
-
-            for i, item in items:
-                own = L.words_of(item)
                 if own and share(own) >= (L.OVERLAP if len(own) >= L.SHINGLE else 1) and min(
                         map(share, L.question_and_answer(item))) >= L.PART_OVERLAP:
                     out.add((d, i))
@@ -106,3 +109,32 @@ def test_clean_rows_stay_whole(spark):
     assert kept.columns == docs.columns
     assert sorted(kept.collect(), key=str) == sorted(
         (r for r in docs.collect() if r.doc_id not in dirty), key=str)
+
+
+def test_a_long_item_changes_no_other_row(spark):
+    rows, items = setting(6)
+    rng = random.Random(8)
+    long = prose(rng, 50_000, 900)
+    rows.append((900, f"{prose(rng, 90, 900)} {long} {prose(rng, 90, 900)}"))
+    rows.append((901, " ".join(long.split()[:30_000])))
+    before = {tuple(r) for r in found(spark, rows, items)}
+    after = {tuple(r) for r in found(spark, rows, [*items, (77, long)])}
+    assert after - before == {r for r in after if r[:2] == (900, 77)} and len(after) == len(before) + 1
+    assert before <= after
+
+
+def test_classes_of_length(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, f"{prose(rng, n, 900)}. {prose(rng, 5, 900)}.")
+             for i, n in enumerate([10, 40, 58, 60, 120, 130, 250, 600])]
+    rows = [(i, f"{prose(rng, rng.randrange(400), 900)} {rng.choice(items)[1]} "
+                f"{prose(rng, rng.randrange(400), 900)}") for i in range(40)]
+    want = expected(rows, items)
+    got = found(spark, rows, items)
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == want and len(want) >= 40
+    assert len(L.build_indexes(items_table(spark, items))) == 1
+    monkeypatch.setattr(L, "INDEX_CHARACTERS", 3000)
+    assert len(L.build_indexes(items_table(spark, items))) > 1
+    assert set(map(tuple, found(spark, rows, items))) == set(map(tuple, got))
+    clean = L.without_leaks(docs_table(spark, [*rows, (99, "clean")]), items_table(spark, items))
+    assert [r.doc_id for r in clean.collect()] == [99]
