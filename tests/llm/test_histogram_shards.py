@@ -3,7 +3,9 @@ import zlib
 
 import pytest
 
-from namesmith.llm.histogram_shards import find_cuts, histogram_shards, size_rows
+from namesmith.llm.histogram_shards import (
+    find_splitters, histogram_shards, size_rows, write_shards,
+)
 
 from .common import awkward_rows, docs_table, prose
 
@@ -56,8 +58,46 @@ def test_tolerance_bounds_the_error(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, 20)) for i in range(400)]
     sizes = size_rows(docs_table(spark, rows))
-    assert len(find_cuts(sizes, 4, tolerance=500)) == 3
+    assert len(find_splitters(sizes, 4, tolerance=500).cuts) == 3
     df = histogram_shards(docs_table(spark, rows), shards=4, tolerance=500)
     total = sum(x[1] for x in got(df))
     for s in range(4):
         assert abs(sum(x[1] for x in got(df) if x[3] == s) - total / 4) <= 1100
+
+
+@pytest.mark.parametrize("piece_rows", [7, 60])
+def test_shards_of_many_pieces(spark, piece_rows):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(60))) for i in range(150)]
+    rows += [(1000 + i // 2, "the same text for all of these rows") for i in range(200)]
+    docs = docs_table(spark, rows)
+    pieces = find_splitters(size_rows(docs), 3, piece_rows=piece_rows)
+    assert len(pieces.cuts) >= 350 // piece_rows and pieces.shard_of[-1] == 2
+    assert got(histogram_shards(docs, shards=3, piece_rows=piece_rows)) == expected(rows, 3)
+
+
+def test_rows_are_exchanged_once(spark, capsys):
+    docs = docs_table(spark, [(i, f"text {i}") for i in range(50)])
+    histogram_shards(docs).explain()
+    plan = capsys.readouterr().out
+    # by piece; the others are of counts, one row a piece
+    assert plan.count("Exchange hashpartitioning(_piece") == 2 and "rangepartitioning" not in plan
+    assert plan.count("Exchange hashpartitioning(shard") == 1
+
+
+@pytest.mark.parametrize("piece_rows", [9, 1000])
+def test_written_shards(spark, tmp_path, piece_rows):
+    rows = awkward_rows() + [(5, "rep")] * 30
+    path = str(tmp_path / "shards")
+    write_shards(docs_table(spark, rows, ["shard", "size"]), path, shards=3, piece_rows=piece_rows)
+    back = spark.read.parquet(path)
+    want = expected(rows, 3)
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard) for r in back.collect()), key=str) == [
+        x[:4] for x in want]
+    assert sorted((str(r.text) for r in back.collect())) == sorted(str(t) for _, t in rows)
+
+
+def test_written_empty_table(spark, tmp_path):
+    path = str(tmp_path / "none")
+    write_shards(docs_table(spark, []), path)
+    assert spark.read.schema("doc_id long").parquet(path).collect() == []
