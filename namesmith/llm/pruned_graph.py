@@ -3,14 +3,15 @@
 Distinct vectors are dealt into shards of about 4,000. A shard's graph is built point by
 point: a greedy beam search over the graph so far proposes neighbours, and pruning keeps a
 candidate only if no kept one is nearer to it than the point is, by the relaxation ``ALPHA``.
-Queries are distinct vectors in blocks; each block is searched by beam in every shard, and
-the shards' best are merged. Inner products become distances by one more coordinate that
+Queries are distinct vectors in blocks; each block is searched by beam in every shard, past
+whose graph, read once, the blocks stream, and the shards' best are merged. Inner products become distances by one more coordinate that
 gives all vectors of a shard the same length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -167,15 +168,29 @@ def _pack_block(key: tuple, table: pa.Table) -> pa.Table:
             ("q_vectors", pa.binary())]))
 
 
-def _searcher(top: int):
-    schema = pa.schema([("qvid", pa.int64()), ("vid", pa.int64()), ("score", pa.float64())])
+@dataclass
+class _Graph:
+    """A shard's graph, ready to be searched."""
+
+    key: tuple[int, int]
+    ids: np.ndarray
+    vectors: np.ndarray
+    points: np.ndarray
+    squares: np.ndarray
+    edges: np.ndarray
+    entry: int
 
-    def search(r: dict) -> Iterator[pa.RecordBatch]:
+    @classmethod
+    def of(cls, r: dict) -> _Graph:
         vectors = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
         ids = np.frombuffer(r["ids"], np.int64)
-        edges = np.frombuffer(r["edges"], np.int32).reshape(len(ids), -1)
         points = lengthened(vectors)
-        squares = np.einsum("ij,ij->i", points, points)
+        return cls((r["dim"], r["shard"]), ids, vectors, points,
+                   np.einsum("ij,ij->i", points, points),
+                   np.frombuffer(r["edges"], np.int32).reshape(len(ids), -1), r["entry"])
+
+    def search(self, r: dict, top: int) -> Iterator[pa.RecordBatch]:
+        """The ``top`` nearest points found for each query of a block."""
         q_ids = np.frombuffer(r["q_ids"], np.int64)
         q_vectors = np.frombuffer(r["q_vectors"]).reshape(-1, r["dim"])
         unit = q_vectors / np.abs(q_vectors).max(axis=1, keepdims=True)
@@ -183,21 +198,34 @@ def _searcher(top: int):
         width = max(QUERY_BEAM, 2 * top)
         for at in range(0, len(q_ids), _TOGETHER):
             own = q_vectors[at : at + _TOGETHER]
-            met, _ = beam_search(flat[at : at + _TOGETHER], points, squares, edges, r["entry"], width)
-            score = np.einsum("bd,bwd->bw", own, vectors[met])
+            met, _ = beam_search(flat[at : at + _TOGETHER], self.points, self.squares, self.edges,
+                                 self.entry, width)
+            score = np.einsum("bd,bwd->bw", own, self.vectors[met])
             score[met < 0] = -np.inf
             # nearest first, ties to the smaller id: points stand in the order of their ids
             order = np.lexsort((met, -score), axis=1)[:, :top]
             met, score = np.take_along_axis(met, order, 1), np.take_along_axis(score, order, 1)
             row, col = np.nonzero(met >= 0)
             yield pa.record_batch([
-                pa.array(q_ids[at + row]), pa.array(ids[met[row, col]]),
-                pa.array(score[row, col])], schema)
+                pa.array(q_ids[at + row]), pa.array(self.ids[met[row, col]]),
+                pa.array(score[row, col])], _FOUND)
+
 
+_FOUND = pa.schema([("qvid", pa.int64()), ("vid", pa.int64()), ("score", pa.float64())])
+
+
+def _searcher(top: int):
+    """Searches a stream in which a shard's graph comes before the blocks of queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from search(batch.slice(i, 1).to_pylist()[0])
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["edges"] is not None:
+                    graph = _Graph.of(r)
+                # vectors of a length may be in some shards only
+                elif graph is not None and graph.key == (r["dim"], r["shard"]):
+                    yield from graph.search(r, top)
 
     return run
 
@@ -230,7 +258,8 @@ def nearest(
     Scores are inner products in double precision, ties go to the smaller id, and a query's
     own id is no candidate. Rows without an id, and vectors that are null, zero or hold a
     null or non-finite component take no part; vectors of another length are no candidates;
-    repeated rows count once; an empty table gives an empty result.
+    an id names one vector, so repeated rows count once, and of different vectors under one id
+    the one of the least hash counts; an empty table gives an empty result.
     """
     rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("_q"),
@@ -239,7 +268,8 @@ def nearest(
     # 0.0 and -0.0 are equal components
     rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0))
     rows = rows.withColumns({"_h": F.xxhash64("v"), "_g": F.xxhash64(F.lit(1), "v")})
-    rows = stage(rows.dropDuplicates(["vec_id", "_h", "_g"]), "vectors")
+    one = rows.groupBy("vec_id").agg(F.min(F.struct("_h", "_g", "_q", "v")).alias("_one"))
+    rows = stage(one.select("vec_id", "_one.*"), "vectors")
     vectors = stage(distinct_vectors(rows, top), "distinct_vectors")
     asked = stage(rows.where("_q").join(
         vectors.select("_h", "_g", F.col("vid").alias("qvid")), ["_h", "_g"]
@@ -260,10 +290,11 @@ def nearest(
             _pack_block, "dim int, block int, q_ids binary, q_vectors binary")
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
+    # graphs sort first, as they have no block
     found = (
-        index.repartition(shards, "dim", "shard")
-        .join(packed.repartition(shards, "dim", "shard"), ["dim", "shard"])
-        .select("dim", "ids", "vectors", "edges", "entry", "q_ids", "q_vectors")
+        index.unionByName(packed, allowMissingColumns=True)
+        .repartition(shards, "dim", "shard")
+        .sortWithinPartitions("dim", "shard", F.asc_nulls_first("block"))
         .mapInArrow(_searcher(top + 1), "qvid long, vid long, score double")
     )
     best = Window.partitionBy("qvid").orderBy(F.desc("score"), "vid")

@@ -60,6 +60,29 @@ def test_many_copies_ties_and_unusable_rows(spark):
     assert got == expected(rows, 20, 20)
 
 
+def test_blocks_of_queries_stream_past_each_graph(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 4)
+    rng = np.random.RandomState(1)
+    x = clusters(rng, 240, 6)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    # few vectors of another length: some shards have none
+    rows += [(1000 + i, [float(i), 1.0]) for i in range(3)]
+    got = lists(G.nearest(table(spark, rows), F.col("vec_id") % 4 == 0, shard_size=40))
+    want = expected(rows, 4, 20)
+    assert got.keys() == want.keys() and got[1000] == want[1000]
+    # shards of 40 points are searched whole by a beam of 80
+    for q in want:
+        assert [j for _, j, _ in got[q]] == [j for _, j, _ in want[q]]
+
+
+def test_an_id_with_several_vectors_has_one(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(20, a), (20, b), (40, [3.0, 5.0]), (1, [2.0, 1.0])]
+    results = [lists(G.nearest(table(spark, x), F.col("vec_id") % 20 == 0)) for x in (rows, rows[::-1])]
+    one = [expected([r for r in rows if r[1] is not x], 20, 20) for x in (a, b)]
+    assert results[0] == results[1] and results[0] in one
+
+
 def test_few_rows_and_empty_table(spark):
     two = [(20, [1.0, 2.0]), (1, [0.0, 1.0])]
     assert lists(G.nearest(table(spark, two), F.col("vec_id") % 20 == 0)) == {20: [(1, 1, 2.0)]}
