@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -61,6 +62,32 @@ def test_clauses():
     assert T.clause_sums("i will kill", lexicon)[0] == 2 * T.clause_sums("i kill", lexicon)[0]
 
 
+def read_plainly(tags):
+    """Kind and factor of each hit of a clause, from what stands before it."""
+    out, doubled = [], -1
+    for i, tag in enumerate(tags):
+        if tag not in (T.INSULT, T.THREAT):
+            continue
+        before = tags[:i]
+        kind = ("reported" if T.REPORT in before else "negated" if T.NEGATION in before[-3:]
+                else "aimed" if T.TARGET in before else "plain")
+        twice = tag == T.THREAT and T.INTENT in before[doubled + 1:]
+        doubled = i if twice else doubled
+        out.append((i, kind, 2.0 if twice else 1.0))
+    return out
+
+
+def test_composed_machine_on_every_short_clause():
+    for length in range(7):
+        for tags in itertools.product(range(7), repeat=length):
+            state, found = 0, []
+            for i, tag in enumerate(tags):
+                state, kind, factor = T.GRAMMAR[state, tag]
+                if kind is not None:
+                    found.append((i, T.KINDS[kind], factor))
+            assert found == read_plainly(tags)
+
+
 def test_awkward_rows(spark):
     rows = awkward_rows()
     docs = docs_table(spark, rows)
