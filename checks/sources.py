@@ -20,6 +20,10 @@ from .registry import check
 
 FIELDS = sql.FIELDS
 
+# classes to a written file: a file is one row when it is read, so more rows are more files
+FILE_CLASSES = 5_000
+
+
 def flat(methods: DataFrame, *first: str) -> DataFrame:
     return methods.select(
         *first,
@@ -82,7 +86,8 @@ select {', '.join(FIELDS)} from extracted""",
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The templated classes, written as many to a file, then scanned from disk."""
     root = fresh_path(spark, "sources")
-    views.spark_view(spark, sf_dir, "source_text").select("text").write.text(root)
+    texts = views.spark_view(spark, sf_dir, "source_text").select("text")
+    texts.write.option("maxRecordsPerFile", FILE_CLASSES).text(root)
     return flat(extract_methods(files.read_source_files(spark, root, suffix=".txt")))
 
 

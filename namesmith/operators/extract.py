@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..constants import EXTRACTED, METHODS
 from ..storage import stage
 from .align import lookup_join, number_rows, running_total
-from .java_scan import scan_methods
+from .java_scan import each_method
 
 _FLUSH_ROWS = 5_000
 _FLUSH_CHARS = 16_000_000
@@ -27,7 +27,7 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         paths, texts = batch.column("file_path"), batch.column("text")
         for i in range(batch.num_rows):
             path = paths[i].as_py()
-            for number, method in enumerate(scan_methods(texts[i].as_py() or "")):
+            for number, method in enumerate(each_method(texts[i].as_py() or "")):
                 method["file_path"] = path
                 method["method_no"] = number
                 rows.append(method)
@@ -74,7 +74,7 @@ def register_java_methods(spark: SparkSession, name: str = "java_methods") -> No
     @udtf(returnType=EXTRACTED, useArrow=True)
     class JavaMethods:
         def eval(self, path: str, text: str):
-            for number, method in enumerate(scan_methods(text or "")):
+            for number, method in enumerate(each_method(text or "")):
                 method["file_path"] = path
                 method["method_no"] = number
                 yield tuple(method.get(field) for field in EXTRACTED.names)

@@ -1,5 +1,12 @@
+import random
+import tracemalloc
+from pathlib import Path
+
 import pytest
 
+from checks import sources, views  # noqa: F401
+from checks.registry import QUERIES
+from namesmith.operators import java_scan
 from namesmith.operators.extract import extract_methods, number_methods, register_java_methods
 from namesmith.operators.java_scan import scan_methods
 from namesmith.sources.files import read_source_files, scan_source_files
@@ -169,3 +176,45 @@ def test_table_function(spark, tree):
     assert [tuple(r) for r in rows] == [
         ("four", 0, []), ("five", 0, []), ("one", 0, ["public"]), ("two", 1, []), ("three", 0, []),
     ]
+
+
+MEMBERS = [
+    "int a;", "void b() { go(1); }", "@A(x) @B(y) int c(@P(1) int d) { if (e) { } }", "{ go(); }",
+    "X f = new X() { @Q(2) void g() { h(); } };", "X i = k(new X() { void l() { } }, 3);",
+    "@R(4) void m(int n) throws O;", "enum S { T(5) { void u() { } }, V; void w() { } }",
+    "void open(", "class Y { @Z(6) void aa() { Runnable r = new R() { void bb() { } }; } }", "}", ")",
+]
+
+
+def test_methods_of_ended_members_are_not_kept(monkeypatch):
+    rng = random.Random(5)
+    texts = ["class C { " + " ".join(rng.choices(MEMBERS, k=30)) for _ in range(300)]
+    whole = [java_scan.scan_methods(t) for t in texts]
+    assert sum(map(len, whole)) > 2000
+    monkeypatch.setattr(java_scan, "_CLOSED", 0)
+    assert [java_scan.scan_methods(t) for t in texts] == whole
+
+    text = "class C {" + " @A(1) void b(int c) { d(e); }" * 40_000 + "}"
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in java_scan.each_method(text)) == 40_000
+        assert tracemalloc.get_traced_memory()[1] < 6 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+def test_written_files_grow_in_number_not_in_size(spark, tmp_path):
+    n = 24_000  # more than four tasks write to four files of 5,000
+    rows = spark.range(0, n, 1, 1)
+    rows.selectExpr(
+        "id + 1 as p_partkey", "concat('red p', id) as p_name", "'Brand#11' as p_brand",
+        "'STANDARD' as p_type", "cast(id % 50 as int) as p_size",
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    scanned = QUERIES["scan_source_files"](spark, str(tmp_path))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    root = max(shared.glob("sources-*"), key=lambda p: p.stat().st_mtime)
+    sizes = [p.read_text().count("public class M") for p in root.glob("part-*")]
+    assert max(sizes) <= 5_000 and len(sizes) > 4
+    names = scanned.where("identifier <> 'run'").count()
+    assert names == sum(sizes) == views.spark_view(spark, str(tmp_path), "source_text").count()
