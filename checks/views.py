@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def working_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = table(spark, sf_dir, name)
-    return rows.repartition(spark.sparkContext.defaultParallelism) if name in SPREAD else rows
+    """A table that uses all cores; one of as many files is not moved for that."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in SPREAD and len(rows.inputFiles()) < cores else rows
 
 
 # one method per part; modifiers as text joined by "|"

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import (
     FIRST_WORD_ID, IGNORE_ID, MASK_ID, MASK_TOKEN, MAX_LENGTH, PAD_ID, UNK_ID, VOCAB_SIZE,
@@ -17,6 +24,10 @@ from .align import lookup_join, number_rows
 PIECES = f"{MASK_TOKEN}|[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[ \t\r\n]+|[^A-Za-z0-9 \t\r\n]"
 
 
+#: rows whose distinct items are looked up together
+BLOCK_ROWS = 2_000
+
+
 def pieces(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
@@ -74,19 +85,72 @@ def gathered(
     return units.join(maps, "unit", "left")
 
 
-def _units(
-    df: DataFrame, keys: tuple[str, ...], parts: list[Column], make: Column
-) -> tuple[DataFrame, DataFrame]:
-    """``_keys`` and the digest ``unit`` of ``parts`` for each row, and ``made`` for each unit.
+def _nested(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` in lists of the same lengths."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
+
+
+def _coded(rows_per_block: int):
+    """Blocks of rows with places in the block's list of distinct items instead of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_per_block):
+                part = batch.slice(start, rows_per_block)
+                outer = part.column("items")
+                inner = outer.flatten()
+                found = inner.flatten().dictionary_encode()
+                n = part.num_rows
+                ends = pa.array([0] + [len(found.dictionary)] * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block] * n, pa.int64()), part.column("_keys"),
+                    _nested(outer, _nested(inner, found.indices)),
+                    pa.ListArray.from_arrays(
+                        ends, found.dictionary, mask=pa.array([i > 0 for i in range(n)])),
+                ], ["block", "_keys", "codes", "words"])
+                block += 1
+
+    return run
 
-    Rows are told apart by nothing else, so keys may repeat and equal contents are worked on
-    once; only digests of contents stay with the rows.
+
+def _replaced(rows: pa.Table, values: pa.Table) -> pa.Table:
+    """The rows of one block with a value for each code."""
+    ordered = values.column("value").take(pc.sort_indices(values.column("code"))).combine_chunks()
+    outer = rows.column("codes").combine_chunks()
+    inner = outer.flatten()
+    items = _nested(outer, _nested(inner, ordered.take(inner.flatten())))
+    return pa.table([rows.column("_keys"), items], ["_keys", "items"])
+
+
+def replaced(
+    rows: DataFrame, table: DataFrame, key: str, value: str, rows_per_block: int = BLOCK_ROWS
+) -> DataFrame:
+    """``_keys, items`` with each item of the lists in ``items`` replaced by its value in ``table``.
+
+    Rows are written once, in blocks in which items are numbers of the block's distinct items.
+    Each of these is looked up once a block, so what moves is a number for each item and a row
+    for each distinct item of a block. An item that is not in the table becomes null.
     """
-    sized = [F.concat(F.coalesce(F.length(p), F.lit(-1)).cast("string"), F.lit(":"),
-                      F.coalesce(p, F.lit(""))) for p in parts]
-    rows = df.select(F.struct(*keys).alias("_keys"),
-                     F.sha2(F.concat(*sized), 256).alias("unit"), make.alias("made"))
-    return rows.select("_keys", "unit"), rows.groupBy("unit").agg(F.first("made").alias("made"))
+    keys, item = rows.schema["_keys"].dataType, rows.schema["items"].dataType.elementType.elementType
+    written = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("_keys", keys),
+        T.StructField("codes", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("words", T.ArrayType(item)),
+    ])
+    blocks = stage(rows.select("_keys", "items").mapInArrow(_coded(rows_per_block), written), "blocks")
+    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("code", key))
+    values = lookup_join(words, table.select(key, value), [key]).select(
+        F.col("block").alias("of"), "code", F.col(value).alias("value"))
+    out = T.StructType([
+        blocks.schema["_keys"],
+        T.StructField("items", T.ArrayType(T.ArrayType(values.schema["value"].dataType))),
+    ])
+    return (
+        blocks.select("block", "_keys", "codes").groupBy("block")
+        .cogroup(values.groupBy("of")).applyInArrow(_replaced, out)
+    )
 
 
 def encode(
@@ -99,32 +163,25 @@ def encode(
     """A row with ``keys`` and id arrays for each row; ``columns`` maps output to text.
 
     Adds ``attention_mask`` for the first of them. The vocabulary may have any size. Texts are
-    cut to ``max_length`` pieces before they move, each distinct piece of a text is looked up
-    once, and the text's pieces are replaced by a map of these. Keys may repeat.
+    cut to ``max_length`` pieces before they move, as numbers of their block's distinct pieces,
+    each of which is looked up once a block. Keys may repeat.
     """
-    texts = [F.col(text) for text in columns.values()]
-    named, units = _units(
-        df, keys, texts, F.array(*[F.coalesce(F.slice(pieces(text), 1, max_length),
-                                    F.array().cast("array<string>")) for text in texts]))
-    split = units.withColumn("_all", F.flatten("made"))
-    coded = gathered(split, "_all", vocab, "word", "word_id")
-
-    def ids(field: int) -> Column:
-        def one(word: Column) -> Column:
-            known = F.coalesce(F.element_at("found", word), F.lit(UNK_ID))
-            return F.when(word == MASK_TOKEN, MASK_ID).otherwise(known).cast("int")
-
-        return F.transform(F.col("made")[field], one)
-
-    outputs = coded.select(
-        "unit",
-        *[pad(ids(field), max_length).alias(f"_{field}") for field in range(len(columns))],
-        F.size(F.col("made")[0]).alias("_size"),
-    )
-    return named.join(outputs, "unit").select(
+    cut = [F.coalesce(F.slice(pieces(F.col(text)), 1, max_length),
+                      F.array().cast("array<string>")) for text in columns.values()]
+    rows = df.select(F.struct(*keys).alias("_keys"), F.array(*cut).alias("items"))
+    ids = vocab.where(F.col("word") != MASK_TOKEN).select("word", "word_id")
+    mask = df.sparkSession.range(1).select(
+        F.lit(MASK_TOKEN).alias("word"), F.lit(MASK_ID).alias("word_id"))
+    coded = replaced(rows, ids.unionByName(mask), "word", "word_id")
+
+    def known(field: int) -> Column:
+        return F.transform(
+            F.col("items")[field], lambda i: F.coalesce(i, F.lit(UNK_ID)).cast("int"))
+
+    return coded.select(
         "_keys.*",
-        *[F.col(f"_{field}").alias(name) for field, name in enumerate(columns)],
-        attention_mask(F.col("_size"), max_length).alias("attention_mask"),
+        *[pad(known(field), max_length).alias(name) for field, name in enumerate(columns)],
+        attention_mask(F.size(F.col("items")[0]), max_length).alias("attention_mask"),
     )
 
 
@@ -147,16 +204,13 @@ def decode(
     """A row with ``keys`` and the text of its ids for each row.
 
     Special ids are skipped and pieces joined, for a vocabulary of any size. Each distinct id
-    of an array is looked up once, and equal arrays once. Keys may repeat.
+    of a block of arrays is looked up once. Keys may repeat.
     """
     words = F.coalesce(
         F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID), F.array().cast("array<int>"))
-    shown = F.array_join(words.cast("array<string>"), " ")
-    named, units = _units(df, keys, [shown], words)
-    known = gathered(units, "made", vocab, "word_id", "word")
-    text = F.array_join(F.transform("made", lambda i: F.element_at("found", i)), "")
-    texts = known.select("unit", F.coalesce(text, F.lit("")).alias(output))
-    return named.join(texts, "unit").select("_keys.*", output)
+    rows = df.select(F.struct(*keys).alias("_keys"), F.array(words).alias("items"))
+    known = replaced(rows, vocab, "word_id", "word")
+    return known.select("_keys.*", F.array_join(F.col("items")[0], "").alias(output))
 
 
 def replace_ignored(ids: Column | str, ignore_id: int = IGNORE_ID) -> Column:

@@ -133,3 +133,36 @@ def test_a_piece_moves_once_for_a_text(spark, shuffled_joins):
     found = encode.gathered(split.limit(1), "all", vocab, "word", "word_id").first().found
     assert len(found) == 2
     assert encode.encode(rows, vocab, {"ids": "text"}, 512).count() == 20
+
+
+def test_a_piece_is_looked_up_once_for_a_block_of_texts(spark, monkeypatch):
+    rows = spark.range(0, 3_000, 1, 1).select("id", F.concat(F.lit("one two "), "id").alias("text"))
+    vocab = encode.build_vocab(rows, "text", None)
+    looked_up, join = [], encode.lookup_join
+
+    def spied(df, *rest, **named):
+        looked_up.append(df)
+        return join(df, *rest, **named)
+
+    monkeypatch.setattr(encode, "lookup_join", spied)
+    coded = encode.encode(rows, vocab, {"ids": "text"}, 512)
+    assert sum(df.count() for df in looked_up) < 3_000 + 10
+    want = {r.word: r.word_id for r in vocab.collect()}
+    for r in coded.collect():
+        assert r.ids[:4] == [want["one"], want[" "], want["two"], want[" "]]
+        assert r.ids[4] == want[str(r.id)] and sum(r.attention_mask) == 5
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_items_are_replaced_in_blocks_of_any_size(spark, size):
+    lists = [[["a", "b"], []], [["b"], ["c", "c", "a"]], [[], []], [["z"], ["b"]]] * 5
+    rows = spark.createDataFrame(
+        [((i % 3, None), x) for i, x in enumerate(lists)],
+        "_keys struct<id:int,more:string>, items array<array<string>>").coalesce(2)
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "word string, word_id long")
+    found = encode.replaced(rows, table, "word", "word_id", size).collect()
+    known = {"a": 1, "b": 2}
+    got = [((r._keys.id, r._keys.more), r["items"]) for r in found]
+    want = [((i % 3, None), [[known.get(w) for w in part] for part in x])
+            for i, x in enumerate(lists)]
+    assert sorted(got, key=str) == sorted(want, key=str)
