@@ -6,6 +6,7 @@ import pytest
 
 from namesmith.llm import suffix_dedup as S
 from namesmith.llm.lyndon_suffixes import suffix_array
+from namesmith.llm.queries import QUERIES
 
 from .common import awkward_rows, docs_table, prose
 
@@ -106,3 +107,28 @@ def test_twenty_thousand_equal_rows(spark):
     assert sorted(map(tuple, counts)) == [(1, len(text), 20_000), (2, 330, 1), (3, 0, 1)]
     left = S.remove_repeats(docs_table(spark, rows), 200)
     assert left.where("doc_id = 1 and text = ''").count() == 20_000 and left.count() == 20_002
+
+
+def test_query_shows_what_is_left(spark, tmp_path):
+    """Planted passages of over 50 words and 400 bytes are gone from the query's texts."""
+    rng = random.Random(32)
+    long = ["é " + prose(rng, 100) for _ in range(4)]
+    short = prose(rng, 52)
+    assert all(len(p.encode()) >= 400 for p in long) and len(short.encode()) < 400 - 2
+    rows = [(i, f"{prose(rng, 60, 10 ** 6)}\n{long[i % 4]}\n{prose(rng, 60, 10 ** 6)}")
+            for i in range(1200)]
+    clean = [(2000 + i, prose(rng, 150, 10 ** 6)) for i in range(12)]
+    clean += [(3000 + i, f"{prose(rng, 60, 10 ** 6)} {short} {prose(rng, 60, 10 ** 6)}")
+              for i in range(2)] + [(4000, None), (None, "no id"), (4001, "")]
+    docs_table(spark, rows + clean).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(got) == len(rows + clean)
+    texts = dict(rows + clean)
+    cut = kept_bytes([(t or "").encode() for t in texts.values()], S.LENGTH)
+    for (i, text), (kept, removed, runs) in zip(texts.items(), cut):
+        assert got[i].text == (None if text is None else kept.decode(errors="ignore"))
+        assert (got[i].n_removed, got[i].n_spans) == (removed, runs)
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert not any(p in got[i].text for i, _ in rows for p in long)
+    assert all(got[i].text == text for i, text in clean)
